@@ -77,6 +77,10 @@ BASES = (0x5851F42D4C957F2D, 0x2545F4914F6CDD1D)
 _BYTE_CODES = _splitmix(256, 17)
 _SEPARATOR = np.zeros(256, dtype=bool)
 _SEPARATOR[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+#: 1: ASCII letter, 2: ASCII sign other than an apostrophe, 0: else.
+_KIND = np.zeros(256, dtype=np.uint8)
+_KIND[[*range(65, 91), *range(97, 123)]] = 1
+_KIND[[*range(33, 39), *range(40, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = 2
 #: ASCII capitals to small letters.
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -127,15 +131,22 @@ class Words:
     first: index of each text's first word (one more entry for the end).
     """
 
-    def __init__(self, text: pa.Array, lower: bool = False) -> None:
+    def __init__(self, text: pa.Array, lower: bool = False, parts: bool = False) -> None:
+        """parts: words are cut between ASCII letters and ASCII signs, and ASCII capitals made small unless a mark may follow them."""
         self.data, self.offsets = buffers(text)
         if lower:
             self.data = LOWER[self.data]
+        if parts:
+            plain = np.append(self.data[1:] < 0x80, True)
+            self.data = np.where(plain, LOWER[self.data], self.data)
         n = len(self.data)
         inside = ~_SEPARATOR[self.data]
         self.inside = inside
         edge = np.zeros(n + 1, dtype=bool)
         edge[self.offsets] = True
+        if parts and n:
+            kind = _KIND[self.data]
+            edge[1:n] |= kind[1:] * kind[:-1] == 2
         before = np.empty(n + 1, dtype=bool)
         before[0] = False
         before[1:] = inside
