@@ -80,7 +80,7 @@ class Model:
             open_ = open_[hits[open_] == 0]
         of, scored = d.words.owner(), lettered[d.codes]
         words = np.bincount(of[scored], minlength=n)
-        total = np.stack([np.bincount(of, weights=value[d.codes, j], minlength=n) for j in range(len(self.langs))], axis=1)
+        total = np.stack([np.bincount(of, weights=value[d.codes, j], minlength=n) for j in range(len(self.langs))], axis=1).astype(float)
         total *= (np.minimum(words, SURE) / np.maximum(words, 1))[:, None]
         p = np.exp(total - total.max(1, keepdims=True))
         p /= p.sum(1, keepdims=True)
