@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemesh.llm import language, mixing, packing, quality_model, quality_rules, topk, toxicity
+from tidemesh.llm import language, mixing, packing, quality_model, quality_rules, substring_dedup, suffix_dedup, topk, toxicity
 from tidemesh.llm.store import documents
 
 
@@ -19,6 +19,14 @@ def op2_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.score(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(documents(spark, sf_dir)).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup(documents(spark, sf_dir)).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
@@ -43,6 +51,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": op1_language_id,
         "op2_quality_model": op2_quality_model,
+        "op3_suffix_dedup": op3_suffix_dedup,
+        "op4_substring_dedup": op4_substring_dedup,
         "op5_topk": op5_topk,
         "op7_mixing": op7_mixing,
         "op8_packing": op8_packing,
