@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemesh.llm import language, mixing, packing, quality_model, quality_rules, substring_dedup, suffix_dedup, topk, toxicity
+from tidemesh.llm import jaccard, language, mixing, packing, quality_model, quality_rules, substring_dedup, suffix_dedup, topk, toxicity
 from tidemesh.llm.store import documents
 
 
@@ -31,6 +31,10 @@ def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(documents(spark, sf_dir))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir))[0].select("doc_id", "size", "source_size", "target", "taken")
 
@@ -54,6 +58,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_suffix_dedup": op3_suffix_dedup,
         "op4_substring_dedup": op4_substring_dedup,
         "op5_topk": op5_topk,
+        "op6_ngram_jaccard": op6_ngram_jaccard,
         "op7_mixing": op7_mixing,
         "op8_packing": op8_packing,
         "op9_quality_rules": op9_quality_rules,
