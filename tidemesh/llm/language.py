@@ -20,6 +20,9 @@ from tidemesh.llm.labelled import remainder, sample
 from tidemesh.llm.subwords import Distinct, Table
 
 LONGEST = 5
+#: Bounds of the sample, see labelled.sample().
+SAMPLE_DOCS = 3000
+SAMPLE_BYTES = 12 << 20
 MOST_WORDS = 40_000
 MOST_GRAMS = 30_000
 #: Words beyond so many don't make a score surer.
@@ -35,7 +38,7 @@ class Model:
         label = np.array([self.langs.index(x) for x in langs], dtype=np.int64)
         seen: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(LONGEST + 1)]
         at = 0
-        for _, text in K.blocks(pa.RecordBatch.from_arrays([texts], names=["text"]), most=4 << 20):
+        for _, text in K.blocks(pa.RecordBatch.from_arrays([texts], names=["text"])):
             d = Distinct(text, parts=True)
             lang = label[at : at + len(text)][d.words.owner()]
             at += len(text)
@@ -44,16 +47,21 @@ class Model:
             seen[0].append((d.hashes[keep], by[keep]))
             for k in range(1, LONGEST + 1):
                 h, owner = d.grams(k, np.flatnonzero(keep))
-                seen[k].append((h, by[owner]))
+                seen[k].append(self._added([(h, by[owner])]))
         self.tables = [self._table(x, MOST_GRAMS if k else MOST_WORDS) for k, x in enumerate(seen)]
 
-    def _table(self, seen: list[tuple[np.ndarray, np.ndarray]], most: int) -> Table:
-        if not seen:
-            return Table(np.empty(0, dtype=np.uint64), np.empty((0, len(self.langs))))
+    def _added(self, seen: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct hashes and the sums of their counts by language."""
         codes, hashes = pd.factorize(np.concatenate([h for h, _ in seen]))
         counts = np.zeros((len(hashes), len(self.langs)))
         for j in range(len(self.langs)):
             counts[:, j] = np.bincount(codes, weights=np.concatenate([c[:, j] for _, c in seen]), minlength=len(hashes))
+        return hashes, counts
+
+    def _table(self, seen: list[tuple[np.ndarray, np.ndarray]], most: int) -> Table:
+        if not seen:
+            return Table(np.empty(0, dtype=np.uint64), np.empty((0, len(self.langs))))
+        hashes, counts = self._added(seen)
         total = counts.sum(1)
         order = np.lexsort((hashes, -total))[:most]
         order = order[total[order] >= 2]
@@ -100,7 +108,7 @@ def identify(docs: DataFrame, folds: int = 5) -> DataFrame:
     predicted one by one, ties go to the first language by name, other columns are ignored.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    texts, langs = sample(docs, docs.filter(remainder("doc_id", folds) != 0).select("doc_id", F.col("lang").alias("label")))
+    texts, langs = sample(docs, docs.filter(remainder("doc_id", folds) != 0).select("doc_id", F.col("lang").alias("label")), SAMPLE_DOCS, SAMPLE_BYTES)
     model = docs.sparkSession.sparkContext.broadcast(Model(texts, langs) if langs else None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
