@@ -133,5 +133,5 @@ def retained(df: DataFrame, days: float, now: float) -> DataFrame:
 
 def paired(path: Column, values: Column) -> Column:
     """[(hop, value), ...] by position; the shorter list decides."""
-    n = F.least(F.size(path), F.size(values))
-    return F.slice(F.arrays_zip(path.alias("hop"), values.alias("value")), F.lit(1), n)
+    both = F.transform(path, lambda hop, i: F.struct(hop.alias("hop"), F.get(values, i).alias("value")))
+    return F.slice(both, F.lit(1), F.least(F.size(path), F.size(values)))
