@@ -5,7 +5,7 @@ from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
-from tidemesh.llm import substring_dedup, suffix_dedup
+from tidemesh.llm import spans, substring_dedup, suffix_dedup
 
 from tests.llm.conftest import awkward, make
 
@@ -58,15 +58,20 @@ def corpus(seed=1):
     return texts
 
 
-def test_bytes_equal_brute_force(spark):
+@pytest.mark.parametrize(("group", "ids"), [(4096, 100), (0, 0), (2, 100)])
+def test_bytes_equal_brute_force(spark, monkeypatch, group, ids):
+    monkeypatch.setattr(spans, "GROUP", group)
+    monkeypatch.setattr(spans, "BROADCAST_IDS", ids)
     texts = corpus()
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.dedup(make(spark, texts).repartition(4)).collect()}
     want = brute_bytes(texts, 200)
     assert [got[i] for i in range(len(texts))] == want
 
 
-@pytest.mark.parametrize("shift", [1, -1])
-def test_words_equal_brute_force(spark, shift):
+@pytest.mark.parametrize(("shift", "group", "ids"), [(1, 4096, 1000), (-1, 0, 0), (-1, 2, 1000)])
+def test_words_equal_brute_force(spark, monkeypatch, shift, group, ids):
+    monkeypatch.setattr(spans, "GROUP", group)
+    monkeypatch.setattr(spans, "BROADCAST_IDS", ids)
     texts = corpus(2)
     rows = [(shift * i, t) for i, t in enumerate(texts)]
     got = sorted((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.dedup(make(spark, texts, ids=[i for i, _ in rows]).repartition(4)).collect())

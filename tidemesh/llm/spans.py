@@ -1,13 +1,15 @@
 """Finding repeated runs of L units (bytes or words) in a corpus, exactly and without an all-positions shuffle.
 
 A window is a run of L units of one document. Its anchor is the hash of the least of its k-grams by a rolling
-hash (the last of equals), so equal windows have equal anchors. Neighbouring windows with their anchor at one
-place form a phrase: at most W = L - k + 1 windows, about W / 2 on average, so there is one phrase for many
-units. Phrases of a document overlap by L - 1 units, hence each window lies in exactly one.
+hash (the last of equals), so equal windows have equal anchors. Neighbouring windows with one anchor form a
+phrase: about (L - k + 1) / 2 windows in varied text, MOST at most, so there is one phrase for many units. Phrases of
+a document overlap by L - 1 units, hence each window lies in exactly one. In varied text a phrase's anchor has
+one place and its windows differ; where it has several (periodic text), equal windows may lie in one phrase.
 
-* Anchors that the corpus holds once settle all their windows: none is repeated.
+* Anchors that the corpus holds once, at one place, settle all their windows: none is repeated.
 * Of the others, equal phrases (anchor and hash of the whole phrase, 128 bits) settle all their windows: each is repeated.
-* Only distinct phrases that share an anchor are compared window by window, once for each distinct phrase.
+* Only distinct phrases that share an anchor are compared window by window, once for each distinct phrase: the phrases of
+  one anchor side by side, as long as there are at most GROUP of them, else by a shuffle of their windows' hashes.
 
 Grouping uses counts and minima that combine before the shuffle; joins are on keys whose hot values Spark can split.
 """
@@ -26,6 +28,12 @@ from tidemesh.llm.store import stored
 
 #: Stands for a null doc_id, after all others.
 NO_ID = (1 << 63) - 1
+#: Windows in a phrase at most.
+MOST = 255
+#: Phrases of one anchor that are compared in one task at most.
+GROUP = 4096
+#: Ids that are broadcast to pick documents out before a shuffle; with more of them all are shuffled.
+BROADCAST_IDS = 2_000_000
 _PHRASE = "anchor long, phrase long, did long, loc long"
 
 
@@ -33,6 +41,7 @@ class Units:
     """Codes of a block's units, and where each text's begin."""
 
     def __init__(self, text: pa.Array, kind: str) -> None:
+        """text: of large_string, or of large_binary as cut out of texts."""
         if kind == "bytes":
             self.data, self.first = K.buffers(text)
             self.codes = K.byte_codes(self.data)
@@ -42,17 +51,17 @@ class Units:
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """did, th (24 bits of the text's hash) and text of each row: rows with equal did and text are told apart by nothing, and need not be."""
+    """did, th (23 bits of the text's hash) and text of each row: rows with equal did and text are told apart by nothing, and need not be."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("did"), F.shiftrightunsigned(F.xxhash64(text), 40).alias("th"), text.alias("text"))
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("did"), F.shiftrightunsigned(F.xxhash64(text), 41).alias("th"), text.alias("text"))
 
 
-def phrases_of(units: Units, length: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text, first window, number of windows, anchor, hash) of each phrase of a block."""
+def phrases_of(units: Units, length: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, first window, number of windows, whether its anchor has several places, anchor, hash) of each phrase of a block."""
     codes, first = units.codes, units.first
     n = len(codes) - length + 1
     if n <= 0:
-        return tuple(np.empty(0, dtype=t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64))
+        return tuple(np.empty(0, dtype=t) for t in (np.int64, np.int64, np.int64, np.int64, np.uint64, np.uint64))
     grams = K.Rolling(codes, K.BASES[0]).grams(k)
     place = K.last_minimum(grams, length - k + 1)
     step = np.zeros(n + 1, dtype=np.int64)
@@ -60,83 +69,177 @@ def phrases_of(units: Units, length: int, k: int) -> tuple[np.ndarray, np.ndarra
     np.add.at(step, first[:-1][long_], 1)
     np.add.at(step, first[1:][long_] - length + 1, -1)
     valid = np.cumsum(step[:-1]) > 0
+    anchor = grams[place]
     new = np.ones(n, dtype=bool)
-    new[1:] = (place[1:] != place[:-1]) | ~valid[:-1]
+    new[1:] = (anchor[1:] != anchor[:-1]) | ~valid[:-1]
     start = np.flatnonzero(valid & new)
     last = np.ones(n, dtype=bool)
     last[:-1] = new[1:] | ~valid[1:]
     end = np.flatnonzero(valid & last) + 1
+    # Long runs in pieces of MOST windows.
+    pieces = -(-(end - start) // MOST)
+    whole = np.repeat(np.arange(len(start)), pieces)
+    start = start[whole] + MOST * (np.arange(len(whole)) - np.repeat(np.cumsum(pieces) - pieces, pieces))
+    end = np.minimum(start + MOST, end[whole])
+    several = (place[start] != place[end - 1]).astype(np.int64)
     owner = np.searchsorted(first, start, side="right") - 1
     hashes = K.Rolling(codes, K.BASES[1]).ranges(start, end + length - 1)
-    return owner, start - first[owner], end - start, grams[place[start]], hashes
+    return owner, start - first[owner], end - start, several, anchor[start], hashes
 
 
 def phrases(docs: DataFrame, kind: str, length: int, k: int) -> DataFrame:
-    """anchor, phrase, did, loc of all phrases; loc holds th, the first window's place and the number of windows."""
+    """anchor, phrase, did, loc of all phrases; loc holds th, the first window's place, whether the anchor has several places and the number of windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, text in K.blocks(batch):
-                owner, start, n, anchor, phrase = phrases_of(Units(text, kind), length, k)
+                owner, start, n, several, anchor, phrase = phrases_of(Units(text, kind), length, k)
                 did, th = (rows.column(i).to_numpy(zero_copy_only=False)[owner] for i in (0, 1))
-                loc = (th << 40) | (start << 8) | n
+                loc = (th << 41) | (start << 9) | (several << 8) | n
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (K.signed(anchor), K.signed(phrase), did, loc)], names=["anchor", "phrase", "did", "loc"])
 
     return docs.mapInArrow(run, _PHRASE)
 
 
-def windows(docs: DataFrame, compared: DataFrame, kind: str, length: int) -> DataFrame:
-    """anchor, window (hash), phrase, at, did of each window of the phrases ``compared`` (anchor, phrase, did, th, start, n)."""
-    lists = compared.groupBy("did", "th").agg(*(F.collect_list(c).alias(c) for c in ("anchor", "phrase", "start", "n")))
-    held = docs.join(lists, ["did", "th"]).dropDuplicates(["did", "th"]).select("did", "anchor", "phrase", "start", "n", "text")
+def picked(docs: DataFrame, by: DataFrame) -> DataFrame:
+    """The rows of docs whose did is in ``by``, or all if those are too many to broadcast: a filter before a join."""
+    ids = by.select("did").distinct()
+    return docs.join(F.broadcast(ids), "did", "left_semi") if ids.count() <= BROADCAST_IDS else docs
+
+
+def cuttings(docs: DataFrame, compared: DataFrame, kind: str, length: int) -> DataFrame:
+    """anchor, phrase, did, size and cut (the text) of the phrases ``compared`` (anchor, phrase, size, did, th, start, n)."""
+    names = ("anchor", "phrase", "size", "start", "n")
+    lists = compared.groupBy("did", "th").agg(*(F.collect_list(c).alias(c) for c in names))
+    held = picked(docs, compared).join(lists, ["did", "th"]).dropDuplicates(["did", "th"]).select("did", *names, "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, text in K.blocks(batch):
                 u = Units(text, kind)
-                rolling = K.Rolling(u.codes, K.BASES[1])
                 each = np.diff(rows.column(1).offsets.to_numpy())
-                anchor, phrase, start, n = (rows.column(i).flatten().to_numpy(zero_copy_only=False) for i in (1, 2, 3, 4))
+                anchor, phrase, size = (rows.column(i).flatten() for i in (1, 2, 3))
+                start, n = (rows.column(i).flatten().to_numpy(zero_copy_only=False) for i in (4, 5))
                 owner = np.repeat(np.arange(len(each)), each)
-                did = rows.column(0).to_numpy(zero_copy_only=False)[owner]
-                # Some phrases at a time, so that a row's windows don't pile up.
-                ends = np.cumsum(n)
-                for a, b in zip(*(lambda c: (c[:-1], c[1:]))(np.append(np.searchsorted(ends, np.arange(0, ends[-1] if len(ends) else 0, 1 << 17)), len(n))), strict=True):
-                    if a == b:
-                        continue
-                    m = n[a:b]
-                    of = np.repeat(np.arange(a, b), m)
-                    at = np.arange(len(of)) - np.repeat(np.cumsum(m) - m, m)
-                    place = u.first[owner[of]] + start[of] + at
-                    h = K.signed(rolling.ranges(place, place + length))
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (anchor[of], h, phrase[of], at.astype(np.int32), did[of])], names=["anchor", "window", "phrase", "at", "did"])
-
-    return held.mapInArrow(run, "anchor long, window long, phrase long, at int, did long")
-
-
-def spans(docs: DataFrame, kind: str, length: int, k: int, shared: str, settled: str, repeated: str, name: str) -> DataFrame:
+                begin = u.first[owner] + start
+                end = begin + n + length - 1
+                if kind == "words":
+                    begin, end = u.words.start[begin], u.words.end[end - 1]
+                    raw = u.words.data.tobytes()
+                else:
+                    raw = u.data.tobytes()
+                did = rows.column(0).take(pa.array(owner))
+                for at in range(0, len(owner), 4096):
+                    cut = pa.array([raw[x:y] for x, y in zip(begin[at : at + 4096].tolist(), end[at : at + 4096].tolist(), strict=True)], type=pa.binary())
+                    yield pa.RecordBatch.from_arrays([*(x.slice(at, 4096) for x in (anchor, phrase, did, size)), cut], names=["anchor", "phrase", "did", "size", "cut"])
+
+    return held.mapInArrow(run, "anchor long, phrase long, did long, size long, cut binary")
+
+
+def window_hashes(cut: pa.Array, kind: str, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, place in it, hash) of all windows of cuttings."""
+    u = Units(cut.cast(pa.large_binary()), kind)
+    n = np.diff(u.first) - length + 1
+    row = np.repeat(np.arange(len(n)), n)
+    at = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+    place = u.first[row] + at
+    return row, at, K.Rolling(u.codes, K.BASES[1]).ranges(place, place + length)
+
+
+def side_by_side(cut: DataFrame, kind: str, length: int, earlier: bool) -> DataFrame:
+    """anchor, phrase, ats (places of repeated windows) of each cutting with any; an anchor's cuttings meet in one task."""
+
+    def judged(rows: pa.Table) -> pa.RecordBatch:
+        anchor, did = (rows.column(c).to_numpy() for c in ("anchor", "did"))
+        row, at, h = window_hashes(rows.column("cut").combine_chunks(), kind, length)
+        order = np.lexsort((h, anchor[row]))
+        row, at, h = row[order], at[order], h[order]
+        new = np.ones(len(row), dtype=bool)
+        new[1:] = (h[1:] != h[:-1]) | (anchor[row][1:] != anchor[row][:-1])
+        group = np.cumsum(new) - 1
+        if earlier:
+            hit = np.minimum.reduceat(did[row], np.flatnonzero(new))[group] < did[row] if len(row) else new
+        else:
+            hit = np.bincount(group)[group] > 1 if len(row) else new
+        row, at = row[hit], at[hit]
+        order = np.argsort(row, kind="stable")
+        some, count = np.unique(row, return_counts=True)
+        ats = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]), type=pa.int32()), pa.array(at[order], type=pa.int32()))
+        return pa.RecordBatch.from_arrays([pa.array(anchor[some]), pa.array(rows.column("phrase").to_numpy()[some]), ats], names=["anchor", "phrase", "ats"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wait: list[pa.RecordBatch] = []
+        held = 0
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2048):
+                part = batch.slice(at, 2048)
+                wait.append(part)
+                held += part.num_rows
+                last = part.column(0)[-1].as_py()
+                if held < 4096 or wait[0].column(0)[0].as_py() == last:
+                    continue
+                # All but the last anchor's, of which more may come.
+                table = pa.Table.from_batches(wait)
+                end = int(np.flatnonzero(table.column("anchor").to_numpy() != last)[-1]) + 1
+                yield judged(table.slice(0, end))
+                wait = table.slice(end).to_batches()
+                held = table.num_rows - end
+        if wait:
+            yield judged(pa.Table.from_batches(wait))
+
+    return cut.select("anchor", "phrase", "did", "cut").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, "anchor long, phrase long, ats array<int>")
+
+
+def by_shuffle(cut: DataFrame, kind: str, length: int, earlier: bool) -> DataFrame:
+    """As side_by_side(), for anchors with any number of cuttings: each window's hash is counted on its own."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for begin in range(0, batch.num_rows, 1024):
+                part = batch.slice(begin, 1024)
+                row, at, h = window_hashes(part.column(3), kind, length)
+                take = pa.array(row)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(take), part.column(1).take(take), part.column(2).take(take), pa.array(at, type=pa.int32()), pa.array(K.signed(h))], names=["anchor", "phrase", "did", "at", "window"])
+
+    every = cut.select("anchor", "phrase", "did", "cut").mapInArrow(run, "anchor long, phrase long, did long, at int, window long")
+    by_window = every.groupBy("anchor", "window").agg(F.min("did").alias("least"), F.count(F.lit(1)).alias("times")).filter("times > 1")
+    hit = every.hint("merge").join(by_window, ["anchor", "window"]).filter("least < did" if earlier else "times > 1")
+    return hit.groupBy("anchor", "phrase").agg(F.collect_list("at").alias("ats"))
+
+
+def spans(docs: DataFrame, kind: str, length: int, k: int, earlier: bool, name: str) -> DataFrame:
     """did, th, spans (list of start, n, ats) of the documents that hold repeated windows.
 
     ``docs`` is keyed(). A span's windows are start .. start + n - 1 where ats is null, else start + ats.
-    shared, settled, repeated are SQL conditions: of an anchor that more than one window may share (over the ``least`` and ``most``
-    id that holds it and its ``times``), of a phrase of document ``did`` whose windows are all repeated (over the phrase's ``least``
-    and ``times``), and of a repeated window (over ``window_least``, ``window_times`` and the ``did`` it was taken from).
+    earlier: a window counts as repeated if a document with a smaller id holds it; else if it starts anywhere else.
     """
+    places = F.expr("1 + (shiftright(loc, 8) & 1)")
     all_ = phrases(docs, kind, length, k)
-    anchors = all_.groupBy("anchor").agg(F.min("did").alias("least"), F.max("did").alias("most"), F.count(F.lit(1)).alias("times")).filter(shared).select("anchor")
+    anchors = all_.groupBy("anchor").agg(F.min("did").alias("least"), F.max("did").alias("most"), F.sum(places).alias("places")).filter("least < most" if earlier else "places > 1").select("anchor")
     found = stored(all_.hint("merge").join(anchors, "anchor"), f"{name}-phrases")
     dictionary = found.groupBy("anchor", "phrase").agg(F.min("did").alias("least"), F.min_by("loc", "did").alias("loc"), F.count(F.lit(1)).alias("times"))
     dictionary = stored(dictionary, f"{name}-dictionary")
-    several = dictionary.groupBy("anchor").count().filter("count > 1").select("anchor")
-    compared = dictionary.hint("merge").join(several, "anchor").select("anchor", "phrase", F.col("least").alias("did"), F.shiftrightunsigned("loc", 40).alias("th"), F.expr("shiftright(loc, 8) & 4294967295L").alias("start"), F.expr("loc & 255").alias("n"))
-    every = stored(windows(docs, compared, kind, length), f"{name}-windows")
-    by_window = every.groupBy("anchor", "window").agg(F.min("did").alias("window_least"), F.count(F.lit(1)).alias("window_times")).filter("window_times > 1")
-    ats = every.hint("merge").join(by_window, ["anchor", "window"]).filter(repeated).groupBy("anchor", "phrase").agg(F.collect_list("at").alias("ats"))
-    judged = dictionary.join(ats, ["anchor", "phrase"], "left").select("anchor", "phrase", "least", "times", "ats")
-    hits = found.hint("merge").join(judged.filter(F.col("ats").isNotNull() | (F.col("times") > 1)), ["anchor", "phrase"])
-    hits = hits.withColumn("whole", F.expr(settled)).filter(F.col("whole") | F.col("ats").isNotNull())
-    span = F.struct(F.expr("shiftright(loc, 8) & 4294967295L").alias("start"), F.expr("loc & 255").alias("n"), F.when(~F.col("whole"), F.col("ats")).alias("ats"))
-    return hits.groupBy("did", F.shiftrightunsigned("loc", 40).alias("th")).agg(F.collect_list(span).alias("spans"))
+    several = dictionary.groupBy("anchor").agg(F.sum(places).alias("size")).filter("size > 1")
+    start, n = F.expr("shiftright(loc, 9) & 4294967295L"), F.expr("loc & 255")
+    compared = dictionary.hint("merge").join(several, "anchor").select("anchor", "phrase", "size", F.col("least").alias("did"), F.shiftrightunsigned("loc", 41).alias("th"), start.alias("start"), n.alias("n"))
+    cut = stored(cuttings(docs, stored(compared, f"{name}-compared"), kind, length), f"{name}-cuttings")
+    ats = side_by_side(cut.filter(F.col("size") <= GROUP), kind, length, earlier)
+    if (cut.agg(F.max("size")).first()[0] or 0) > GROUP:
+        ats = ats.union(by_shuffle(cut.filter(F.col("size") > GROUP), kind, length, earlier))
+    judged = dictionary.join(ats, ["anchor", "phrase"], "left").filter(F.col("ats").isNotNull() | (F.col("times") > 1)).select("anchor", "phrase", "least", "times", "ats")
+    hits = found.hint("merge").join(judged, ["anchor", "phrase"])
+    hits = hits.withColumn("whole", F.expr("did > least" if earlier else "times > 1")).filter(F.col("whole") | F.col("ats").isNotNull())
+    span = F.struct(start.alias("start"), n.alias("n"), F.when(~F.col("whole"), F.col("ats")).alias("ats"))
+    return stored(hits.groupBy("did", F.shiftrightunsigned("loc", 41).alias("th")).agg(F.collect_list(span).alias("spans")), f"{name}-spans")
+
+
+def with_spans(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """docs (keyed()) and their spans, null if they have none. Only texts with spans are shuffled, as long as their ids can be broadcast."""
+    ids = found.select("did").distinct()
+    if ids.count() > BROADCAST_IDS:
+        return docs.join(found, ["did", "th"], "left")
+    held = docs.join(F.broadcast(ids), "did", "left_semi").join(found, ["did", "th"], "left")
+    return held.unionByName(docs.join(F.broadcast(ids), "did", "left_anti").withColumn("spans", F.lit(None).cast(found.schema["spans"].dataType)))
 
 
 def covered(rows: pa.RecordBatch, column: int, first: np.ndarray, size: int, length: int) -> np.ndarray:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemesh.llm import kernel as K
-from tidemesh.llm.spans import NO_ID, Units, covered, keyed, spans
+from tidemesh.llm.spans import NO_ID, Units, covered, keyed, spans, with_spans
 
 LENGTH = 50
 TRIGGER = 12
@@ -27,7 +27,7 @@ TRIGGER = 12
 
 def duplicate_spans(docs: DataFrame, length: int = LENGTH, trigger: int = TRIGGER) -> DataFrame:
     """did, th, spans of the documents that hold ``length`` words in a row that start in a document with a smaller id, see spans.spans()."""
-    return spans(docs, "words", length, trigger, "least < most", "did > least", "window_least < did", "substring")
+    return spans(docs, "words", length, trigger, True, "substring")
 
 
 def dedup(docs: DataFrame, length: int = LENGTH, trigger: int = TRIGGER) -> DataFrame:
@@ -37,7 +37,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, trigger: int = TRIGGER) -> Data
     and kept as null. Other columns are ignored.
     """
     keys = keyed(docs)
-    joined = keys.join(duplicate_spans(keys, length, trigger), ["did", "th"], "left").select("did", "th", "spans", "text")
+    joined = with_spans(keys, duplicate_spans(keys, length, trigger)).select("did", "th", "spans", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

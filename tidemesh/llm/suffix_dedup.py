@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemesh.llm import kernel as K
-from tidemesh.llm.spans import NO_ID, covered, keyed, spans
+from tidemesh.llm.spans import NO_ID, covered, keyed, spans, with_spans
 
 LENGTH = 200
 TRIGGER = 40
@@ -31,7 +31,7 @@ TRIGGER = 40
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, trigger: int = TRIGGER) -> DataFrame:
     """did, th, spans of the documents that hold a string of ``length`` bytes that starts anywhere else, see spans.spans()."""
-    return spans(docs, "bytes", length, trigger, "times > 1", "times > 1", "window_times > 1", "suffix")
+    return spans(docs, "bytes", length, trigger, False, "suffix")
 
 
 def dedup(docs: DataFrame, length: int = LENGTH, trigger: int = TRIGGER) -> DataFrame:
@@ -41,7 +41,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, trigger: int = TRIGGER) -> Data
     other; a null doc_id is kept as null. Remaining bytes may cut through a character. Other columns are ignored.
     """
     keys = keyed(docs)
-    joined = keys.join(repeated_spans(keys, length, trigger), ["did", "th"], "left").select("did", "spans", "text")
+    joined = with_spans(keys, repeated_spans(keys, length, trigger)).select("did", "spans", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
