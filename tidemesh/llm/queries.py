@@ -81,7 +81,31 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE
 """
 
 
+_WORD = r"[^\x20\x09-\x0D]+"
+SUBSTRING_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(text, '{_WORD}'), []) AS w FROM documents),
+g AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS k FROM d, unnest(range(1, len(w) - 48)) t(i)),
+least_id AS (SELECT k, min(doc_id) AS m FROM g GROUP BY k),
+gone AS (SELECT DISTINCT doc_id, j FROM (SELECT g.doc_id, g.i FROM g JOIN least_id USING (k) WHERE m < g.doc_id) h, unnest(range(i, i + 50)) t(j)),
+kept AS (SELECT p.doc_id, string_agg(p.x, ' ' ORDER BY p.j) AS t, count(*) AS n FROM (SELECT doc_id, j, w[j] AS x FROM d, unnest(range(1, len(w) + 1)) t(j)) p ANTI JOIN gone USING (doc_id, j) GROUP BY 1)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(len(d.w) - coalesce(kept.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept.t, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)
+"""
+JACCARD_SQL = f"""
+WITH RECURSIVE d AS (
+    SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WORD}'), []) AS w FROM documents
+), s AS (
+    SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g FROM d, unnest(range(1, greatest(len(w) - 3, 2))) t(i) WHERE len(w) > 0
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (SELECT x, y FROM pairs JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * c >= 80 * (nx.n + ny.n - c)),
+reach(x, y) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.x, l.y FROM reach r JOIN links l ON l.x = r.y)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, (SELECT min(y) FROM reach r WHERE r.x = d.doc_id) AS component_id FROM d LEFT JOIN n USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "op4_substring_dedup": SUBSTRING_SQL,
+        "op6_ngram_jaccard": JACCARD_SQL,
         "op5_topk": TOPK_SQL,
     }
