@@ -11,7 +11,14 @@ their first n - ceil(0.8 n) + 1, the prefix. Orders that put rare tokens first m
 
 Candidates aren't spelled out as all pairs of a token's documents. Each group has a pivot, its document with the
 fewest tokens of its own; everything is compared with its pivot first. Documents that are thereby in one
-component need no comparison with each other; what is left between components is compared pair by pair.
+component need no comparison with each other. For what is left between components, let D(u) be the pivot's tokens
+that u lacks and E(u) the tokens it has besides. With s tokens lacking in both and e besides in both, u and v are similar iff
+
+    (100 + p) (s + e) >= 100 (|D(u)| + |D(v)|) + p (|E(u)| + |E(v)|) - (100 - p) |pivot|.
+
+As s and e are at most the smaller of both sides, and e counts only tokens that some other document of the pivot has
+besides, most documents with edits of their own can't make up for them with anyone and are done; the few pairs that
+may are compared, if they share prefix tokens under both orders.
 """
 
 from __future__ import annotations
@@ -116,13 +123,18 @@ def sets_of(docs: DataFrame, wanted: DataFrame, span: int) -> DataFrame:
         for batch in batches:
             for _, text in K.blocks(batch):
                 tokens, first = shingles(text, span)
-                raw = np.ascontiguousarray((tokens >> np.uint64(64 - 8 * TOKEN_BYTES)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :TOKEN_BYTES])
+                raw = packed(tokens >> np.uint64(64 - 8 * TOKEN_BYTES))
                 blobs = [raw[a:b].tobytes() for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(K.signed(class_keys(tokens, first))), pa.array(np.diff(first)), pa.array(blobs, type=pa.binary())], names=["set", "n", "tokens"])
 
     return held.mapInArrow(run, "set long, n long, tokens binary").dropDuplicates(["set"])
 
 
+def packed(tokens: np.ndarray) -> np.ndarray:
+    """The tokens' TOKEN_BYTES low bytes, a row each."""
+    return np.ascontiguousarray(tokens.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :TOKEN_BYTES])
+
+
 def unpacked(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(tokens, where each row's begin) of a binary column."""
     column = column.cast(pa.large_binary())
@@ -132,23 +144,51 @@ def unpacked(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw.view("<u8").ravel(), offsets // TOKEN_BYTES
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs a, b whose sets are similar enough."""
-    side = lambda c: sets.select(F.col("set").alias(c), F.col("n").alias(f"n_{c}"), F.col("tokens").alias(f"tokens_{c}"))
-    both = pairs.hint("merge").join(side("a"), "a").hint("merge").join(side("b"), "b").select("a", "b", "tokens_a", "tokens_b")
+def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """a, b, n_a, n_b, both (tokens in common) of the pairs a, b, and extra: a's tokens besides, where they are at most as many as b's."""
+    side = lambda c: sets.select(F.col("set").alias(c), F.col("tokens").alias(f"tokens_{c}"))
+    joined = pairs.hint("merge").join(side("a"), "a").hint("merge").join(side("b"), "b").select("a", "b", "tokens_a", "tokens_b")
+    bits = np.uint64(8 * TOKEN_BYTES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
+                m = part.num_rows
                 (x, fx), (y, fy) = unpacked(part.column(2)), unpacked(part.column(3))
-                row = np.concatenate([np.repeat(np.arange(part.num_rows), np.diff(f)) for f in (fx, fy)]).astype(np.uint64)
-                key = np.sort((row << np.uint64(8 * TOKEN_BYTES)) | np.concatenate([x, y]))
-                both = np.bincount((key[1:][key[1:] == key[:-1]] >> np.uint64(8 * TOKEN_BYTES)).astype(np.int64), minlength=part.num_rows)
-                yes = pa.array(100 * both >= percent * (np.diff(fx) + np.diff(fy) - both))
-                yield pa.RecordBatch.from_arrays([part.column(0).filter(yes), part.column(1).filter(yes)], names=["a", "b"])
+                na, nb = np.diff(fx), np.diff(fy)
+                row = np.concatenate([np.repeat(np.arange(m), c) for c in (na, nb)]).astype(np.uint64)
+                key = (row << bits) | np.concatenate([x, y])
+                order = np.argsort(key, kind="stable")
+                key = key[order]
+                same = np.zeros(len(key), dtype=bool)
+                same[:-1] = key[1:] == key[:-1]
+                both = np.bincount((key[same] >> bits).astype(np.int64), minlength=m)
+                # a's tokens come first among equals, as the sort is stable.
+                hit = np.zeros(len(key), dtype=bool)
+                hit[order[same]] = True
+                raw = packed(x[~hit[: len(x)]])
+                left = np.concatenate([[0], np.cumsum(na - both)])
+                extra = pa.array([raw[i:j].tobytes() if near else None for i, j, near in zip(left[:-1].tolist(), left[1:].tolist(), (na - both <= nb).tolist(), strict=True)], type=pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(na), pa.array(nb), pa.array(both), extra], names=["a", "b", "n_a", "n_b", "both", "extra"])
+
+    return joined.mapInArrow(run, "a long, b long, n_a long, n_b long, both long, extra binary")
+
+
+def extras(found: DataFrame) -> DataFrame:
+    """a, b, e: how many of a's extra tokens some other document compared with b has as well."""
 
-    return both.mapInArrow(run, "a long, b long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2048):
+                part = batch.slice(at, 2048)
+                token, first = unpacked(part.column(2))
+                take = pa.array(np.repeat(np.arange(part.num_rows), np.diff(first)))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(take), part.column(1).take(take), pa.array(token.astype(np.int64))], names=["a", "b", "token"])
+
+    rows = found.filter("extra IS NOT NULL").select("a", "b", "extra").mapInArrow(run, "a long, b long, token long")
+    more = rows.groupBy("b", "token").count().filter("count > 1").select("b", "token")
+    return rows.hint("merge").join(more, ["b", "token"]).groupBy("a", "b").agg(F.count(F.lit(1)).alias("e"))
 
 
 def components(links: DataFrame, name: str) -> DataFrame:
@@ -207,25 +247,35 @@ def join(docs: DataFrame, span: int = SPAN, percent: int = PERCENT) -> DataFrame
     second = stored(order(F.bitwise_not("token")).select("token", "set"), "second")
     sets = stored(sets_of(keys, left.select("did"), span), "sets")
 
-    def in_both(pairs: DataFrame) -> DataFrame:
-        """Pairs that share a prefix token under the second order, too."""
-        a = pairs.hint("merge").join(second.select(F.col("set").alias("a"), "token"), "a")
-        return a.hint("merge").join(second.select(F.col("set").alias("b"), "token"), ["b", "token"]).select("a", "b").distinct()
-
-    sized = F.expr(f"100 * least(n, other_n) >= {percent} * greatest(n, other_n)")
-    pivots = first.groupBy("token").agg(F.min_by(F.col("set"), F.struct("unique", "did", "set")).alias("other"), F.min_by(F.col("n"), F.struct("unique", "did", "set")).alias("other_n"))
-    star = first.hint("merge").join(pivots, "token").filter(F.col("set") != F.col("other")).filter(sized).select(F.least("set", "other").alias("a"), F.greatest("set", "other").alias("b")).distinct()
-    star = stored(in_both(star), "star")
-    links = stored(verified(star, sets, percent), "links")
+    pivots = first.groupBy("token").agg(F.min_by("set", F.struct("unique", "did", "set")).alias("pivot"))
+    placed = stored(first.hint("merge").join(pivots, "token").filter(F.col("set") != F.col("pivot")).select("token", "set", "n", "pivot"), "placed")
+    star = placed.select(F.col("set").alias("a"), F.col("pivot").alias("b")).distinct()
+    found = stored(compared(star, sets), "compared")
+    similar = f"100 * both >= {percent} * (n_a + n_b - both)"
+    links = stored(found.filter(similar).select("a", "b"), "links")
     roots = components(links, "star")
-    # What the pivots leave: pairs of a group from different components.
-    labelled = first.select("token", "set", "n").join(roots, "set", "left").withColumn("root", F.coalesce("root", "set"))
-    mixed = labelled.groupBy("token").agg(F.min("root").alias("low_root"), F.max("root").alias("high_root")).filter("low_root < high_root").select("token")
-    open_ = stored(labelled.hint("merge").join(mixed, "token"), "open")
-    rest = open_.hint("merge").join(open_.select("token", F.col("set").alias("other"), F.col("n").alias("other_n"), F.col("root").alias("other_root")), "token")
-    rest = rest.filter((F.col("set") < F.col("other")) & (F.col("root") != F.col("other_root"))).filter(sized).select(F.col("set").alias("a"), F.col("other").alias("b")).distinct()
-    rest = stored(in_both(rest.join(star, ["a", "b"], "left_anti")), "rest")
-    more = verified(rest, sets, percent)
+
+    # What the pivots leave: pairs of a group from different components, of which one at least isn't linked with the pivot.
+    side = found.join(extras(found), ["a", "b"], "left").select(
+        F.col("a").alias("set"),
+        F.col("b").alias("pivot"),
+        "n_b",
+        (F.col("n_b") - F.col("both")).alias("lacks"),
+        (F.col("n_a") - F.col("both")).alias("besides"),
+        F.when(F.col("extra").isNull(), F.col("n_a") - F.col("both")).otherwise(F.coalesce("e", F.lit(0))).alias("e"),
+    )
+    side = side.withColumn("needs", F.expr(f"100 * lacks + {percent} * besides - {100 - percent} * n_b")).withColumn("gives", F.expr(f"{percent} * (lacks - besides) + {100 + percent} * e"))
+    side = side.join(roots, "set", "left").withColumn("root", F.coalesce("root", "set"))
+    side = stored(placed.hint("merge").join(side, ["set", "pivot"]), "sides")
+    other = side.filter("gives > 0").select("token", *(F.col(c).alias(f"o_{c}") for c in ("set", "n", "lacks", "besides", "e", "needs", "gives", "root")))
+    may = F.expr(
+        f"root != o_root AND o_gives >= needs AND (o_needs <= 0 OR gives >= o_needs) AND 100 * least(n, o_n) >= {percent} * greatest(n, o_n)"
+        f" AND {100 + percent} * (least(lacks, o_lacks) + least(e, o_e)) >= needs + o_needs + {100 - percent} * n_b"
+    )
+    rest = side.filter("needs > 0").hint("merge").join(other, "token").filter(may).select(F.least("set", "o_set").alias("a"), F.greatest("set", "o_set").alias("b")).distinct()
+    of = lambda c: second.select(F.col("set").alias(c), "token")
+    rest = rest.hint("merge").join(of("a"), "a").hint("merge").join(of("b"), ["b", "token"]).select("a", "b").distinct()
+    more = compared(stored(rest, "rest"), sets).filter(similar).select("a", "b")
     roots = components(stored(links.union(more), "all-links"), "all")
 
     by_class = classes.select("set", "did").join(roots, "set", "left").withColumn("root", F.coalesce("root", "set"))
