@@ -248,7 +248,7 @@ def join(docs: DataFrame, span: int = SPAN, percent: int = PERCENT) -> DataFrame
     sets = stored(sets_of(keys, left.select("did"), span), "sets")
 
     pivots = first.groupBy("token").agg(F.min_by("set", F.struct("unique", "did", "set")).alias("pivot"))
-    placed = stored(first.hint("merge").join(pivots, "token").filter(F.col("set") != F.col("pivot")).select("token", "set", "n", "pivot"), "placed")
+    placed = first.hint("merge").join(pivots, "token").filter(F.col("set") != F.col("pivot"))
     star = placed.select(F.col("set").alias("a"), F.col("pivot").alias("b")).distinct()
     found = stored(compared(star, sets), "compared")
     similar = f"100 * both >= {percent} * (n_a + n_b - both)"
@@ -265,16 +265,17 @@ def join(docs: DataFrame, span: int = SPAN, percent: int = PERCENT) -> DataFrame
         F.when(F.col("extra").isNull(), F.col("n_a") - F.col("both")).otherwise(F.coalesce("e", F.lit(0))).alias("e"),
     )
     side = side.withColumn("needs", F.expr(f"100 * lacks + {percent} * besides - {100 - percent} * n_b")).withColumn("gives", F.expr(f"{percent} * (lacks - besides) + {100 + percent} * e"))
-    side = side.join(roots, "set", "left").withColumn("root", F.coalesce("root", "set"))
-    side = stored(placed.hint("merge").join(side, ["set", "pivot"]), "sides")
-    other = side.filter("gives > 0").select("token", *(F.col(c).alias(f"o_{c}") for c in ("set", "n", "lacks", "besides", "e", "needs", "gives", "root")))
+    side = side.join(roots, "set", "left").withColumn("root", F.coalesce("root", "set")).filter("needs > 0 OR gives > 0")
+    for name, prefixes in (("first", first), ("second", second)):
+        side = side.hint("merge").join(prefixes.groupBy("set").agg(F.collect_list("token").alias(name)), "set")
+    side = stored(side.join(left.select("set", "n"), "set"), "sides")
+    other = side.filter("gives > 0").select("pivot", *(F.col(c).alias(f"o_{c}") for c in ("set", "n", "lacks", "besides", "e", "needs", "gives", "root", "first", "second")))
     may = F.expr(
         f"root != o_root AND o_gives >= needs AND (o_needs <= 0 OR gives >= o_needs) AND 100 * least(n, o_n) >= {percent} * greatest(n, o_n)"
         f" AND {100 + percent} * (least(lacks, o_lacks) + least(e, o_e)) >= needs + o_needs + {100 - percent} * n_b"
+        " AND (o_needs <= 0 OR set < o_set) AND arrays_overlap(first, o_first) AND arrays_overlap(second, o_second)"
     )
-    rest = side.filter("needs > 0").hint("merge").join(other, "token").filter(may).select(F.least("set", "o_set").alias("a"), F.greatest("set", "o_set").alias("b")).distinct()
-    of = lambda c: second.select(F.col("set").alias(c), "token")
-    rest = rest.hint("merge").join(of("a"), "a").hint("merge").join(of("b"), ["b", "token"]).select("a", "b").distinct()
+    rest = side.filter("needs > 0").hint("merge").join(other, "pivot").filter(may).select(F.least("set", "o_set").alias("a"), F.greatest("set", "o_set").alias("b")).distinct()
     more = compared(stored(rest, "rest"), sets).filter(similar).select("a", "b")
     roots = components(stored(links.union(more), "all-links"), "all")
 
