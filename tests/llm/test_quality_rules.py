@@ -1,6 +1,7 @@
 import re
 
 import numpy as np
+from pyspark.sql import functions as F
 from tidemesh.llm import quality_rules
 
 from tests.llm.conftest import awkward, make
@@ -39,17 +40,26 @@ def test_empty_table(spark):
 
 
 def test_extra_columns_and_repeated_rows(spark):
-    from pyspark.sql import functions as F
-
     d = make(spark, ["some words here"] * 3, ids=[1, 1, 2]).withColumn("n_words", F.lit("x")).withColumn("kept", F.lit(1))
     assert sorted(r.doc_id for r in quality_rules.judge(d).collect()) == [1, 1, 2]
 
 
-def test_em_finds_the_accurate_rules():
+def test_em_finds_how_far_rules_can_be_trusted():
     r = np.random.default_rng(0)
-    truth = r.random(4000) < 0.8
-    rates = np.array([0.95, 0.9, 0.6])
-    votes = np.where(r.random((4000, 3)) < rates, np.where(truth, 1, -1)[:, None], np.where(truth, -1, 1)[:, None]) * (r.random((4000, 3)) < 0.9)
-    good, accuracy = quality_rules.fit(votes.astype(float), np.ones(4000))
-    assert abs(good - 0.8) < 0.05 and abs(accuracy - rates).max() < 0.06
-    assert ((quality_rules.posterior(votes, good, accuracy) >= 0.5) == truth).mean() > 0.9
+    n = 20000
+    good = r.random(n) < 0.8
+    alarm, detect = np.array([0.01, 0.02, 0.03, 0.15]), np.array([0.8, 0.7, 0.6, 0.2])
+    against = r.random((n, 4)) < np.where(good[:, None], alarm, detect)
+    votes = np.where(against, -1.0, 1.0) * (r.random((n, 4)) < 0.9)
+    pattern, back, count = np.unique(votes, axis=0, return_inverse=True, return_counts=True)
+    fitted = quality_rules.fit(pattern, count.astype(float))
+    assert abs(fitted[0] - 0.8) < 0.05 and abs(fitted[2] - detect).max() < 0.15
+    assert fitted[1].argmax() == 3
+    assert ((quality_rules.posterior(pattern, *fitted)[back.ravel()] >= 0.5) == good).mean() > 0.93
+
+
+def test_labelled_documents_are_told_apart(spark):
+    sf = "/root/testdata/sf0.01"
+    got = quality_rules.judge(spark.read.parquet(f"{sf}/documents.parquet")).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").filter("NOT base_failed")
+    kept = {r.quality: r.share for r in got.groupBy("quality").agg(F.avg(F.col("kept").cast("double")).alias("share")).collect()}
+    assert kept[1] > 0.97 and kept[0] < 0.15

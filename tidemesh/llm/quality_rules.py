@@ -2,8 +2,8 @@
 
 Each rule votes for or against a document or abstains. The rules' accuracies and the share of good
 documents are estimated from all documents' votes by expectation-maximisation (a two-class
-Dawid-Skene model with abstentions), and the posterior probability decides, so that no single rule
-rejects a document by itself. Only the counts of the vote patterns, at most 3 ** len(RULES) rows,
+Dawid-Skene model with abstentions, each rule with a rate of false alarms and one of detections), and the
+posterior probability decides; a rule that is often wrong counts little. Only the counts of the vote patterns, at most 3 ** len(RULES) rows,
 reach the driver.
 """
 
@@ -26,10 +26,8 @@ _UPPER[65:91] = True
 _LETTER = np.zeros(256, dtype=bool)
 _LETTER[65:91] = _LETTER[97:123] = True
 _LETTER[128:] = True
-_DIGIT = np.zeros(256, dtype=bool)
-_DIGIT[48:58] = True
 
-COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_letters", "n_digits", "n_distinct_words")
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_letters", "n_bare_words", "n_distinct_words")
 
 
 def text_counts(text: pa.Array, span: int = 8) -> dict[str, np.ndarray]:
@@ -43,8 +41,10 @@ def text_counts(text: pa.Array, span: int = 8) -> dict[str, np.ndarray]:
         "n_symbols": K.sums_by(w.offsets, _SYMBOL[w.data]),
         "n_upper": K.sums_by(w.offsets, _UPPER[w.data]),
         "n_letters": K.sums_by(w.offsets, _LETTER[w.data] & head),
-        "n_digits": K.sums_by(w.offsets, _DIGIT[w.data]),
     }
+    letters = np.zeros(len(w.data) + 1, dtype=np.int64)
+    np.cumsum(_LETTER[w.data], out=letters[1:])
+    out["n_bare_words"] = K.sums_by(w.first, letters[w.end] == letters[w.start])
     # Lines end at \n and at the end of a text.
     breaks = np.flatnonzero(w.data == 10)
     bounds = np.union1d(w.offsets, breaks + 1)
@@ -98,35 +98,47 @@ def rules() -> dict[str, Column]:
     of_lines = F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1))
     upper = F.col("n_upper") / F.greatest(letters, F.lit(1))
     mean = of_words("word_chars")
+    chars = F.greatest(F.col("word_chars"), F.lit(1))
     varied = of_words("n_distinct_words")
     return {
         "length": _vote(words < 20, words >= 60),
         "symbols": _vote(of_words("n_symbols") > 0.2, of_words("n_symbols") < 0.05),
+        "letters": _vote(F.col("n_letters") / chars < 0.75, F.col("n_letters") / chars > 0.85),
+        "bare_words": _vote(of_words("n_bare_words") > 0.2, of_words("n_bare_words") < 0.1),
         "lines": _vote(of_lines > 0.3, (of_lines < 0.1) & (F.col("n_lines") >= 3)),
-        "repeats": _vote(of_words("n_repeat_words") > 0.2, (of_words("n_repeat_words") < 0.05) & (words >= 20)),
+        "repeats": _vote(of_words("n_repeat_words") > 0.3, (of_words("n_repeat_words") < 0.05) & (words >= 20)),
         "capitals": _vote(upper > 0.35, upper < 0.15),
         "word_length": _vote((mean < 2.5) | (mean > 12), mean.between(3.0, 9.5)),
         "variety": _vote((words >= 100) & (varied < 0.15), (words >= 100) & (varied > 0.3)),
     }
 
 
-def fit(votes: np.ndarray, weights: np.ndarray, rounds: int = 100) -> tuple[float, np.ndarray]:
-    """Share of good documents, and each rule's accuracy where it votes. votes: pattern by rule; weights: documents of each pattern.
+#: What is believed of a rule before its votes are seen, and how much that weighs against them, in shares of all documents.
+FALSE_ALARMS, FALSE_ALARMS_WEIGHT = 0.005, 1.0
+DETECTIONS, DETECTIONS_WEIGHT = 0.3, 0.2
 
-    Accuracies stay within 0.55 and 0.98: a rule is better than chance by assumption, and none is trusted wholly.
+
+def fit(votes: np.ndarray, weights: np.ndarray, rounds: int = 100) -> tuple[float, np.ndarray, np.ndarray]:
+    """Share of good documents, and each rule's chance to vote against a good one (false alarm) and against a bad one (detection), where it votes.
+
+    votes: pattern by rule; weights: documents of each pattern. It starts from the guess that votes against are mostly right.
     """
-    good, accuracy = 0.7, np.full(votes.shape[1], 0.8)
+    against, cast = (votes < 0) * weights[:, None], (votes != 0) * weights[:, None]
+    n = weights.sum()
+    good = np.where((votes < 0).any(1), 0.2, 0.95)
+    share, alarm, detect = 0.8, np.full(votes.shape[1], FALSE_ALARMS), np.full(votes.shape[1], DETECTIONS)
     for _ in range(rounds if len(votes) else 0):
-        p = posterior(votes, good, accuracy)
-        right = np.where(votes > 0, p[:, None], np.where(votes < 0, 1 - p[:, None], 0.0))
-        cast = (votes != 0) * weights[:, None]
-        accuracy = np.clip(((right * weights[:, None]).sum(0) + 0.8) / (cast.sum(0) + 1.0), 0.55, 0.98)
-        good = float(np.clip((p * weights).sum() / weights.sum(), 0.05, 0.95))
-    return good, accuracy
+        share = float(np.clip((good * weights).sum() / n, 0.5, 0.98))
+        alarm = (good @ against + FALSE_ALARMS * FALSE_ALARMS_WEIGHT * n) / (good @ cast + FALSE_ALARMS_WEIGHT * n)
+        detect = ((1 - good) @ against + DETECTIONS * DETECTIONS_WEIGHT * n) / ((1 - good) @ cast + DETECTIONS_WEIGHT * n)
+        detect = np.maximum(detect, alarm)
+        good = posterior(votes, share, alarm, detect)
+    return share, alarm, detect
 
 
-def posterior(votes: np.ndarray, good: float, accuracy: np.ndarray) -> np.ndarray:
-    odds = np.log(good / (1 - good)) + (votes * np.log(accuracy / (1 - accuracy))).sum(1)
+def posterior(votes: np.ndarray, share: float, alarm: np.ndarray, detect: np.ndarray) -> np.ndarray:
+    """Probability of each pattern's documents to be good; who abstains says nothing."""
+    odds = np.log(share / (1 - share)) + np.where(votes < 0, np.log(alarm / detect), np.where(votes > 0, np.log((1 - alarm) / (1 - detect)), 0.0)).sum(1)
     return 1 / (1 + np.exp(-odds))
 
 
@@ -141,8 +153,8 @@ def judge(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     table = stored(measured(docs).withColumns({f"vote_{r}": v.cast("int") for r, v in rules().items()}), "rules")
     patterns = table.groupBy(*names).count().collect()
     votes = np.array([[r[n] for n in names] for r in patterns], dtype=float).reshape(-1, len(names))
-    good, accuracy = fit(votes, np.array([r["count"] for r in patterns], dtype=float))
-    scored = [(*(r[n] for n in names), float(p)) for r, p in zip(patterns, posterior(votes, good, accuracy), strict=True)]
+    fitted = fit(votes, np.array([r["count"] for r in patterns], dtype=float))
+    scored = [(*(r[n] for n in names), float(p)) for r, p in zip(patterns, posterior(votes, *fitted), strict=True)]
     by_pattern = spark.createDataFrame(scored, ", ".join(f"{n} int" for n in names) + ", p_good double")
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     return table.join(F.broadcast(by_pattern), names).withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("p_good") >= threshold))
