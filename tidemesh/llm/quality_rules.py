@@ -114,7 +114,7 @@ def rules() -> dict[str, Column]:
 
 
 #: What is believed of a rule before its votes are seen, and how much that weighs against them, in shares of all documents.
-FALSE_ALARMS, FALSE_ALARMS_WEIGHT = 0.005, 1.0
+FALSE_ALARMS, FALSE_ALARMS_WEIGHT = 0.005, 0.1
 DETECTIONS, DETECTIONS_WEIGHT = 0.3, 0.2
 
 
