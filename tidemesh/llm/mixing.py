@@ -28,7 +28,7 @@ SHARE = 1.5
 REPEATS = 2
 SLOTS = 1 << 18
 #: Documents expected in a hash bucket of a source, and slots in a chunk of the schedule.
-BUCKET_ROWS = 2000
+BUCKET_ROWS = 256
 CHUNK_SLOTS = 4096
 #: Sources a table may have; their totals are held on the driver.
 MOST_SOURCES = 100_000

@@ -10,6 +10,7 @@ place through their rank among those of equal length, counted in hash buckets, s
 
 from __future__ import annotations
 
+import itertools
 import zlib
 from collections.abc import Iterator
 
@@ -24,13 +25,51 @@ from tidemesh.llm.store import stored
 
 CAPACITY = 2048
 END = 0
-BUCKET_ROWS = 2000
-#: Parts of words whose ids a Python worker keeps between batches: at most twice as many and a block's own.
-CACHE_WORDS = 500_000
-BLOCK_BYTES = 4 << 20
+BUCKET_ROWS = 256
+#: Parts of words whose ids a Python worker keeps between batches.
+CACHE_WORDS = 1_200_000
+BLOCK_BYTES = 1 << 20
 
 _tokenizers: dict[str, object] = {}
-_caches: dict[str, tuple[dict[bytes, bytes], dict[bytes, bytes]]] = {}
+_caches: dict[str, Cache] = {}
+
+
+class Cache:
+    """Ids of parts of words by their 64-bit hash, as sorted arrays: about 40 bytes for each."""
+
+    def __init__(self) -> None:
+        self.hashes, self.begin = np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64)
+        self.length, self.uses = np.empty(0, dtype=np.int32), np.empty(0, dtype=np.int32)
+        self.flat = np.empty(0, dtype="<u4")
+
+    def missing(self, hashes: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(self.hashes, hashes)
+        return np.flatnonzero(at == len(self.hashes)) if not len(self.hashes) else np.flatnonzero(self.hashes[np.minimum(at, len(self.hashes) - 1)] != hashes)
+
+    def add(self, hashes: np.ndarray, ids: list[list[int]]) -> None:
+        length = np.fromiter(map(len, ids), dtype=np.int32, count=len(ids))
+        begin = len(self.flat) + np.cumsum(length) - length
+        order = np.argsort(hashes)
+        at = np.searchsorted(self.hashes, hashes[order])
+        self.flat = np.concatenate([self.flat, np.fromiter(itertools.chain.from_iterable(ids), dtype="<u4", count=int(length.sum()))])
+        self.hashes, self.begin = np.insert(self.hashes, at, hashes[order]), np.insert(self.begin, at, begin[order])
+        self.length, self.uses = np.insert(self.length, at, length[order]), np.insert(self.uses, at, 0)
+
+    def places(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(begin in flat, length) of parts that are there."""
+        at = np.searchsorted(self.hashes, hashes)
+        self.uses[at] += 1
+        return self.begin[at], self.length[at].astype(np.int64)
+
+    def shrink(self, most: int) -> None:
+        """Keeps the most used half where there are too many."""
+        if len(self.hashes) <= most:
+            return
+        keep = np.sort(np.argsort(-self.uses, kind="stable")[: most // 2])
+        length = self.length[keep].astype(np.int64)
+        ends = np.cumsum(length)
+        self.flat = self.flat[np.repeat(self.begin[keep] - (ends - length), length) + np.arange(ends[-1])]
+        self.hashes, self.begin, self.length, self.uses = self.hashes[keep], ends - length, self.length[keep], self.uses[keep] // 2
 
 
 def vocabulary() -> str:
@@ -57,26 +96,18 @@ def token_ids(text: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     tok = _tokenizer(path)
     w = K.Words(text, parts=True)
     back, distinct = pd.factorize(w.hashes())
-    at = np.empty(len(distinct), dtype=np.int64)
-    at[back[::-1]] = np.arange(len(back))[::-1]
-    raw = w.data.tobytes()
-    words = [raw[a:b] for a, b in zip(w.start[at].tolist(), w.end[at].tolist(), strict=True)]
-    young, old = _caches.get(path, ({}, {}))
-    if len(young) > CACHE_WORDS:
-        young, old = {}, young
-    _caches[path] = young, old
-    for x in words:
-        if x not in young and x in old:
-            young[x] = old[x]
-    missing = [x for x in words if x not in young]
-    for begin in range(0, len(missing), 4096):
-        some = missing[begin : begin + 4096]
-        for x, e in zip(some, tok.encode_batch([x.decode() for x in some], add_special_tokens=False), strict=True):
-            young[x] = np.array(e.ids, dtype="<u4").tobytes()
-    parts = [young[x] for x in words]
-    lengths = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)) // 4
-    flat = np.frombuffer(b"".join(parts), dtype="<u4")
-    begins = np.cumsum(lengths) - lengths
+    cache = _caches.setdefault(path, Cache())
+    cache.shrink(CACHE_WORDS)
+    missing = cache.missing(distinct)
+    if len(missing):
+        at = np.empty(len(distinct), dtype=np.int64)
+        at[back[::-1]] = np.arange(len(back))[::-1]
+        raw, at = w.data.tobytes(), at[missing]
+        words = [raw[a:b].decode() for a, b in zip(w.start[at].tolist(), w.end[at].tolist(), strict=True)]
+        ids = [e.ids for i in range(0, len(words), 4096) for e in tok.encode_batch(words[i : i + 4096], add_special_tokens=False)]
+        cache.add(distinct[missing], ids)
+    begins, lengths = cache.places(distinct)
+    flat = cache.flat
     each = lengths[back]
     ends = np.cumsum(each)
     ids = flat[np.repeat(begins[back] - (ends - each), each) + np.arange(ends[-1] if len(ends) else 0)]
