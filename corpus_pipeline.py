@@ -27,12 +27,10 @@ def _documents(df: DataFrame) -> DataFrame:
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents in a language: those of ``und`` and of a score below LEAST_SCORE go; lang becomes the prediction.
 
-    Null, empty and letterless texts go. Rows that share a doc_id are told apart by their text.
+    Null, empty and letterless texts go. Rows are judged one by one, also those that share a doc_id.
     """
-    docs = _documents(docs).filter("text IS NOT NULL").withColumn("th", F.xxhash64("text"))
-    # Predictions follow the text alone, so rows with one id and text share theirs.
-    found = language.identify(docs).filter((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
-    return docs.join(found.select("doc_id", "lang_pred").dropDuplicates(["doc_id"]), "doc_id").withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
+    found = language.identify(_documents(docs), keep=("text", "source", "n_chars"))
+    return found.filter((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -14,9 +14,11 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemesh.llm import kernel as K
 from tidemesh.llm.labelled import remainder, sample
+from tidemesh.llm.store import nullable
 from tidemesh.llm.subwords import Distinct, Table
 
 LONGEST = 5
@@ -101,13 +103,13 @@ class Model:
         return np.where(blank, -1, best), np.where(blank, 0.0, score)
 
 
-def identify(docs: DataFrame, folds: int = 5) -> DataFrame:
-    """doc_id, held_out, lang_pred, score of each document; the model is learned from a bounded sample of the folds other than 0.
+def identify(docs: DataFrame, folds: int = 5, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, held_out, lang_pred, score of each document, and its columns ``keep``; the model is learned from a bounded sample of the folds other than 0.
 
     Null texts, texts without letters and, if nothing is labelled, all texts are ``und`` with score 0. Repeated rows are
     predicted one by one, ties go to the first language by name, other columns are ignored.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), *(F.col(c).alias(f"_{c}") for c in keep))
     texts, langs = sample(docs, docs.filter(remainder("doc_id", folds) != 0).select("doc_id", F.col("lang").alias("label")), SAMPLE_DOCS, SAMPLE_BYTES)
     model = docs.sparkSession.sparkContext.broadcast(Model(texts, langs) if langs else None)
 
@@ -115,9 +117,11 @@ def identify(docs: DataFrame, folds: int = 5) -> DataFrame:
         m = model.value
         names = np.array([*m.langs, UNKNOWN] if m else [UNKNOWN], dtype=object)
         for batch in batches:
-            for rows, text in K.blocks(batch, most=4 << 20):
+            for rows, text in K.blocks(batch):
                 best, score = m.predict(text) if m else (np.full(len(text), -1), np.zeros(len(text)))
-                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(names[best], type=pa.string()), pa.array(score)], names=["doc_id", "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(names[best], type=pa.string()), pa.array(score), *rows.columns[2:]], names=["doc_id", "lang_pred", "score", *rows.schema.names[2:]])
 
-    found = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
-    return found.select("doc_id", (remainder("doc_id", folds) == 0).alias("held_out"), "lang_pred", "score")
+    rows = docs.select("doc_id", "text", *(f"_{c}" for c in keep))
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), *nullable(rows.schema).fields[2:]])
+    found = rows.mapInArrow(run, schema)
+    return found.select("doc_id", (remainder("doc_id", folds) == 0).alias("held_out"), "lang_pred", "score", *(F.col(f"_{c}").alias(c) for c in keep))
