@@ -187,7 +187,7 @@ def extras(found: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0).take(take), part.column(1).take(take), pa.array(token.astype(np.int64))], names=["a", "b", "token"])
 
     rows = found.filter("extra IS NOT NULL").select("a", "b", "extra").mapInArrow(run, "a long, b long, token long")
-    more = rows.groupBy("b", "token").count().filter("count > 1").select("b", "token")
+    more = stored(rows.groupBy("b", "token").count().filter("count > 1").select("b", "token"), "extras")
     return rows.hint("merge").join(more, ["b", "token"]).groupBy("a", "b").agg(F.count(F.lit(1)).alias("e"))
 
 
@@ -205,9 +205,10 @@ def components(links: DataFrame, name: str) -> DataFrame:
         own = roots.select(F.col("set").alias("b"), "root")
         near = both.hint("merge").join(own, "b").groupBy(F.col("a").alias("set")).agg(F.min("root").alias("near"))
         hooked = roots.withColumnRenamed("root", "old").join(near, "set").withColumn("root", F.least("old", "near"))
-        # A root that saw a smaller one takes it along for all that point to it.
-        moved = hooked.filter("root < old").groupBy(F.col("old").alias("set")).agg(F.min("root").alias("via"))
-        new = hooked.hint("merge").join(moved.select(F.col("set").alias("old"), "via"), "old", "left").select("set", "old", F.least("root", "via").alias("root"))
+        # A root that saw a smaller one takes it along for all that point to it. Lookups are from stored tables, so that Spark can split a root that very many point to.
+        hooked = stored(hooked.select("set", "old", "root"), f"{name}-hooked")
+        moved = stored(hooked.filter("root < old").groupBy("old").agg(F.min("root").alias("via")), f"{name}-moved")
+        new = stored(hooked.hint("merge").join(moved, "old", "left").select("set", "old", F.least("root", "via").alias("root")), f"{name}-via")
         jump = new.select(F.col("set").alias("root"), F.col("root").alias("further"))
         new = stored(new.hint("merge").join(jump, "root", "left").select("set", "old", F.coalesce("further", "root").alias("root")), f"{name}-roots")
         done = new.filter("root < old").isEmpty()
@@ -228,6 +229,8 @@ def join(docs: DataFrame, span: int = SPAN, percent: int = PERCENT) -> DataFrame
     classes = table.filter("set IS NOT NULL").groupBy("set").agg(F.min("did").alias("did"), F.max("n").alias("n"), F.max("low").alias("low"))
     rows = uses(keys, span, percent)
     shared = rows.groupBy("token").agg(F.min("set").alias("least"), F.max("set").alias("most"), F.count(F.lit(1)).alias("times")).filter("least < most").select("token", "times")
+    # Stored, so that both sides of the join are plain shuffles, which Spark splits where a token is very frequent; likewise below.
+    shared = stored(shared, "tokens")
     held = stored(rows.hint("merge").join(shared, "token").select("token", "set", "times").distinct(), "shared")
 
     bound = int(COUNTED * 2**64)
@@ -248,6 +251,7 @@ def join(docs: DataFrame, span: int = SPAN, percent: int = PERCENT) -> DataFrame
     sets = stored(sets_of(keys, left.select("did"), span), "sets")
 
     pivots = first.groupBy("token").agg(F.min_by("set", F.struct("unique", "did", "set")).alias("pivot"))
+    pivots = stored(pivots, "pivots")
     placed = first.hint("merge").join(pivots, "token").filter(F.col("set") != F.col("pivot"))
     star = placed.select(F.col("set").alias("a"), F.col("pivot").alias("b")).distinct()
     found = stored(compared(star, sets), "compared")
@@ -280,7 +284,8 @@ def join(docs: DataFrame, span: int = SPAN, percent: int = PERCENT) -> DataFrame
     roots = components(stored(links.union(more), "all-links"), "all")
 
     by_class = classes.select("set", "did").join(roots, "set", "left").withColumn("root", F.coalesce("root", "set"))
-    smallest = by_class.groupBy("root").agg(F.min("did").alias("component"))
-    by_class = by_class.join(smallest, "root").select("set", "component")
-    out = table.join(by_class, "set", "left")
+    by_class = stored(by_class, "classes")
+    smallest = stored(by_class.groupBy("root").agg(F.min("did").alias("component")), "smallest")
+    by_class = stored(by_class.hint("merge").join(smallest, "root").select("set", "component"), "components")
+    out = table.hint("merge").join(by_class, "set", "left")
     return out.select(F.nullif("did", F.lit(NO_ID)).alias("doc_id"), F.col("n").alias("n_shingles"), F.nullif(F.coalesce("component", "did"), F.lit(NO_ID)).alias("component_id"))

@@ -203,6 +203,7 @@ def by_shuffle(cut: DataFrame, kind: str, length: int, earlier: bool) -> DataFra
 
     every = cut.select("anchor", "phrase", "did", "cut").mapInArrow(run, "anchor long, phrase long, did long, at int, window long")
     by_window = every.groupBy("anchor", "window").agg(F.min("did").alias("least"), F.count(F.lit(1)).alias("times")).filter("times > 1")
+    by_window = stored(by_window, "repeated-windows")
     hit = every.hint("merge").join(by_window, ["anchor", "window"]).filter("least < did" if earlier else "times > 1")
     return hit.groupBy("anchor", "phrase").agg(F.collect_list("at").alias("ats"))
 
@@ -216,10 +217,12 @@ def spans(docs: DataFrame, kind: str, length: int, k: int, earlier: bool, name:
     places = F.expr("1 + (shiftright(loc, 8) & 1)")
     all_ = phrases(docs, kind, length, k)
     anchors = all_.groupBy("anchor").agg(F.min("did").alias("least"), F.max("did").alias("most"), F.sum(places).alias("places")).filter("least < most" if earlier else "places > 1").select("anchor")
+    # Stored, so that both sides of the join are plain shuffles, which Spark splits where an anchor is very frequent; likewise below.
+    anchors = stored(anchors, f"{name}-anchors")
     found = stored(all_.hint("merge").join(anchors, "anchor"), f"{name}-phrases")
     dictionary = found.groupBy("anchor", "phrase").agg(F.min("did").alias("least"), F.min_by("loc", "did").alias("loc"), F.count(F.lit(1)).alias("times"))
     dictionary = stored(dictionary, f"{name}-dictionary")
-    several = dictionary.groupBy("anchor").agg(F.sum(places).alias("size")).filter("size > 1")
+    several = stored(dictionary.groupBy("anchor").agg(F.sum(places).alias("size")).filter("size > 1"), f"{name}-several")
     start, n = F.expr("shiftright(loc, 9) & 4294967295L"), F.expr("loc & 255")
     compared = dictionary.hint("merge").join(several, "anchor").select("anchor", "phrase", "size", F.col("least").alias("did"), F.shiftrightunsigned("loc", 41).alias("th"), start.alias("start"), n.alias("n"))
     cut = stored(cuttings(docs, stored(compared, f"{name}-compared"), kind, length), f"{name}-cuttings")
@@ -227,6 +230,7 @@ def spans(docs: DataFrame, kind: str, length: int, k: int, earlier: bool, name:
     if (cut.agg(F.max("size")).first()[0] or 0) > GROUP:
         ats = ats.union(by_shuffle(cut.filter(F.col("size") > GROUP), kind, length, earlier))
     judged = dictionary.join(ats, ["anchor", "phrase"], "left").filter(F.col("ats").isNotNull() | (F.col("times") > 1)).select("anchor", "phrase", "least", "times", "ats")
+    judged = stored(judged, f"{name}-judged")
     hits = found.hint("merge").join(judged, ["anchor", "phrase"])
     hits = hits.withColumn("whole", F.expr("did > least" if earlier else "times > 1")).filter(F.col("whole") | F.col("ats").isNotNull())
     span = F.struct(start.alias("start"), n.alias("n"), F.when(~F.col("whole"), F.col("ats")).alias("ats"))
