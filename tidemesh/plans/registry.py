@@ -47,10 +47,10 @@ def _case(names: dict[int, str], column: str, other: str, last: int) -> str:
 # Scans
 
 
-@query("SELECT timestamp, type, route, length, rssi, snr, round(score, 9) AS score, transmitted, is_duplicate, drop_reason, src_hash, dst_hash, header, transport_codes, payload, payload_length, tx_delay_ms, packet_hash, " + _LIST + " AS original_path, raw_packet FROM packets")
+@query("SELECT timestamp, type, route, length, rssi, snr, round(score, 12) AS score, transmitted, is_duplicate, drop_reason, src_hash, dst_hash, header, transport_codes, payload, payload_length, tx_delay_ms, packet_hash, " + _LIST + " AS original_path, raw_packet FROM packets")
 def scan_packets(spark, sf):
     p = reads.scan_packets(V.packets(spark, sf))
-    return p.drop("path_hash", "forwarded_path").withColumn("original_path", F.array_join("original_path", ",")).withColumn("score", F.round("score", 9))
+    return p.drop("path_hash", "forwarded_path").withColumn("original_path", F.array_join("original_path", ",")).withColumn("score", F.round("score", 12))
 
 
 @query(
@@ -263,10 +263,10 @@ def node_stats(spark, sf):
 # Scalar functions
 
 
-@query("SELECT id, round(score, 9) AS score FROM packets")
+@query("SELECT id, round(score, 12) AS score FROM packets")
 def packet_score(spark, sf):
     p = V.packets(spark, sf)
-    return p.select("id", F.round(signal.packet_score(F.col("snr"), F.col("length")), 9).alias("score"))
+    return p.select("id", F.round(signal.packet_score(F.col("snr"), F.col("length")), 12).alias("score"))
 
 
 @query("SELECT id, round(airtime_ms, 6) AS airtime_ms FROM packets")
@@ -276,11 +276,11 @@ def airtime_estimate(spark, sf):
 
 @query(
     """, d AS (SELECT id, CASE WHEN route = 1 THEN airtime_ms * 52 / 50 / 2 * (id % 50 / 10.0) / 1000 ELSE 0.5 END AS s, score FROM packets)
-    SELECT id, round(least(5.0, CASE WHEN s >= 0.05 THEN s * greatest(0.2, 1 - score) ELSE s END), 9) AS delay_s FROM d"""
+    SELECT id, round(least(5.0, CASE WHEN s >= 0.05 THEN s * greatest(0.2, 1 - score) ELSE s END), 12) AS delay_s FROM d"""
 )
 def tx_delay(spark, sf):
     delay = signal.tx_delay_s(F.col("route"), F.col("airtime_ms"), F.col("id") % 50 / 10.0, F.col("score"), damp=True)
-    return V.packets(spark, sf).select("id", F.round(delay, 9).alias("delay_s"))
+    return V.packets(spark, sf).select("id", F.round(delay, 12).alias("delay_s"))
 
 
 @query("SELECT id, CAST((greatest(-128, least(127, CAST(trunc(snr * 4) AS INTEGER))) + 256) % 256 AS INTEGER) AS snr_byte, snr AS decoded FROM packets")
@@ -541,9 +541,9 @@ def _rolled(step: int) -> str:
     return f"{_FED}, rolled AS ({' UNION ALL '.join(parts)}) "
 
 
-@query(_rolled(60) + "SELECT bucket_ts, ds, samples, round(average, 6) AS average, round(least, 6) AS least, round(most, 6) AS most FROM rolled")
+@query(_rolled(60) + "SELECT bucket_ts, ds, samples, round(average, 12) AS average, round(least, 12) AS least, round(most, 12) AS most FROM rolled")
 def rollup_60s(spark, sf):
-    return series.rollup(V.packets(spark, sf)).select("bucket_ts", "ds", "samples", *(F.round(c, 6).alias(c) for c in ("average", "least", "most")))
+    return series.rollup(V.packets(spark, sf)).select("bucket_ts", "ds", "samples", *(F.round(c, 12).alias(c) for c in ("average", "least", "most")))
 
 
 @query(_rolled(3600) + "SELECT bucket_ts, ds, samples, round(average, 6) AS average FROM rolled")
@@ -571,22 +571,22 @@ def _filled(spark, sf) -> DataFrame:
     return series.gap_filled(series.fetched(V.packets(spark, sf), SINCE, V.NOW), SINCE, V.NOW, 60, ["rx_count", "avg_snr"])
 
 
-@query(_POINTS + "SELECT bucket_ts, ds, round(value, 6) AS value FROM filled")
+@query(_POINTS + "SELECT bucket_ts, ds, round(value, 12) AS value FROM filled")
 def gap_fill(spark, sf):
-    return _filled(spark, sf).withColumn("value", F.round("value", 6))
+    return _filled(spark, sf).withColumn("value", F.round("value", 12))
 
 
 _DELTA = _POINTS + ", deltas AS (SELECT bucket_ts, ds, value, CASE WHEN value IS NULL OR lag(value) OVER w IS NULL THEN 0.0 ELSE greatest(0.0, value - lag(value) OVER w) END AS delta FROM filled WINDOW w AS (PARTITION BY ds ORDER BY bucket_ts)) "
 
 
-@query(_DELTA + "SELECT bucket_ts, ds, round(value, 6) AS value, round(delta, 6) AS delta FROM deltas")
+@query(_DELTA + "SELECT bucket_ts, ds, round(value, 12) AS value, round(delta, 12) AS delta FROM deltas")
 def counter_delta(spark, sf):
-    return series.counter_delta(_filled(spark, sf)).select("bucket_ts", "ds", F.round("value", 6).alias("value"), F.round("delta", 6).alias("delta"))
+    return series.counter_delta(_filled(spark, sf)).select("bucket_ts", "ds", F.round("value", 12).alias("value"), F.round("delta", 12).alias("delta"))
 
 
-@query(_POINTS + "SELECT bucket_ts, ds, coalesce(round(value, 6), 0) AS value FROM filled WHERE ds = 'avg_snr'")
+@query(_POINTS + "SELECT bucket_ts, ds, coalesce(round(value, 12), 0) AS value FROM filled WHERE ds = 'avg_snr'")
 def gauge_fill(spark, sf):
-    return series.gauge_filled(_filled(spark, sf).filter("ds = 'avg_snr'")).withColumn("value", F.round("value", 6))
+    return series.gauge_filled(_filled(spark, sf).filter("ds = 'avg_snr'")).withColumn("value", F.round("value", 12))
 
 
 @query(f", c AS (SELECT ts_us / 1000000.0 AS ts, CAST(count(*) OVER (ORDER BY ts_us, id ROWS UNBOUNDED PRECEDING) AS DOUBLE) AS value FROM packets) SELECT ts, round(CASE WHEN ts - lag(ts) OVER w > 0 AND ts - lag(ts) OVER w <= {series.HEARTBEAT} THEN (value - lag(value) OVER w) / (ts - lag(ts) OVER w) END, 6) AS rate FROM c WINDOW w AS (ORDER BY ts)")
@@ -602,9 +602,9 @@ def metrics_graph(spark, sf):
     return g.select("type", "name", F.size("data").cast("long").alias("points"), F.col("data")[0][0].cast("long").alias("first_ms"), F.round(total, 4).alias("total"))
 
 
-@query(_rolled(60) + f"SELECT bucket_ts, ds, round(most, 6) AS value FROM rolled WHERE bucket_ts >= {SINCE} AND bucket_ts < {V.NOW}")
+@query(_rolled(60) + f"SELECT bucket_ts, ds, round(most, 12) AS value FROM rolled WHERE bucket_ts >= {SINCE} AND bucket_ts < {V.NOW}")
 def rrd_fetch(spark, sf):
-    return series.fetched(V.packets(spark, sf), SINCE, V.NOW, "max").withColumn("value", F.round("value", 6))
+    return series.fetched(V.packets(spark, sf), SINCE, V.NOW, "max").withColumn("value", F.round("value", 12))
 
 
 @query(_rolled(3600) + "SELECT ds, CASE WHEN count(average) >= 2 THEN max(average) - min(average) WHEN count(average) = 1 THEN max(average) ELSE 0.0 END AS total FROM rolled WHERE ds LIKE 'type_%' GROUP BY ds HAVING (SELECT count(average) FROM rolled WHERE ds LIKE 'type_%') >= 10")
