@@ -87,4 +87,6 @@ def test_sample_is_bounded(spark, docs):
     labels = docs.selectExpr("doc_id", "1 AS label")
     assert len(sample(docs, labels, most_docs=3)[0]) <= 3
     texts, _ = sample(docs, labels, most_bytes=2000)
-    assert len(texts) <= 1 or sum(len(t.as_py().encode()) for t in texts) <= 2000
+    assert 0 < sum(len(t.as_py().encode()) for t in texts) <= 2000
+    again = docs.withColumn("doc_id", F.lit(7)).union(docs)
+    assert len(sample(again, labels.filter("doc_id = 7"))[0]) == 1

@@ -22,17 +22,19 @@ def remainder(doc_id: Column | str, n: int) -> Column:
 def sample(docs: DataFrame, labels: DataFrame, most_docs: int = SAMPLE_DOCS, most_bytes: int = SAMPLE_BYTES) -> tuple[pa.Array, list]:
     """(texts, labels) of documents that ``labels`` (doc_id, label) names: those of the smallest hashes of their id, up to the bounds.
 
-    Null texts and labels are left out, ids with several labels count once with the largest.
+    Null texts and labels and single texts beyond ``most_bytes`` are left out; ids with several labels or texts count once, with
+    the largest label and the smallest text.
     """
     named = labels.filter(F.col("label").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("label").alias("label"))
     named = named.withColumn("key", F.xxhash64("doc_id")).orderBy("key", "doc_id").limit(most_docs)
     texts = docs.filter("text IS NOT NULL").select(F.col("doc_id").alias("own_id"), "text")
-    found = stored(texts.join(F.broadcast(named), F.col("own_id") == F.col("doc_id")).select("key", "doc_id", "label", "text", F.octet_length("text").alias("bytes")), "sample")
+    found = texts.join(F.broadcast(named), F.col("own_id") == F.col("doc_id")).groupBy("key", "doc_id", "label").agg(F.min("text").alias("text"))
+    found = stored(found.withColumn("bytes", F.octet_length("text")).filter(F.col("bytes") <= most_bytes), "sample")
     total, last = 0, None
-    for r in found.select("key", "bytes").orderBy("key", "bytes").limit(most_docs).collect():
+    for r in found.select("key", "bytes").orderBy("key", "doc_id").collect():
         total += r["bytes"]
-        if total > most_bytes and last is not None:
+        if total > most_bytes:
             break
         last = r["key"]
-    rows = found.filter(F.col("key") <= F.lit(last)).select("text", "label").orderBy("key", "doc_id", "text").limit(most_docs).collect() if last is not None else []
+    rows = found.filter(F.col("key") <= F.lit(last)).select("text", "label").orderBy("key", "doc_id").collect() if last is not None else []
     return pa.array([r["text"] for r in rows], type=pa.large_string()), [r["label"] for r in rows]
