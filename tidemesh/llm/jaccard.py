@@ -84,7 +84,7 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("did"), F.col("text").cast("string").alias("text"))
 
 
-def members(docs: DataFrame, span: int, percent: int) -> DataFrame:
+def members(docs: DataFrame, span: int) -> DataFrame:
     """did, n, low (counted tokens), set (its class; null without words) of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,8 +144,12 @@ def unpacked(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw.view("<u8").ravel(), offsets // TOKEN_BYTES
 
 
-def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """a, b, n_a, n_b, both (tokens in common) of the pairs a, b, and extra: a's tokens besides, where they are at most as many as b's."""
+def compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """a, b, n_a, n_b, both (tokens in common) of the pairs a, b, and extra: a's tokens besides, where they are few enough.
+
+    Extra tokens are counted for documents with at most n_b of them (see join()). Such a one has at most 2 n_b tokens and is similar only
+    to documents of at most 2 n_b * 100 / percent, so the extra tokens of all of these are given.
+    """
     side = lambda c: sets.select(F.col("set").alias(c), F.col("tokens").alias(f"tokens_{c}"))
     joined = pairs.hint("merge").join(side("a"), "a").hint("merge").join(side("b"), "b").select("a", "b", "tokens_a", "tokens_b")
     bits = np.uint64(8 * TOKEN_BYTES)
@@ -169,7 +173,7 @@ def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 hit[order[same]] = True
                 raw = packed(x[~hit[: len(x)]])
                 left = np.concatenate([[0], np.cumsum(na - both)])
-                extra = pa.array([raw[i:j].tobytes() if near else None for i, j, near in zip(left[:-1].tolist(), left[1:].tolist(), (na - both <= nb).tolist(), strict=True)], type=pa.binary())
+                extra = pa.array([raw[i:j].tobytes() if near else None for i, j, near in zip(left[:-1].tolist(), left[1:].tolist(), (percent * (na - both) <= 200 * nb).tolist(), strict=True)], type=pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(na), pa.array(nb), pa.array(both), extra], names=["a", "b", "n_a", "n_b", "both", "extra"])
 
     return joined.mapInArrow(run, "a long, b long, n_a long, n_b long, both long, extra binary")
@@ -225,7 +229,7 @@ def join(docs: DataFrame, span: int = SPAN, percent: int = PERCENT) -> DataFrame
     their own. Other columns are ignored. Shingles count as equal by a 64-bit hash.
     """
     keys = keyed(docs)
-    table = stored(members(keys, span, percent), "members")
+    table = stored(members(keys, span), "members")
     classes = table.filter("set IS NOT NULL").groupBy("set").agg(F.min("did").alias("did"), F.max("n").alias("n"), F.max("low").alias("low"))
     rows = uses(keys, span, percent)
     shared = rows.groupBy("token").agg(F.min("set").alias("least"), F.max("set").alias("most"), F.count(F.lit(1)).alias("times")).filter("least < most").select("token", "times")
@@ -254,7 +258,7 @@ def join(docs: DataFrame, span: int = SPAN, percent: int = PERCENT) -> DataFrame
     pivots = stored(pivots, "pivots")
     placed = first.hint("merge").join(pivots, "token").filter(F.col("set") != F.col("pivot"))
     star = placed.select(F.col("set").alias("a"), F.col("pivot").alias("b")).distinct()
-    found = stored(compared(star, sets), "compared")
+    found = stored(compared(star, sets, percent), "compared")
     similar = f"100 * both >= {percent} * (n_a + n_b - both)"
     links = stored(found.filter(similar).select("a", "b"), "links")
     roots = components(links, "star")
@@ -266,7 +270,7 @@ def join(docs: DataFrame, span: int = SPAN, percent: int = PERCENT) -> DataFrame
         "n_b",
         (F.col("n_b") - F.col("both")).alias("lacks"),
         (F.col("n_a") - F.col("both")).alias("besides"),
-        F.when(F.col("extra").isNull(), F.col("n_a") - F.col("both")).otherwise(F.coalesce("e", F.lit(0))).alias("e"),
+        F.when(F.col("n_a") - F.col("both") > F.col("n_b"), F.col("n_a") - F.col("both")).otherwise(F.coalesce("e", F.lit(0))).alias("e"),
     )
     side = side.withColumn("needs", F.expr(f"100 * lacks + {percent} * besides - {100 - percent} * n_b")).withColumn("gives", F.expr(f"{percent} * (lacks - besides) + {100 + percent} * e"))
     side = side.join(roots, "set", "left").withColumn("root", F.coalesce("root", "set")).filter("needs > 0 OR gives > 0")
@@ -280,7 +284,7 @@ def join(docs: DataFrame, span: int = SPAN, percent: int = PERCENT) -> DataFrame
         " AND (o_needs <= 0 OR set < o_set) AND arrays_overlap(first, o_first) AND arrays_overlap(second, o_second)"
     )
     rest = side.filter("needs > 0").hint("merge").join(other, "pivot").filter(may).select(F.least("set", "o_set").alias("a"), F.greatest("set", "o_set").alias("b")).distinct()
-    more = compared(stored(rest, "rest"), sets).filter(similar).select("a", "b")
+    more = compared(stored(rest, "rest"), sets, percent).filter(similar).select("a", "b")
     roots = components(stored(links.union(more), "all-links"), "all")
 
     by_class = classes.select("set", "did").join(roots, "set", "left").withColumn("root", F.coalesce("root", "set"))
