@@ -20,6 +20,7 @@ LEAST_SCORE = 0.3
 
 
 def _documents(df: DataFrame) -> DataFrame:
+    store.small_batches(df.sparkSession)
     kinds = {"doc_id": "long", "text": "string", "lang": "string", "source": "string", "n_chars": "long"}
     return df.select(*(F.col(c).cast(kinds[c]).alias(c) for c in COLUMNS))
 
