@@ -55,3 +55,39 @@ def test_empty_and_textless_tables(spark):
 def test_repeated_rows(spark):
     got = mixing.mix(make(spark, ["a b c"] * 4, ids=[1, 1, 1, 2]))[0].collect()
     assert sum(r.taken for r in got) == pytest.approx(18, abs=2) and len(got) == 4
+
+
+def test_every_source_takes_its_target_to_a_word(spark):
+    rows = [(i, "w " * 40, "en", f"large{i % 3}", 0) for i in range(900)] + [(10_000 + i, "v " * (1 + i % 9), "en", f"small{i // 2:03}", 0) for i in range(300)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    result, pieces = mixing.mix(docs, slots=64)
+    taken, target = defaultdict(int), {}
+    for r in result.collect():
+        assert 0 <= r.taken <= 2 * r["size"]
+        taken[r.source] += r.taken
+        target[r.source] = r.target
+    assert all(t > 0 for t in target.values())
+    for s, t in target.items():
+        assert taken[s] > 0 and abs(taken[s] - t) < 1, s
+    assert sum(taken.values()) == round(sum(target.values()))
+    # A slot is one source's, its pieces leave no gaps, and no stretch of the schedule is left to the small sources.
+    by_slot, sids = defaultdict(list), defaultdict(set)
+    for r in pieces.collect():
+        by_slot[r.slot].append((r.place, r.length))
+        sids[r.slot].add(r.sid)
+    for slot, parts in by_slot.items():
+        at = 0
+        for place, n in sorted(parts):
+            assert place == at
+            at += n
+        assert len(sids[slot]) == 1
+    assert sorted(by_slot) == list(range(len(by_slot)))
+    words = [sum(n for _, n in by_slot[s]) for s in sorted(by_slot)]
+    eighth = len(words) // 8
+    assert min(sum(words[k * eighth : (k + 1) * eighth]) for k in range(8)) > sum(words) / 16
+
+
+def test_quotas():
+    assert mixing.quotas([2.0, 1.5, 0.25, 0.0]) == [2, 1, 1, 0]
+    assert mixing.quotas([3.4, 3.4, 3.2]) == [4, 3, 3] and mixing.quotas([2.9999999, 3.0000001]) == [3, 3]
+    assert mixing.quotas([0.2] * 5) == [1] * 5

@@ -4,7 +4,12 @@ The mix is a sequence of slots of equal tokens. Slot i is given the golden-ratio
 frac(i * 0.618...), and the point's place among the sources' cumulative target shares names the
 slot's source. Points of that sequence fall evenly at every length, so any stretch of the schedule
 holds each source near its share. The r-th slot of a source takes block r of the source's stream: its
-documents in shuffled order, cut into blocks of equal tokens, gone through twice at most.
+documents in shuffled order, gone through twice at most.
+
+What a source gives is its quota, its target in whole words, whatever number of slots the schedule happens
+to give it: the first quota words of its stream are cut into as many blocks as it has slots, equal
+to a word. So a source's slots differ from the common length by what rounding its share to slots left over or
+short. A source without any slot, but with a target, gets one of its own; these are spread over the schedule.
 
 Nothing here needs a whole source in one task: slots are ranked in chunks, and documents are placed
 in their source's stream by hash buckets, whose totals are summed first.
@@ -65,30 +70,62 @@ def targets(totals: list[tuple[str | None, int]], weights: tuple[int, ...] = WEI
     return [(s, n, out[s]) for s, n, _ in rows]
 
 
-def schedule(spark, goals: list[tuple[int, float]], slots: int) -> DataFrame:
-    """slot, sid (the goals' source number), block (the slot's rank among its source's): one row for each slot."""
-    bounds = np.cumsum([g for _, g in goals])
+def quotas(goals: list[float]) -> list[int]:
+    """Each target in whole words, together the targets' sum: the largest fractions are rounded up. No target above 0 becomes 0, even if that takes more words."""
+    low = [max(int(t), t > 0) for t in goals]
+    more = round(sum(goals)) - sum(low)
+    for i in sorted((i for i, t in enumerate(goals) if t > low[i]), key=lambda i: (low[i] - goals[i], i))[: max(0, more)]:
+        low[i] += 1
+    return [int(q) for q in low]
+
+
+def points(slot: np.ndarray) -> np.ndarray:
+    """The golden-ratio points of slots, as 64-bit fractions."""
+    return (slot.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+
+
+def schedule(spark, goals: list[float], slots: int) -> tuple[DataFrame, list[int]]:
+    """(plan, each goal's number of slots). plan: slot, sid (place in goals), block (the slot's rank among its source's), one row for each slot.
+
+    Goals above 0 that none of the ``slots`` points falls to have one slot more each; slots are numbered with these in between.
+    """
+    bounds = np.cumsum(goals)
     edges = np.minimum(bounds / max(bounds[-1], 1e-300) * 2.0**64, 2.0**64 - 2048).astype(np.uint64)
-    sids = np.array([s for s, _ in goals], dtype=np.int64)
-    last = int(np.flatnonzero(np.diff(np.concatenate([[0.0], bounds])) > 0)[-1])
+    last = int(np.flatnonzero(np.array(goals) > 0)[-1])
+
+    def owner(slot: np.ndarray) -> np.ndarray:
+        return np.minimum(np.searchsorted(edges, points(slot), side="right"), last)
+
+    held = np.zeros(len(goals), dtype=np.int64)
+    for at in range(0, slots, 1 << 16):
+        held += np.bincount(owner(np.arange(at, min(at + (1 << 16), slots))), minlength=len(goals))
+    without = np.flatnonzero((held == 0) & (np.array(goals) > 0))
+    without = without[np.argsort(points(np.arange(len(without))))]
+    #: How many of the points come before each slot that is added.
+    ahead = (2 * np.arange(len(without)) + 1) * slots // max(1, 2 * len(without))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             slot = batch.column(0).to_numpy(zero_copy_only=False)
-            point = (slot.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-            sid = sids[np.minimum(np.searchsorted(edges, point, side="right"), last)]
-            yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(sid), pa.array(slot // CHUNK_SLOTS)], names=["slot", "sid", "chunk"])
+            sid, number = owner(slot), slot + np.searchsorted(ahead, slot, side="right")
+            yield pa.RecordBatch.from_arrays([pa.array(number), pa.array(sid), pa.array(slot // CHUNK_SLOTS)], names=["slot", "sid", "chunk"])
 
     plan = spark.range(0, slots, 1, max(1, slots // (16 * CHUNK_SLOTS))).mapInArrow(run, "slot long, sid long, chunk long")
     before = plan.groupBy("sid", "chunk").count().withColumn("before", F.sum("count").over(Window.partitionBy("sid").orderBy("chunk")) - F.col("count")).drop("count")
     within = F.row_number().over(Window.partitionBy("chunk", "sid").orderBy("slot")) - 1
-    return plan.withColumn("within", within).join(before, ["sid", "chunk"]).select("slot", "sid", (F.col("before") + F.col("within")).alias("block"))
+    plan = plan.withColumn("within", within).join(before, ["sid", "chunk"]).select("slot", "sid", (F.col("before") + F.col("within")).alias("block"))
+    if len(without):
+        added = zip((ahead + np.arange(len(without))).tolist(), without.tolist(), strict=True)
+        plan = plan.union(spark.createDataFrame([(n, s, 0) for n, s in added], "slot long, sid long, block long"))
+    held[without] = 1
+    return plan, held.tolist()
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, repeats: int = REPEATS, slots: int = SLOTS, seed: int = 1) -> tuple[DataFrame, DataFrame]:
     """(documents, pieces) of the mix.
 
-    documents: doc_id, source, size, source_size, target, taken of every row of ``docs``; taken counts repeats.
+    documents: doc_id, source, size, source_size, target, taken of every row of ``docs``; taken counts repeats; a source's
+    sum of it is its target to a word.
     pieces: slot, place, doc_id, row, start, length: the words [start, start + length) of a document that the slot holds, in order of place.
     Null and empty texts have size 0 and are never taken. Null is a source of its own. Rows with the same doc_id are
     documents of their own as long as they differ in text size or source; equal rows share the order of their hash,
@@ -101,7 +138,14 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
         raise ValueError(f"over {MOST_SOURCES} sources")
     goals = targets([(r["source"], r["n"]) for r in totals], weights, share, repeats)
     rows = {r["source"]: r["rows"] for r in totals}
-    sources = spark.createDataFrame([(i, s, n, t, max(1, rows[s] // BUCKET_ROWS)) for i, (s, n, t) in enumerate(goals)], "sid long, source string, source_size long, target double, n_buckets long")
+    wanted = sum(t for *_, t in goals)
+    block = max(1, round(wanted / slots))
+    plan, held = schedule(spark, [t for *_, t in goals], max(1, round(wanted / block))) if wanted > 0 else (None, [0] * len(goals))
+    quota = quotas([t for *_, t in goals])
+    sources = spark.createDataFrame(
+        [(i, s, n, t, max(1, rows[s] // BUCKET_ROWS), quota[i], quota[i] // max(1, held[i]), quota[i] % max(1, held[i])) for i, (s, n, t) in enumerate(goals)],
+        "sid long, source string, source_size long, target double, n_buckets long, quota long, least long, longer long",
+    )
     placed = table.join(F.broadcast(sources), table["source"].eqNullSafe(sources["source"])).drop(sources["source"])
     key = F.xxhash64("doc_id", "size", F.lit(seed))
     placed = placed.withColumn("key", key).withColumn("bucket", F.pmod(F.shiftrightunsigned("key", 20), F.col("n_buckets")))
@@ -116,17 +160,18 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
         .withColumn("at", F.col("base") + F.col("inner"))
         .withColumn("row", F.col("base_row") + F.col("inner_row"))
     )
-    wanted = sum(t for *_, t in goals)
-    if wanted <= 0:
+    if plan is None:
         empty = spark.createDataFrame([], "slot long, place long, doc_id long, row long, sid long, start long, length long")
         return placed.select("doc_id", "source", "size", "source_size", "target", F.lit(0).cast("long").alias("taken")), empty
-    block = max(1, round(wanted / slots))
-    plan = schedule(spark, [(i, t) for i, (*_, t) in enumerate(goals)], round(wanted / block))
-    # Each pass of a document through the stream, cut at the blocks' bounds.
+    # Each pass of a document through the stream, up to the quota, cut at the blocks' bounds: a source's first ``longer`` blocks have a word more than ``least``.
     spans = placed.filter("size > 0").withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1)))).withColumn("from", F.col("at") + F.col("pass") * F.col("source_size"))
-    cut = spans.withColumn("block", F.explode(F.expr(f"sequence(from div {block}, (from + size - 1) div {block})")))
-    low, high = F.greatest(F.col("from"), F.col("block") * block), F.least(F.col("from") + F.col("size"), (F.col("block") + 1) * block)
-    cut = cut.select("sid", "block", "doc_id", "row", (low - F.col("block") * block).alias("place"), (low - F.col("from")).alias("start"), (high - low).alias("length"))
+    spans = spans.filter("from < quota").withColumn("to", F.least(F.col("from") + F.col("size"), F.col("quota")))
+    number = "if({0} < longer * (least + 1), {0} div (least + 1), longer + ({0} - longer * (least + 1)) div greatest(least, 1))"
+    cut = spans.withColumn("block", F.explode(F.expr(f"sequence({number.format('from')}, {number.format('(to - 1)')})")))
+    begin = F.expr("block * least + least(block, longer)")
+    end = F.expr("(block + 1) * least + least(block + 1, longer)")
+    low, high = F.greatest(F.col("from"), begin), F.least(F.col("to"), end)
+    cut = cut.select("sid", "block", "doc_id", "row", (low - begin).alias("place"), (low - F.col("from")).alias("start"), (high - low).alias("length"))
     pieces = cut.join(plan, ["sid", "block"]).select("slot", "place", "doc_id", "row", "sid", "start", "length")
     taken = pieces.groupBy("sid", "row").agg(F.sum("length").alias("taken"))
     result = placed.join(taken, ["sid", "row"], "left").select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
