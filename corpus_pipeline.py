@@ -9,16 +9,22 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemesh.llm import jaccard, kernel, language, mixing, packing, store, substring_dedup
+from tidemesh.llm.spans import NO_ID
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: A document is rejected if no language scores as much. With four languages a guess has 0.25.
 LEAST_SCORE = 0.3
 
 
+def _did() -> Column:
+    """doc_id as a key for joins: null comes after all others."""
+    return F.coalesce("doc_id", F.lit(NO_ID))
+
+
 def _documents(df: DataFrame) -> DataFrame:
     store.small_batches(df.sparkSession)
     kinds = {"doc_id": "long", "text": "string", "lang": "string", "source": "string", "n_chars": "long"}
@@ -35,30 +41,42 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near duplicates, the one with the smallest doc_id."""
+    """Keeps one document of each group of near duplicates, the one with the smallest doc_id.
+
+    A null doc_id comes after all others and is kept as null. Rows that share a doc_id (or have none) are documents of their own:
+    where they are near duplicates the one with the smallest hash of its text stays, else each is judged by its own
+    group. Rows without words are duplicates of nothing and stay.
+    """
     docs = _documents(docs)
-    kept = jaccard.join(docs).filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.join(kept, "doc_id").dropDuplicates(["doc_id"])
+    rows = store.stored(jaccard.grouped(docs).filter("did = component").select("did", "th", "root"), "near-firsts")
+    one = rows.filter("root IS NOT NULL").groupBy("root").agg(F.min("did").alias("did"), F.min("th").alias("th")).select("did", "th", F.lit(False).alias("alone"))
+    alone = rows.filter("root IS NULL").select("did", "th", F.lit(True).alias("alone")).distinct()
+    held = docs.withColumn("did", _did()).withColumn("th", F.xxhash64("text")).join(one.union(alone), ["did", "th"])
+    # Of equal rows one is left, unless they have no words.
+    held = held.withColumn("own", F.when(F.col("alone"), F.monotonically_increasing_id())).groupBy("did", "th", "own")
+    held = held.agg(F.first("text").alias("text"), F.min(F.struct("doc_id", "lang", "source", "n_chars")).alias("r"))
+    return held.select("r.doc_id", "text", "r.lang", "r.source", "r.n_chars")
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes passages of 50 words and more that an earlier document holds out of the texts; documents without other words go.
 
-    A text that loses nothing stays as it is, another becomes its remaining words joined by spaces.
+    A text that loses nothing stays as it is, another becomes its remaining words joined by spaces. Each row loses what its own
+    text repeats; rows that share a doc_id aren't compared with each other. A null doc_id comes after all others and is kept as null.
     """
-    docs = _documents(docs)
-    kept = substring_dedup.dedup(docs).filter("n_removed > 0").groupBy("doc_id").agg(F.min("kept").alias("kept"))
-    text = F.coalesce("kept", "text")
-    return docs.join(kept, "doc_id", "left").withColumn("text", text).filter(F.length("text") > 0).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+    cut = substring_dedup.dedup(_documents(docs), keep=("text", "lang", "source"))
+    return cut.withColumn("text", F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))).filter(F.length("text") > 0).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Gives each document's words as often as the mix takes them: a text is cut after its last word taken, and what is taken again follows it.
 
-    Documents of which nothing is taken go.
+    Documents of which nothing is taken go. Rows that share a doc_id, or have none, are documents of their own, each cut by what is
+    taken of it; among rows equal in doc_id, source and text it doesn't matter which is which.
     """
     docs = _documents(docs)
-    taken = mixing.mix(docs)[0].groupBy("doc_id").agg(F.max("taken").alias("taken"), F.max("size").alias("size"))
+    taken = mixing.mix(docs)[0].select(_did().alias("did"), "th", "taken")
+    taken = taken.withColumn("copy", F.row_number().over(Window.partitionBy("did", "th").orderBy(F.desc("taken")))).filter("taken > 0")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -68,14 +86,16 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
                 out = []
                 for i, n in enumerate(rows.column(batch.schema.get_field_index("taken")).to_pylist()):
                     at, size, whole, parts = first[i], first[i + 1] - first[i], raw[w.offsets[i] : w.offsets[i + 1]], []
-                    while n > 0:
+                    while n > 0 and size:
                         m = min(n, size)
                         parts.append(whole if m == size else whole[: w.end[at + m - 1] - w.offsets[i]])
                         n -= m
                     out.append(b"\n".join(parts).decode())
                 yield pa.RecordBatch.from_arrays([*(rows.column(batch.schema.get_field_index(c)) for c in ("doc_id", "lang", "source")), pa.array(out, type=pa.string())], names=["doc_id", "lang", "source", "text"])
 
-    joined = docs.join(taken.filter("taken > 0"), "doc_id").select("doc_id", "lang", "source", "text", "taken")
+    docs = docs.withColumn("did", _did()).withColumn("th", F.xxhash64("text", "source"))
+    docs = docs.withColumn("copy", F.row_number().over(Window.partitionBy("did", "th").orderBy("lang", "n_chars")))
+    joined = docs.join(taken, ["did", "th", "copy"]).select("doc_id", "lang", "source", "text", "taken")
     return joined.mapInArrow(run, "doc_id long, lang string, source string, text string").withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 

@@ -1,5 +1,6 @@
 """The pipeline on a small table against plain Python for each stage."""
 
+import random
 import re
 from collections import defaultdict
 
@@ -87,3 +88,44 @@ def test_run_and_registration(spark):
 def test_stages_on_empty_tables(spark):
     for name, stage in P.STAGES:
         assert stage(spark, table(spark, []), "").count() == 0, name
+
+
+def prose(seed, n=120):
+    r = random.Random(seed)
+    return ["".join(r.choice("abcdefgh") for _ in range(7)) for _ in range(n)]
+
+
+def texts_of(df):
+    return sorted(((r.doc_id, r.text) for r in df.collect()), key=repr)
+
+
+def test_near_duplicates_of_null_and_repeated_ids(spark):
+    x, y, z, u, v, w = (prose(i) for i in range(6))
+    copy = lambda t, end="": " ".join([*t[:-1], "changed" + end])
+    x, y, z, u, v, w, cx, cz, cv = *(" ".join(t) for t in (x, y, z, u, v, w)), copy(x), copy(z), copy(v)
+    rows = [(1, x), (1, y), (2, cx), (3, cx), (3, w), (None, z), (None, cz), (None, u), (None, cx), (5, v), (5, v), (5, cv), (7, " "), (7, " "), (None, "")]
+    got = texts_of(P.near_duplicates(spark, table(spark, [(i, t, "en", f"s{k}", 0) for k, (i, t) in enumerate(rows)]), ""))
+    (zs,) = {(None, z), (None, cz)} & set(got)
+    (vs,) = {(5, v), (5, cv)} & set(got)
+    assert got == sorted([(1, x), (1, y), (3, w), zs, (None, u), vs, (7, " "), (7, " "), (None, "")], key=repr)
+
+
+def test_repeated_passages_of_null_and_repeated_ids(spark):
+    p, a, b, c, d, e = prose(10, 60), *(prose(i, 20) for i in range(11, 16))
+    join = lambda *parts: " ".join(sum(parts, []))
+    rows = [(1, join(p, a)), (2, join(b, p)), (2, join(c)), (None, join(d, p)), (None, join(e)), (None, None)]
+    got = texts_of(P.repeated_passages(spark, table(spark, [(i, t, "en", "s", 0) for i, t in rows]), ""))
+    assert got == sorted([(1, join(p, a)), (2, join(b)), (2, join(c)), (None, join(d)), (None, join(e))], key=repr)
+
+
+def test_source_mix_of_null_and_repeated_ids(spark):
+    a, b, c = (" ".join(prose(i, 30)) for i in range(20, 23))
+    rows = [(1, a, "en", "s", 0), (1, "", "en", "s", 0), (1, b, "en", "s", 0), (None, c, "en", "s", 0), (None, c, "de", "s", 0), (None, a, "en", None, 0)]
+    got = P.source_mix(spark, table(spark, rows), "").collect()
+    words, target = defaultdict(int), {s: t for s, _, t in mixing.targets([("s", 120), (None, 30)])}
+    for r in got:
+        (w,) = [x[1].split() for x in rows if (x[0], x[2], x[3]) == (r.doc_id, r.lang, r.source) and x[1].startswith(r.text.split()[0])]
+        found = r.text.split()
+        assert found == (w + w)[: len(found)]
+        words[r.source] += len(found)
+    assert dict(words) == {s: round(t) for s, t in target.items()}

@@ -81,20 +81,20 @@ def counted(tokens: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("did"), F.col("text").cast("string").alias("text"))
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("did"), F.xxhash64(F.col("text").cast("string")).alias("th"), F.col("text").cast("string").alias("text"))
 
 
 def members(docs: DataFrame, span: int) -> DataFrame:
-    """did, n, low (counted tokens), set (its class; null without words) of each document."""
+    """did, th (the text's hash), n, low (counted tokens), set (its class; null without words) of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, text in K.blocks(batch):
                 tokens, first = shingles(text, span)
                 n = np.diff(first)
-                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(n), pa.array(counted(tokens, first)), pa.array(K.signed(class_keys(tokens, first)), mask=n == 0)], names=["did", "n", "low", "set"])
+                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(n), pa.array(counted(tokens, first)), pa.array(K.signed(class_keys(tokens, first)), mask=n == 0)], names=["did", "th", "n", "low", "set"])
 
-    return docs.mapInArrow(run, "did long, n long, low long, set long")
+    return docs.mapInArrow(run, "did long, th long, n long, low long, set long")
 
 
 def uses(docs: DataFrame, span: int, percent: int) -> DataFrame:
@@ -115,6 +115,7 @@ def uses(docs: DataFrame, span: int, percent: int) -> DataFrame:
 
 def sets_of(docs: DataFrame, wanted: DataFrame, span: int) -> DataFrame:
     """set, n, tokens (TOKEN_BYTES each, ascending) of the documents ``wanted`` (did) names."""
+    wanted = wanted.distinct()
     if wanted.count() <= BROADCAST_IDS:
         wanted = F.broadcast(wanted)
     held = docs.join(wanted, "did")
@@ -228,6 +229,15 @@ def join(docs: DataFrame, span: int = SPAN, percent: int = PERCENT) -> DataFrame
     words are one. A null doc_id comes after all others and is kept as null. Rows with one doc_id are documents of
     their own. Other columns are ignored. Shingles count as equal by a 64-bit hash.
     """
+    out = grouped(docs, span, percent)
+    return out.select(F.nullif("did", F.lit(NO_ID)).alias("doc_id"), F.col("n").alias("n_shingles"), F.nullif("component", F.lit(NO_ID)).alias("component_id"))
+
+
+def grouped(docs: DataFrame, span: int = SPAN, percent: int = PERCENT) -> DataFrame:
+    """did (doc_id, NO_ID for null), th (the text's hash), n, root and component of each row, see join().
+
+    Rows are linked if and only if they have one root, also where ids are shared; it is null without words.
+    """
     keys = keyed(docs)
     table = stored(members(keys, span), "members")
     classes = table.filter("set IS NOT NULL").groupBy("set").agg(F.min("did").alias("did"), F.max("n").alias("n"), F.max("low").alias("low"))
@@ -290,6 +300,6 @@ def join(docs: DataFrame, span: int = SPAN, percent: int = PERCENT) -> DataFrame
     by_class = classes.select("set", "did").join(roots, "set", "left").withColumn("root", F.coalesce("root", "set"))
     by_class = stored(by_class, "classes")
     smallest = stored(by_class.groupBy("root").agg(F.min("did").alias("component")), "smallest")
-    by_class = stored(by_class.hint("merge").join(smallest, "root").select("set", "component"), "components")
+    by_class = stored(by_class.hint("merge").join(smallest, "root").select("set", "root", "component"), "components")
     out = table.hint("merge").join(by_class, "set", "left")
-    return out.select(F.nullif("did", F.lit(NO_ID)).alias("doc_id"), F.col("n").alias("n_shingles"), F.nullif(F.coalesce("component", "did"), F.lit(NO_ID)).alias("component_id"))
+    return out.select("did", "th", "n", "root", F.coalesce("component", "did").alias("component"))

@@ -40,14 +40,15 @@ MOST_SOURCES = 100_000
 
 
 def sizes(docs: DataFrame) -> DataFrame:
-    """doc_id, source and size (words ``[^\\x20\\x09-\\x0D]+``) of each document."""
+    """doc_id, source, th (a hash of text and source) and size (words ``[^\\x20\\x09-\\x0D]+``) of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, text in K.blocks(batch):
-                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(K.Words(text).counts.astype(np.int64))], names=["doc_id", "source", "size"])
+                yield pa.RecordBatch.from_arrays([*(rows.column(i) for i in range(3)), pa.array(K.Words(text).counts.astype(np.int64))], names=["doc_id", "source", "th", "size"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, source string, size long")
+    text, source = F.col("text").cast("string"), F.col("source").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), source.alias("source"), F.xxhash64(text, source).alias("th"), text.alias("text")).mapInArrow(run, "doc_id long, source string, th long, size long")
 
 
 def targets(totals: list[tuple[str | None, int]], weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, repeats: int = REPEATS) -> list[tuple[str | None, int, float]]:
@@ -124,12 +125,11 @@ def schedule(spark, goals: list[float], slots: int) -> tuple[DataFrame, list[int
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, repeats: int = REPEATS, slots: int = SLOTS, seed: int = 1) -> tuple[DataFrame, DataFrame]:
     """(documents, pieces) of the mix.
 
-    documents: doc_id, source, size, source_size, target, taken of every row of ``docs``; taken counts repeats; a source's
+    documents: doc_id, source, th, size, source_size, target, taken of every row of ``docs``; taken counts repeats; a source's
     sum of it is its target to a word.
     pieces: slot, place, doc_id, row, start, length: the words [start, start + length) of a document that the slot holds, in order of place.
     Null and empty texts have size 0 and are never taken. Null is a source of its own. Rows with the same doc_id are
-    documents of their own as long as they differ in text size or source; equal rows share the order of their hash,
-    told apart by ``row``. Other columns are ignored. Of an empty table both results are empty. Equal inputs give equal mixes.
+    documents of their own; th, a hash of text and source, tells them apart, and where that is equal, only ``row``. Other columns are ignored. Of an empty table both results are empty. Equal inputs give equal mixes.
     """
     spark = docs.sparkSession
     table = stored(sizes(docs), "sizes")
@@ -152,7 +152,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     in_bucket = placed.groupBy("sid", "bucket").agg(F.sum("size").alias("bucket_size"), F.count(F.lit(1)).alias("bucket_rows"))
     up_to = Window.partitionBy("sid").orderBy("bucket")
     in_bucket = in_bucket.select("sid", "bucket", (F.sum("bucket_size").over(up_to) - F.col("bucket_size")).alias("base"), (F.sum("bucket_rows").over(up_to) - F.col("bucket_rows")).alias("base_row"))
-    order = Window.partitionBy("sid", "bucket").orderBy("key", "doc_id")
+    order = Window.partitionBy("sid", "bucket").orderBy("key", "doc_id", "th")
     placed = (
         placed.withColumn("inner", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
         .withColumn("inner_row", F.row_number().over(order))
@@ -162,7 +162,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     )
     if plan is None:
         empty = spark.createDataFrame([], "slot long, place long, doc_id long, row long, sid long, start long, length long")
-        return placed.select("doc_id", "source", "size", "source_size", "target", F.lit(0).cast("long").alias("taken")), empty
+        return placed.select("doc_id", "source", "th", "size", "source_size", "target", F.lit(0).cast("long").alias("taken")), empty
     # Each pass of a document through the stream, up to the quota, cut at the blocks' bounds: a source's first ``longer`` blocks have a word more than ``least``.
     spans = placed.filter("size > 0").withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1)))).withColumn("from", F.col("at") + F.col("pass") * F.col("source_size"))
     spans = spans.filter("from < quota").withColumn("to", F.least(F.col("from") + F.col("size"), F.col("quota")))
@@ -174,5 +174,5 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     cut = cut.select("sid", "block", "doc_id", "row", (low - begin).alias("place"), (low - F.col("from")).alias("start"), (high - low).alias("length"))
     pieces = cut.join(plan, ["sid", "block"]).select("slot", "place", "doc_id", "row", "sid", "start", "length")
     taken = pieces.groupBy("sid", "row").agg(F.sum("length").alias("taken"))
-    result = placed.join(taken, ["sid", "row"], "left").select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    result = placed.join(taken, ["sid", "row"], "left").select("doc_id", "source", "th", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
     return result, pieces

@@ -50,10 +50,10 @@ class Units:
             self.codes, self.first = self.words.hashes(), self.words.first
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """did, th (23 bits of the text's hash) and text of each row: rows with equal did and text are told apart by nothing, and need not be."""
+def keyed(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """did, th (23 bits of the text's hash), text and the columns ``keep`` of each row: rows with equal did and text are told apart by nothing, and need not be."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("did"), F.shiftrightunsigned(F.xxhash64(text), 41).alias("th"), text.alias("text"))
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("did"), F.shiftrightunsigned(F.xxhash64(text), 41).alias("th"), text.alias("text"), *(c for c in keep if c != "text"))
 
 
 def phrases_of(units: Units, length: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

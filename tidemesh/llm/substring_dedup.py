@@ -30,14 +30,16 @@ def duplicate_spans(docs: DataFrame, length: int = LENGTH, trigger: int = TRIGGE
     return spans(docs, "words", length, trigger, True, "substring")
 
 
-def dedup(docs: DataFrame, length: int = LENGTH, trigger: int = TRIGGER) -> DataFrame:
+def dedup(docs: DataFrame, length: int = LENGTH, trigger: int = TRIGGER, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, th, kept (remaining words, joined by a space), n_words, n_removed, kept_sha256 of each document.
 
     Null texts have no words. Rows with one doc_id aren't compared with each other; a null doc_id is after all others
-    and kept as null. Other columns are ignored.
+    and kept as null. Other columns are ignored but for those in ``keep``, which are handed on.
     """
     keys = keyed(docs)
-    joined = with_spans(keys, duplicate_spans(keys, length, trigger)).select("did", "th", "spans", "text")
+    rows_ = keyed(docs, keep)
+    joined = with_spans(rows_, duplicate_spans(keys, length, trigger)).select("did", "th", "spans", "text", *(c for c in keep if c != "text"))
+    types = ", ".join(f"{c} {joined.schema[c].dataType.simpleString()}" for c in keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -49,9 +51,9 @@ def dedup(docs: DataFrame, length: int = LENGTH, trigger: int = TRIGGER) -> Data
                 start, end, left = w.start.tolist(), w.end.tolist(), (~gone).tolist()
                 kept = [b" ".join([raw[start[i] : end[i]] for i in range(a, b) if left[i]]) for a, b in zip(u.first[:-1].tolist(), u.first[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [rows.column(0), rows.column(1), pa.array([x.decode() for x in kept], type=pa.string()), pa.array(w.counts.astype(np.int64)), pa.array(K.sums_by(u.first, gone)), pa.array([hashlib.sha256(x).hexdigest() for x in kept])],
-                    names=["did", "th", "kept", "n_words", "n_removed", "kept_sha256"],
+                    [rows.column(0), rows.column(1), *(rows.column(batch.schema.get_field_index(c)) for c in keep), pa.array([x.decode() for x in kept], type=pa.string()), pa.array(w.counts.astype(np.int64)), pa.array(K.sums_by(u.first, gone)), pa.array([hashlib.sha256(x).hexdigest() for x in kept])],
+                    names=["did", "th", *keep, "kept", "n_words", "n_removed", "kept_sha256"],
                 )
 
-    out = joined.mapInArrow(run, "did long, th long, kept string, n_words long, n_removed long, kept_sha256 string")
-    return out.select(F.nullif("did", F.lit(NO_ID)).alias("doc_id"), "th", "kept", "n_words", "n_removed", "kept_sha256")
+    out = joined.mapInArrow(run, f"did long, th long, {types}{', ' if keep else ''}kept string, n_words long, n_removed long, kept_sha256 string")
+    return out.select(F.nullif("did", F.lit(NO_ID)).alias("doc_id"), "th", *keep, "kept", "n_words", "n_removed", "kept_sha256")
