@@ -1,11 +1,10 @@
-"""Removal of passages that an earlier document holds, by relative Lempel-Ziv parsing.
-
-Every document is factored against the documents with a smaller id. The reference is indexed in blocks of words:
-the phrases of spans.py, each with the smallest id that holds it. Going through a document, consecutive blocks
-that the reference holds make up a factor, which grows greedily until a block is found that it doesn't hold.
-At such a boundary the factor may still reach into the block, or a factor may lie across two
-blocks that the reference has only in other surroundings; there each window of words is checked by itself. A factor of
-50 words or more is a duplicate span.
+"""Removal of passages that an earlier document holds, by hashed window phrases.
+
+This takes the place of relative Lempel-Ziv parsing: no factors are grown. A word goes if it lies in a window of 50 words
+that a document with a smaller id holds, and windows are settled by the phrases of spans.py: all of a phrase's at once where an
+earlier document holds the whole phrase, else each by its own hash. Greedy factors would give the same rows, as a factor of 50
+words or more is a run of such windows; but growing them needs an index of all earlier documents at hand in the task that
+reads a document, while phrases are found by grouping, in shuffles that Spark can split.
 """
 
 from __future__ import annotations
