@@ -7,7 +7,8 @@ their first n - ceil(0.8 n) + 1, the prefix. Orders that put rare tokens first m
 * Tokens below a bound of their hash come first, by the times the corpus uses them; the rest follow by hash.
   So only a fixed share of all tokens has to be counted. Tokens of a single class match nothing; a document whose
   prefix holds no others is done. Passages that many documents share stay out of the prefixes.
-* The second order breaks ties the other way round. A pair has to share prefix tokens under both.
+* The second order breaks ties the other way round. Pairs that the pivots (below) leave have to share prefix tokens under both;
+  comparisons with a pivot go by the first alone, as the bound below needs them, and the orders differ only among tied tokens.
 
 Candidates aren't spelled out as all pairs of a token's documents. Each group has a pivot, its document with the
 fewest tokens of its own; everything is compared with its pivot first. Documents that are thereby in one
