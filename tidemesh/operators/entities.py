@@ -109,16 +109,24 @@ def key_violations(keys: DataFrame) -> DataFrame:
     return keys.join(twice, "name", "left").withColumn("problem", problem).filter(F.col("problem").isNotNull()).drop("_twice")
 
 
-def key_tree(keys: DataFrame, most_levels: int = 32) -> DataFrame:
-    """id, name, depth and path of each key, from the roots down: one join for each level."""
-    level = keys.filter(F.col("parent_id").isNull()).select("id", "name", F.lit(0).alias("depth"), F.col("name").alias("path"))
-    out = level
-    for depth in range(1, most_levels + 1):
-        level = keys.join(level.select(F.col("id").alias("parent_id"), F.col("path").alias("above")), "parent_id").select("id", "name", F.lit(depth).alias("depth"), F.concat_ws("/", "above", "name").alias("path"))
+def key_tree(keys: DataFrame) -> DataFrame:
+    """id, name, depth and path of each key, from the roots down, however deep: one join for each level, whose rows are kept on the executors.
+
+    Keys below a root that are their own ancestors, which takes an id that is used twice, would go on for ever: they are refused.
+    """
+    level = keys.filter(F.col("parent_id").isNull()).select("id", "name", F.lit(0).alias("depth"), F.col("name").alias("path"), F.array("id").alias("ids"))
+    out = level.drop("ids")
+    depth = 0
+    while True:
+        depth += 1
+        above = level.select(F.col("id").alias("parent_id"), F.col("path").alias("above"), "ids")
+        level = keys.join(above, "parent_id").select("id", "name", F.lit(depth).alias("depth"), F.concat_ws("/", "above", "name").alias("path"), "ids")
+        level = level.withColumn("again", F.array_contains("ids", F.col("id"))).withColumn("ids", F.array_append("ids", F.col("id"))).localCheckpoint()
         if level.isEmpty():
-            break
-        out = out.union(level)
-    return out
+            return out
+        if not level.filter("again").isEmpty():
+            raise ValueError("a key is its own ancestor")
+        out = out.union(level.drop("ids", "again"))
 
 
 def with_column(df: DataFrame, name: str, default: Column) -> DataFrame:
