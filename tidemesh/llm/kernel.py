@@ -1,8 +1,9 @@
 """Array kernels over Arrow text batches: words, rolling hashes, sliding minima.
 
-All hashes are polynomials modulo 2**64 over fixed random codes of the bytes. A range hash is a
+Hashes are pairs of polynomials modulo a prime over fixed random codes of the bytes. A range hash is a
 difference of prefix sums, so any range of a batch is hashed in constant time. Texts are handled as
-their UTF-8 bytes, in blocks of about ``BLOCK_BYTES`` so that memory doesn't depend on the batch size.
+their UTF-8 bytes, in blocks of about ``BLOCK_BYTES`` so that memory doesn't depend on the batch size: a block takes
+about 100 bytes of memory for each byte of text, and a single text longer than a block is a block of its own.
 """
 
 from __future__ import annotations
@@ -35,45 +36,102 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> _U(32))
 
 
+#: Range hashes are two polynomials modulo this prime, each over a base and codes of its own.
+PRIME = (1 << 31) - 1
+_P, _31 = _U(PRIME), _U(31)
+_LOW = _U(0x7FFFFFFF)
+_TILE = 1 << 15
+#: Names of the hash families: two families share no base.
+BASES = (0, 1)
+
+
+def _reduced(x: np.ndarray) -> np.ndarray:
+    """x modulo PRIME, up to one PRIME too much; in place."""
+    x_high = x >> _31
+    x &= _LOW
+    x += x_high
+    return x
+
+
+def _residue(x: np.ndarray) -> np.ndarray:
+    """x modulo PRIME; in place."""
+    x = _reduced(_reduced(_reduced(x)))
+    x[x == _P] = 0
+    return x
+
+
 class Rolling:
-    """Range hashes of a sequence of 64-bit codes for one odd base."""
+    """Range hashes of a sequence of 64-bit codes: 62 bits from two polynomials modulo 2**31 - 1, whose bases are fixed random numbers.
+
+    Different sequences of n codes have the same hash with a chance of about (n / 2**31)**2 over the bases, whatever their
+    structure (modulo 2**64 the Thue-Morse word and its complement would have the same for any base).
+    """
 
-    _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    _powers: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
 
-    def __init__(self, codes: np.ndarray, base: int) -> None:
+    def __init__(self, codes: np.ndarray, family: int) -> None:
         n = len(codes)
-        power, self.inverse = self._grown(base, n + 1)
-        self.sums = np.empty(n + 1, dtype=_U)
-        self.sums[0] = 0
-        np.cumsum(codes * power[:n], out=self.sums[1:])
+        self.lanes = self._grown(family, n + 1)
+        self.sums = []
+        for lane, (power, _) in enumerate(self.lanes):
+            sums = np.empty(n + 1, dtype=_U)
+            sums[0] = 0
+            terms = sums[1:]
+            for at in range(0, n, _TILE):
+                part = codes[at : at + _TILE]
+                part = (part >> _U(33) if lane else part & _LOW) + _U(1)
+                part *= power[at : at + len(part)]
+                terms[at : at + len(part)] = _reduced(part)
+            np.cumsum(terms, out=terms)
+            self.sums.append(sums)
 
     @classmethod
-    def _grown(cls, base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-        have = cls._powers.get(base)
-        if have is None or len(have[0]) < n:
-            size = max(n, 1 << 16)
-            inv = pow(base, -1, 1 << 64)
-            tables = []
-            for b in (base, inv):
-                t = np.full(size, b, dtype=_U)
-                t[0] = 1
-                tables.append(np.cumprod(t, dtype=_U))
-            have = cls._powers[base] = (tables[0], tables[1])
+    def _grown(cls, family: int, n: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Powers of both bases and of their inverses."""
+        have = cls._powers.get(family)
+        if have is None or len(have[0][0]) < n:
+            size = 1 << max(16, int(n - 1).bit_length())
+            have = []
+            for lane in range(2):
+                base = int(_splitmix(1, 1000 * family + lane + 1)[0]) % (PRIME - 2**20) + 2**19
+                have.append((cls._all_powers(base, size), cls._all_powers(pow(base, -1, PRIME), size)))
+            cls._powers[family] = have
         return have
 
+    @staticmethod
+    def _all_powers(base: int, size: int) -> np.ndarray:
+        out = np.ones(size, dtype=_U)
+        done = 1
+        while done < size:
+            out[done : 2 * done] = _residue(out[:done] * _U(pow(base, done, PRIME)))
+            done *= 2
+        return out
+
     def grams(self, k: int) -> np.ndarray:
         """Hashes of all runs of k codes."""
-        n = len(self.sums) - k
-        if n <= 0:
-            return np.empty(0, dtype=_U)
-        return mix((self.sums[k:] - self.sums[:-k]) * self.inverse[:n])
+        n = max(len(self.sums[0]) - k, 0)
+        out = np.empty(n, dtype=_U)
+        for at in range(0, n, _TILE):
+            end = min(at + _TILE, n)
+            out[at:end] = self._hashed([(s[at + k : end + k] - s[at:end], inverse[at:end]) for s, (_, inverse) in zip(self.sums, self.lanes, strict=True)])
+        return out
 
     def ranges(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Hashes of the runs [start, end); equal for equal codes, and their length counts."""
-        return mix((self.sums[end] - self.sums[start]) * self.inverse[start] + (end - start).astype(_U) * _U(0xA24BAED4963EE407))
+        out = np.empty(len(start), dtype=_U)
+        for at in range(0, len(start), _TILE):
+            a, b = start[at : at + _TILE], end[at : at + _TILE]
+            length = (b - a).astype(_U) * _U(0xA24BAED4963EE407)
+            out[at : at + len(a)] = self._hashed([(s[b] - s[a], inverse[a]) for s, (_, inverse) in zip(self.sums, self.lanes, strict=True)], length)
+        return out
+
+    @staticmethod
+    def _hashed(lanes: list[tuple[np.ndarray, np.ndarray]], length: np.ndarray | None = None) -> np.ndarray:
+        low, high = (_residue(_reduced(_reduced(x)) * inverse) for x, inverse in lanes)
+        both = (high << _U(32)) | low
+        return mix(both if length is None else both + length)
 
 
-BASES = (0x5851F42D4C957F2D, 0x2545F4914F6CDD1D)
 _BYTE_CODES = _splitmix(256, 17)
 _SEPARATOR = np.zeros(256, dtype=bool)
 _SEPARATOR[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
