@@ -90,3 +90,72 @@ def test_repeated_rows_null_ids_and_clashing_columns(spark):
 def test_empty_tables(spark):
     assert suffix_dedup.dedup(make(spark, [])).count() == 0
     assert substring_dedup.dedup(make(spark, [])).count() == 0
+
+
+def thue_morse(n):
+    """Two different strings that polynomial hashes modulo a power of two can't tell apart."""
+    t = "a"
+    while len(t) < n:
+        t += t.translate(str.maketrans("ab", "ba"))
+    return t[:n], t[:n].translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("n", [1024, 2048])
+def test_thue_morse(spark, n):
+    texts = [x for t in thue_morse(n) for x in (t, " ".join(t))]
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.dedup(make(spark, texts)).collect()}
+    assert [got[i] for i in range(4)] == brute_bytes(texts, 200)
+    got = sorted((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.dedup(make(spark, texts)).collect())
+    assert got == sorted(brute_words(list(enumerate(texts)), 50))
+
+
+def test_many_rows_without_an_id(spark):
+    """14,000 rows share the null id: each one loses what its own text repeats."""
+    r = random.Random(5)
+    passage = "".join(r.choice("abcdefghij ") for _ in range(260))
+    texts = [f"{i} " + "".join(r.choice("klmnop ") for _ in range(30)) + (passage if i % 2000 == 0 else "") for i in range(14_000)]
+    got = sorted((x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in suffix_dedup.dedup(make(spark, texts, ids=[None] * len(texts))).collect())
+    assert got == sorted(brute_bytes(texts, 200))
+
+
+def test_a_text_longer_than_a_block(spark):
+    r = random.Random(6)
+    words = [f"w{r.randint(0, 10**6)}" for _ in range(200_000)]
+    long_ = " ".join(words)
+    assert len(long_) > 1 << 20
+    texts = [" ".join(words[500:600]), long_, " ".join(words[-80:])]
+    got = {x.doc_id: x.n_removed for x in substring_dedup.dedup(make(spark, texts)).collect()}
+    assert got == {0: 0, 1: 100, 2: 80}
+    got = {x.doc_id: x.n_removed for x in suffix_dedup.dedup(make(spark, texts)).collect()}
+    assert got[0] == len(texts[0]) and got[2] == len(texts[2]) and got[1] >= len(texts[0]) + len(texts[2])
+
+
+def test_corpus_order_is_that_of_the_suffixes():
+    """Suffixes of one trigger stand in the order of their bytes, and neighbours have in common what a plain comparison finds."""
+    r = random.Random(7)
+    length, k = 30, 6
+    tail = bytes(r.choice(b"abc\x00") for _ in range(60))
+    cuts = [bytes(r.choice(b"ab\x00") for _ in range(r.randint(3, 20))) + tail[: r.randint(30, 60)] for _ in range(60)] + [b"ab" * 40]
+    import numpy as np
+    import pyarrow as pa
+
+    row, at, before, after = suffix_dedup.corpus_order(np.zeros(len(cuts), dtype=np.int64), pa.array(cuts, type=pa.binary()), length, k, 4)
+    windows = [cuts[i][j : j + length] for i, j in zip(row.tolist(), at.tolist(), strict=True)]
+    times = Counter(windows)
+    assert sorted(windows) == sorted(c[j : j + length] for c in cuts for j in range(len(c) - length + 1))
+    assert [max(x, y) >= length for x, y in zip(before.tolist(), after.tolist(), strict=True)] == [times[w] > 1 for w in windows]
+    # Equal windows are neighbours.
+    assert len(times) == 1 + sum(x != y for x, y in zip(windows, windows[1:], strict=False))
+
+
+def test_factors_grow_to_where_texts_part():
+    import numpy as np
+    import pyarrow as pa
+
+    w = [f"v{i}" for i in range(200)]
+    other = [f"x{i}" for i in range(40)]
+    rows = [w[:90], w[60:150], w[10:130] + other]
+    block = substring_dedup.Block(np.zeros(3, dtype=np.int64), np.array([1, 2, 3]), pa.array([" ".join(x).encode() for x in rows], type=pa.binary()), 20)
+    row, at, size = substring_dedup.factors(block)
+    # The second row agrees with the first on 30 words; the third with the first on 80 and, over that bound, with the second on the rest.
+    assert list(zip(row.tolist(), at.tolist(), size.tolist(), strict=True)) == [(1, 0, 30), (2, 0, 80), (2, 61, 59)]

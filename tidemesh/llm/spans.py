@@ -1,26 +1,30 @@
-"""Finding repeated runs of L units (bytes or words) in a corpus, exactly and without an all-positions shuffle.
+"""Cutting a corpus into phrases by content, to find its repeated runs of L units (bytes or words) exactly and without an all-positions shuffle.
 
-A window is a run of L units of one document. Its anchor is the hash of the least of its k-grams by a rolling
-hash (the last of equals), so equal windows have equal anchors. Neighbouring windows with one anchor form a
-phrase: about (L - k + 1) / 2 windows in varied text, MOST at most, so there is one phrase for many units. Phrases of
-a document overlap by L - 1 units, hence each window lies in exactly one. In varied text a phrase's anchor has
-one place and its windows differ; where it has several (periodic text), equal windows may lie in one phrase.
+A window is a run of L units of one document. Its anchor is a k-gram inside it that is a function of the window alone, so equal
+windows have equal anchors at the same place: the first k-gram whose rolling hash is 0 modulo a constant (a trigger), or,
+without such a constant and in windows without a trigger, the one with the least rolling hash (the last of equals).
+Neighbouring windows with one anchor form a phrase, of MOST windows at most, so there is one phrase for many units. With the
+units after it that its last window reaches into, a phrase overlaps the next by L - 1 units, hence each window lies in exactly
+one. In varied text a phrase's anchor has one place and its windows differ; where it has several (periodic
+text), equal windows may lie in one phrase.
 
 * Anchors that the corpus holds once, at one place, settle all their windows: none is repeated.
-* Of the others, equal phrases (anchor and hash of the whole phrase, 128 bits) settle all their windows: each is repeated.
-* Only distinct phrases that share an anchor are compared window by window, once for each distinct phrase: the phrases of
-  one anchor side by side, as long as there are at most GROUP of them, else by a shuffle of their windows' hashes.
+* Of the others, equal phrases (anchor and hash of the whole phrase, 124 bits) settle all their windows: each is repeated.
+* Only distinct phrases that share an anchor have to be compared, once for each distinct phrase: the phrases of one anchor in
+  one task (suffix_dedup.corpus_order(), substring_dedup.factors()), as long as there are at most GROUP of them, else by a
+  shuffle of their windows' hashes.
 
 Grouping uses counts and minima that combine before the shuffle; joins are on keys whose hot values Spark can split.
+Rows are told apart by their doc_id and 87 bits of hashes of their text: rows with one doc_id and one text share their spans.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemesh.llm import kernel as K
@@ -34,7 +38,11 @@ MOST = 255
 GROUP = 4096
 #: Ids that are broadcast to pick documents out before a shuffle; with more of them all are shuffled.
 BROADCAST_IDS = 2_000_000
-_PHRASE = "anchor long, phrase long, did long, loc long"
+#: A row's key.
+ROW = ["did", "th", "tag"]
+_PHRASE = "anchor long, phrase long, did long, th long, loc long"
+#: Gives, of cuttings sorted by anchor (anchor, phrase, did, cut), the places of each one's windows that count as repeated.
+Judge = Callable[[pa.Table], tuple[np.ndarray, np.ndarray]]
 
 
 class Units:
@@ -51,19 +59,31 @@ class Units:
 
 
 def keyed(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """did, th (23 bits of the text's hash), text and the columns ``keep`` of each row: rows with equal did and text are told apart by nothing, and need not be."""
+    """ROW, text and the columns ``keep`` of each row: rows with equal keys are told apart by nothing, and need not be."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("did"), F.shiftrightunsigned(F.xxhash64(text), 41).alias("th"), text.alias("text"), *(c for c in keep if c != "text"))
+    key = (F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("did"), F.xxhash64(text).alias("th"), F.shiftrightunsigned(F.xxhash64(F.lit(1), text), 41).alias("tag"))
+    return docs.select(*key, text.alias("text"), *(c for c in keep if c != "text"))
 
 
-def phrases_of(units: Units, length: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def anchor_places(codes: np.ndarray, length: int, k: int, modulus: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of all k-grams, place of each window's anchor)."""
+    grams = K.Rolling(codes, K.BASES[0]).grams(k)
+    place = K.last_minimum(grams, length - k + 1)
+    if modulus:
+        # 0 modulo the constant, by the upper bits.
+        at = np.where(grams >> np.uint64(32) < np.uint64((1 << 32) // modulus), np.arange(len(grams)), len(codes))
+        after = np.minimum.accumulate(at[::-1])[::-1][: len(place)]
+        place = np.where(after <= np.arange(len(place)) + length - k, after, place)
+    return grams, place
+
+
+def phrases_of(units: Units, length: int, k: int, modulus: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(text, first window, number of windows, whether its anchor has several places, anchor, hash) of each phrase of a block."""
     codes, first = units.codes, units.first
     n = len(codes) - length + 1
     if n <= 0:
         return tuple(np.empty(0, dtype=t) for t in (np.int64, np.int64, np.int64, np.int64, np.uint64, np.uint64))
-    grams = K.Rolling(codes, K.BASES[0]).grams(k)
-    place = K.last_minimum(grams, length - k + 1)
+    grams, place = anchor_places(codes, length, k, modulus)
     step = np.zeros(n + 1, dtype=np.int64)
     long_ = np.diff(first) >= length
     np.add.at(step, first[:-1][long_], 1)
@@ -87,20 +107,25 @@ def phrases_of(units: Units, length: int, k: int) -> tuple[np.ndarray, np.ndarra
     return owner, start - first[owner], end - start, several, anchor[start], hashes
 
 
-def phrases(docs: DataFrame, kind: str, length: int, k: int) -> DataFrame:
-    """anchor, phrase, did, loc of all phrases; loc holds th, the first window's place, whether the anchor has several places and the number of windows."""
+def phrases(docs: DataFrame, kind: str, length: int, k: int, modulus: int | None) -> DataFrame:
+    """anchor, phrase, did, th, loc of all phrases; loc holds tag, the first window's place, whether the anchor has several places and the number of windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, text in K.blocks(batch):
-                owner, start, n, several, anchor, phrase = phrases_of(Units(text, kind), length, k)
-                did, th = (rows.column(i).to_numpy(zero_copy_only=False)[owner] for i in (0, 1))
-                loc = (th << 41) | (start << 9) | (several << 8) | n
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (K.signed(anchor), K.signed(phrase), did, loc)], names=["anchor", "phrase", "did", "loc"])
+                owner, start, n, several, anchor, phrase = phrases_of(Units(text, kind), length, k, modulus)
+                did, th, tag = (rows.column(i).to_numpy(zero_copy_only=False)[owner] for i in range(3))
+                loc = (tag << 41) | (start << 9) | (several << 8) | n
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (K.signed(anchor), K.signed(phrase), did, th, loc)], names=["anchor", "phrase", "did", "th", "loc"])
 
     return docs.mapInArrow(run, _PHRASE)
 
 
+def in_loc() -> tuple[Column, Column, Column, Column]:
+    """(tag, first window's place, 1 if the anchor has several places, number of windows) as loc has them."""
+    return F.shiftrightunsigned("loc", 41), F.expr("shiftright(loc, 9) & 4294967295L"), F.expr("shiftright(loc, 8) & 1"), F.expr("loc & 255")
+
+
 def picked(docs: DataFrame, by: DataFrame) -> DataFrame:
     """The rows of docs whose did is in ``by``, or all if those are too many to broadcast: a filter before a join."""
     ids = by.select("did").distinct()
@@ -108,10 +133,10 @@ def picked(docs: DataFrame, by: DataFrame) -> DataFrame:
 
 
 def cuttings(docs: DataFrame, compared: DataFrame, kind: str, length: int) -> DataFrame:
-    """anchor, phrase, did, size and cut (the text) of the phrases ``compared`` (anchor, phrase, size, did, th, start, n)."""
+    """anchor, phrase, did, size and cut (the text) of the phrases ``compared`` (anchor, phrase, size, did, th, tag, start, n)."""
     names = ("anchor", "phrase", "size", "start", "n")
-    lists = compared.groupBy("did", "th").agg(*(F.collect_list(c).alias(c) for c in names))
-    held = picked(docs, compared).join(lists, ["did", "th"]).dropDuplicates(["did", "th"]).select("did", *names, "text")
+    lists = compared.groupBy(*ROW).agg(*(F.collect_list(c).alias(c) for c in names))
+    held = picked(docs, compared).join(lists, ROW).dropDuplicates(ROW).select("did", *names, "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -136,36 +161,23 @@ def cuttings(docs: DataFrame, compared: DataFrame, kind: str, length: int) -> Da
     return held.mapInArrow(run, "anchor long, phrase long, did long, size long, cut binary")
 
 
-def window_hashes(cut: pa.Array, kind: str, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, place in it, hash) of all windows of cuttings."""
-    u = Units(cut.cast(pa.large_binary()), kind)
-    n = np.diff(u.first) - length + 1
+def windows(u: Units, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, place in it, place in the block) of all windows of cuttings."""
+    n = np.maximum(np.diff(u.first) - length + 1, 0)
     row = np.repeat(np.arange(len(n)), n)
     at = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-    place = u.first[row] + at
-    return row, at, K.Rolling(u.codes, K.BASES[1]).ranges(place, place + length)
+    return row, at, u.first[row] + at
 
 
-def side_by_side(cut: DataFrame, kind: str, length: int, earlier: bool) -> DataFrame:
+def side_by_side(cut: DataFrame, judge: Judge) -> DataFrame:
     """anchor, phrase, ats (places of repeated windows) of each cutting with any; an anchor's cuttings meet in one task."""
 
     def judged(rows: pa.Table) -> pa.RecordBatch:
-        anchor, did = (rows.column(c).to_numpy() for c in ("anchor", "did"))
-        row, at, h = window_hashes(rows.column("cut").combine_chunks(), kind, length)
-        order = np.lexsort((h, anchor[row]))
-        row, at, h = row[order], at[order], h[order]
-        new = np.ones(len(row), dtype=bool)
-        new[1:] = (h[1:] != h[:-1]) | (anchor[row][1:] != anchor[row][:-1])
-        group = np.cumsum(new) - 1
-        if earlier:
-            hit = np.minimum.reduceat(did[row], np.flatnonzero(new))[group] < did[row] if len(row) else new
-        else:
-            hit = np.bincount(group)[group] > 1 if len(row) else new
-        row, at = row[hit], at[hit]
-        order = np.argsort(row, kind="stable")
+        row, at = judge(rows)
+        order = np.lexsort((at, row))
         some, count = np.unique(row, return_counts=True)
         ats = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]), type=pa.int32()), pa.array(at[order], type=pa.int32()))
-        return pa.RecordBatch.from_arrays([pa.array(anchor[some]), pa.array(rows.column("phrase").to_numpy()[some]), ats], names=["anchor", "phrase", "ats"])
+        return pa.RecordBatch.from_arrays([*(pa.array(rows.column(c).to_numpy()[some]) for c in ("anchor", "phrase")), ats], names=["anchor", "phrase", "ats"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wait: list[pa.RecordBatch] = []
@@ -197,7 +209,9 @@ def by_shuffle(cut: DataFrame, kind: str, length: int, earlier: bool) -> DataFra
         for batch in batches:
             for begin in range(0, batch.num_rows, 1024):
                 part = batch.slice(begin, 1024)
-                row, at, h = window_hashes(part.column(3), kind, length)
+                u = Units(part.column(3).cast(pa.large_binary()), kind)
+                row, at, place = windows(u, length)
+                h = K.Rolling(u.codes, K.BASES[1]).ranges(place, place + length)
                 take = pa.array(row)
                 yield pa.RecordBatch.from_arrays([part.column(0).take(take), part.column(1).take(take), part.column(2).take(take), pa.array(at, type=pa.int32()), pa.array(K.signed(h))], names=["anchor", "phrase", "did", "at", "window"])
 
@@ -208,25 +222,27 @@ def by_shuffle(cut: DataFrame, kind: str, length: int, earlier: bool) -> DataFra
     return hit.groupBy("anchor", "phrase").agg(F.collect_list("at").alias("ats"))
 
 
-def spans(docs: DataFrame, kind: str, length: int, k: int, earlier: bool, name: str) -> DataFrame:
-    """did, th, spans (list of start, n, ats) of the documents that hold repeated windows.
+def spans(docs: DataFrame, kind: str, length: int, k: int, modulus: int | None, earlier: bool, judge: Judge, name: str) -> DataFrame:
+    """ROW, spans (list of start, n, ats) of the documents that hold repeated windows.
 
     ``docs`` is keyed(). A span's windows are start .. start + n - 1 where ats is null, else start + ats.
     earlier: a window counts as repeated if a document with a smaller id holds it; else if it starts anywhere else.
+    ``judge`` tells that of the windows of phrases that share an anchor.
     """
-    places = F.expr("1 + (shiftright(loc, 8) & 1)")
-    all_ = phrases(docs, kind, length, k)
+    tag, start, several_places, n = in_loc()
+    places = 1 + several_places
+    all_ = phrases(docs, kind, length, k, modulus)
     anchors = all_.groupBy("anchor").agg(F.min("did").alias("least"), F.max("did").alias("most"), F.sum(places).alias("places")).filter("least < most" if earlier else "places > 1").select("anchor")
     # Stored, so that both sides of the join are plain shuffles, which Spark splits where an anchor is very frequent; likewise below.
     anchors = stored(anchors, f"{name}-anchors")
     found = stored(all_.hint("merge").join(anchors, "anchor"), f"{name}-phrases")
-    dictionary = found.groupBy("anchor", "phrase").agg(F.min("did").alias("least"), F.min_by("loc", "did").alias("loc"), F.count(F.lit(1)).alias("times"))
+    # Of rows with the least id, both min_by take the same one.
+    dictionary = found.groupBy("anchor", "phrase").agg(F.min("did").alias("least"), F.min_by("th", "did").alias("th"), F.min_by("loc", "did").alias("loc"), F.count(F.lit(1)).alias("times"))
     dictionary = stored(dictionary, f"{name}-dictionary")
     several = stored(dictionary.groupBy("anchor").agg(F.sum(places).alias("size")).filter("size > 1"), f"{name}-several")
-    start, n = F.expr("shiftright(loc, 9) & 4294967295L"), F.expr("loc & 255")
-    compared = dictionary.hint("merge").join(several, "anchor").select("anchor", "phrase", "size", F.col("least").alias("did"), F.shiftrightunsigned("loc", 41).alias("th"), start.alias("start"), n.alias("n"))
+    compared = dictionary.hint("merge").join(several, "anchor").select("anchor", "phrase", "size", F.col("least").alias("did"), "th", tag.alias("tag"), start.alias("start"), n.alias("n"))
     cut = stored(cuttings(docs, stored(compared, f"{name}-compared"), kind, length), f"{name}-cuttings")
-    ats = side_by_side(cut.filter(F.col("size") <= GROUP), kind, length, earlier)
+    ats = side_by_side(cut.filter(F.col("size") <= GROUP), judge)
     if (cut.agg(F.max("size")).first()[0] or 0) > GROUP:
         ats = ats.union(by_shuffle(cut.filter(F.col("size") > GROUP), kind, length, earlier))
     judged = dictionary.join(ats, ["anchor", "phrase"], "left").filter(F.col("ats").isNotNull() | (F.col("times") > 1)).select("anchor", "phrase", "least", "times", "ats")
@@ -234,15 +250,16 @@ def spans(docs: DataFrame, kind: str, length: int, k: int, earlier: bool, name:
     hits = found.hint("merge").join(judged, ["anchor", "phrase"])
     hits = hits.withColumn("whole", F.expr("did > least" if earlier else "times > 1")).filter(F.col("whole") | F.col("ats").isNotNull())
     span = F.struct(start.alias("start"), n.alias("n"), F.when(~F.col("whole"), F.col("ats")).alias("ats"))
-    return stored(hits.groupBy("did", F.shiftrightunsigned("loc", 41).alias("th")).agg(F.collect_list(span).alias("spans")), f"{name}-spans")
+    # A set, as rows with one key have the same spans.
+    return stored(hits.groupBy("did", "th", tag.alias("tag")).agg(F.collect_set(span).alias("spans")), f"{name}-spans")
 
 
 def with_spans(docs: DataFrame, found: DataFrame) -> DataFrame:
     """docs (keyed()) and their spans, null if they have none. Only texts with spans are shuffled, as long as their ids can be broadcast."""
     ids = found.select("did").distinct()
     if ids.count() > BROADCAST_IDS:
-        return docs.join(found, ["did", "th"], "left")
-    held = docs.join(F.broadcast(ids), "did", "left_semi").join(found, ["did", "th"], "left")
+        return docs.join(found, ROW, "left")
+    held = docs.join(F.broadcast(ids), "did", "left_semi").join(found, ROW, "left")
     return held.unionByName(docs.join(F.broadcast(ids), "did", "left_anti").withColumn("spans", F.lit(None).cast(found.schema["spans"].dataType)))
 
 

@@ -1,15 +1,20 @@
 """Removal of repeated 200-byte strings by prefix-free parsing.
 
-Texts are cut into phrases at triggers, the places where a rolling hash is least among its neighbours; being a
-function of the bytes around them alone, triggers fall alike in every copy of a passage. Consecutive phrases
-overlap, so that every suffix cut to 200 bytes belongs to exactly one phrase. The distinct phrases are the
-dictionary; the parse is each document's sequence of phrases, with the times each is used.
-
-In corpus order, suffixes that agree on 200 bytes stand together. That order splits into two: suffixes within
-one dictionary phrase follow the phrase's uses in the parse (a phrase used twice repeats all its suffixes), and
-suffixes of different phrases follow the sorted dictionary suffixes, of which only phrases with a trigger string
-in common can agree. The order is needed only up to which suffixes stand together, so suffixes are sorted by
-a 128-bit key of their first 200 bytes and not by the bytes; see spans.py.
+Texts are cut into phrases at triggers, strings of 40 bytes whose rolling hash is 0 modulo a constant. Being a
+function of their bytes alone, triggers fall alike in every copy of a passage, and no phrase, which ends with the
+trigger that the next one begins with, is a prefix of another. The distinct phrases, each with the bytes that follow
+it in the parse as far as a suffix cut to 200 bytes reaches, are the dictionary; the parse is each document's sequence of
+phrases, of which the times that each is used are counted (spans.py). A stretch of 200 bytes without a trigger takes
+the string of the least hash in its place, so no phrase grows beyond 200 bytes and a text free of triggers needs no other path.
+
+Corpus order, that of all suffixes cut to 200 bytes, is made from two smaller orders. ``dictionary_order`` is the suffix array
+of the phrases: what is left of each phrase from a suffix's first byte to its trigger's end. ``parse_order`` is that
+of the parse: the bytes from each trigger on, with the common prefixes of neighbours. ``corpus_order`` ranks a suffix by the first and then by
+the second; two suffixes agree on 200 bytes if and only if they agree up to the trigger's end and what follows has
+the rest in common. Suffixes can only agree if their triggers do, so the orders are made for the dictionary's
+phrases of one trigger string at a time, in one task, and only for triggers that occur twice or more; phrases used
+twice are repeated as a whole. Beyond spans.GROUP distinct phrases of a trigger, suffixes are grouped
+by the hash of their 200 bytes instead.
 """
 
 from __future__ import annotations
@@ -23,25 +28,121 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemesh.llm import kernel as K
-from tidemesh.llm.spans import NO_ID, covered, keyed, spans, with_spans
+from tidemesh.llm.spans import NO_ID, Units, anchor_places, covered, keyed, spans, windows, with_spans
 
 LENGTH = 200
 TRIGGER = 40
+#: One in so many strings is a trigger.
+MODULUS = 80
+
+
+def dictionary_order(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Rank of the suffix that begins at each byte and ends at ``ends`` of that byte, in lexicographic order; equal suffixes have equal ranks.
+
+    Prefix doubling: from the ranks by h bytes come those by 2 h. A string that ends comes before those that go on.
+    """
+    n = len(data)
+    place = np.arange(n)
+    left = ends - place
+    key = np.zeros(n, dtype=np.int64)
+    for i in range(7):
+        at = np.minimum(place + i, max(n - 1, 0))
+        key = key * 257 + np.where(left > i, data[at].astype(np.int64) + 1, 0)
+    rank = np.unique(key, return_inverse=True)[1].astype(np.int64) + 1
+    done = 7
+    while done < left.max(initial=0):
+        after = np.where(left > done, rank[np.minimum(place + done, n - 1)], 0)
+        rank = np.unique(rank * (n + 1) + after, return_inverse=True)[1].astype(np.int64) + 1
+        done *= 2
+    return rank
+
+
+def parse_order(data: np.ndarray, start: np.ndarray, size: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(rank of each parse suffix data[start : start + size] in lexicographic order, bytes that the suffix of each rank has in common with the one before it)."""
+    m = len(start)
+    if not m:
+        return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+    width = -(-length // 4) * 4
+    at = start[:, None] + np.arange(width)
+    table = np.where(np.arange(width) < size[:, None], data[np.minimum(at, max(len(data) - 1, 0))].astype(np.uint16) + 1, 0).astype(">u2")
+    lanes = table.view(">u8").astype(np.uint64)
+    order = np.lexsort(lanes.T[::-1])
+    rank = np.empty(m, dtype=np.int64)
+    rank[order] = np.arange(m)
+    table, size = table[order], size[order]
+    differ = table[1:] != table[:-1]
+    first = np.where(differ.any(1), differ.argmax(1), width)
+    return rank, np.concatenate([[0], np.minimum(first, np.minimum(size[1:], size[:-1]))])
+
+
+def least_between(values: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Least of values[low + 1 .. high] for each pair low < high."""
+    table = [values]
+    while 2 << (len(table) - 1) <= len(values):
+        step = 1 << (len(table) - 1)
+        table.append(np.minimum(table[-1][:-step], table[-1][step:]))
+    level = np.frexp((high - low).astype(np.float64))[1] - 1
+    out = np.empty(len(low), dtype=np.int64)
+    for k in np.unique(level):
+        mine = level == k
+        out[mine] = np.minimum(table[k][low[mine] + 1], table[k][high[mine] + 1 - (1 << int(k))])
+    return out
+
+
+def corpus_order(anchor: np.ndarray, cut: pa.Array, length: int, k: int, modulus: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, place in it, bytes in common with the one before, bytes in common with the one after) of all suffixes of dictionary phrases with their context, in corpus order.
+
+    anchor: of each row, the hash of its trigger. Suffixes of different triggers have nothing in common; those beginning
+    differently count as having nothing in common, as only common prefixes of ``length`` bytes and more are asked for.
+    """
+    u = Units(cut.cast(pa.large_binary()), "bytes")
+    _, place = anchor_places(u.codes, length, k, modulus)
+    row, at, start = windows(u, length)
+    trigger = place[start]
+    # A phrase is what lies before one trigger; a row of periodic text has several.
+    new = np.ones(len(row), dtype=bool)
+    new[1:] = (row[1:] != row[:-1]) | (trigger[1:] != trigger[:-1])
+    phrase = np.cumsum(new) - 1
+    begins = np.flatnonzero(new)
+    # The phrases one after another, each to its trigger's end.
+    low, high = start[begins], trigger[begins] + k
+    size = high - low
+    base = np.cumsum(size) - size
+    flat = np.repeat(low - base, size) + np.arange(size.sum())
+    ranks = dictionary_order(u.data[flat], np.repeat(base + size, size))
+    word = ranks[base[phrase] + start - low[phrase]]
+    context = np.minimum(length, u.first[row[begins] + 1] - trigger[begins])
+    parse_rank, common = parse_order(u.data, trigger[begins], context, length)
+    after = parse_rank[phrase]
+    order = np.lexsort((after, word, anchor[row]))
+    same = (word[order][1:] == word[order][:-1]) & (anchor[row[order]][1:] == anchor[row[order]][:-1])
+    here, there = after[order][1:][same], after[order][:-1][same]
+    shared = np.zeros(len(order) - 1 if len(order) else 0, dtype=np.int64)
+    # Equal ranks cannot be: a phrase's windows before one trigger differ in length.
+    shared[same] = trigger[order][1:][same] - start[order][1:][same] + least_between(common, there, here)
+    return row[order], at[order], np.concatenate([[0], shared])[: len(order)], np.concatenate([shared, [0]])[: len(order)]
+
+
+def repeated_spans(docs: DataFrame, length: int = LENGTH, trigger: int = TRIGGER, modulus: int = MODULUS) -> DataFrame:
+    """ROW, spans of the documents that hold a string of ``length`` bytes that starts anywhere else, see spans.spans()."""
 
+    def judge(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        row, at, before, after = corpus_order(rows.column("anchor").to_numpy(), rows.column("cut").combine_chunks(), length, trigger, modulus)
+        hit = np.maximum(before, after) >= length
+        return row[hit], at[hit]
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, trigger: int = TRIGGER) -> DataFrame:
-    """did, th, spans of the documents that hold a string of ``length`` bytes that starts anywhere else, see spans.spans()."""
-    return spans(docs, "bytes", length, trigger, False, "suffix")
+    return spans(docs, "bytes", length, trigger, modulus, False, judge, "suffix")
 
 
-def dedup(docs: DataFrame, length: int = LENGTH, trigger: int = TRIGGER) -> DataFrame:
+def dedup(docs: DataFrame, length: int = LENGTH, trigger: int = TRIGGER, modulus: int = MODULUS) -> DataFrame:
     """doc_id, kept (remaining bytes), n_bytes, n_removed, n_spans, kept_sha256 of each document.
 
-    Null texts count as empty. Rows are documents of their own even if they share a doc_id, so equal rows repeat each
-    other; a null doc_id is kept as null. Remaining bytes may cut through a character. Other columns are ignored.
+    Null texts count as empty. Rows are documents of their own even if they share a doc_id or have none, so equal rows repeat each
+    other; a null doc_id is kept as null. Remaining bytes may cut through a character. Other columns are ignored. Of an empty
+    table the result is empty. A text is read whole by one task, which needs about 100 bytes of memory for each of its bytes.
     """
     keys = keyed(docs)
-    joined = with_spans(keys, repeated_spans(keys, length, trigger)).select("did", "spans", "text")
+    joined = with_spans(keys, repeated_spans(keys, length, trigger, modulus)).select("did", "spans", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
