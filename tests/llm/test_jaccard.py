@@ -77,3 +77,47 @@ def test_null_ids_repeated_rows_and_clashing_columns(spark):
     got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.join(d).collect()), key=str)
     assert got == sorted([(None, 2, 5), (5, 2, 5), (5, 1, 5), (None, 0, None)], key=str)
     assert jaccard.join(make(spark, [])).count() == 0
+
+
+def near_copies(seed, n):
+    """One group of copies around the threshold: words replaced by others of a small vocabulary, words left out, ends cut off, a second version."""
+    r = random.Random(seed)
+    base = [f"b{i}" for i in range(120)]
+    second = list(base)
+    for i in r.sample(range(120), 5):
+        second[i] = f"second{i}"
+    texts = [" ".join(base)]
+    while len(texts) < n:
+        copy = list(r.choice((base, base, second)))
+        kind = r.random()
+        if kind < 0.7:
+            for _ in range(r.randint(0, 6)):
+                i = r.randrange(len(copy))
+                copy[i] = f"{copy[i]}x{r.randint(0, 3)}"
+        elif kind < 0.85:
+            for _ in range(r.randint(0, 5)):
+                del copy[r.randrange(len(copy))]
+        else:
+            copy = copy[r.randint(0, 12) : len(copy) - r.randint(0, 40)]
+        texts.append(" ".join(copy))
+    return texts
+
+
+def test_a_large_group_of_near_copies_around_the_threshold(spark):
+    texts = near_copies(1, 1000)
+    r = random.Random(2)
+    ids = r.sample(range(10**6), len(texts))
+    got = sorted((x.doc_id, x.n_shingles, x.component_id) for x in jaccard.join(make(spark, texts, ids=ids).repartition(4)).collect())
+    want = brute(list(zip(ids, texts, strict=True)))
+    assert got == want
+    assert 10 < len({c for *_, c in want}) < len(texts) - 100
+
+
+def test_thue_morse(spark):
+    t = "a"
+    while len(t) < 2048:
+        t += t.translate(str.maketrans("ab", "ba"))
+    texts = [x for n in (1024, 2048) for x in (t[:n], t[:n].translate(str.maketrans("ab", "ba")))]
+    texts += [" ".join(x) for x in texts]
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.join(make(spark, texts)).collect())
+    assert got == brute(list(enumerate(texts)))

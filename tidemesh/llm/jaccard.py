@@ -2,24 +2,29 @@
 
 Equal sets form a class first; below, a document stands for its class. With a threshold of 0.8, linked sets of
 n tokens share at least ceil(0.8 n), so under any global order of tokens they have a token in common among
-their first n - ceil(0.8 n) + 1, the prefix. Orders that put rare tokens first make that filter sharp:
+their first n - ceil(0.8 n) + 1, the prefix. The first order puts rare tokens first, which makes its filter sharp:
 
 * Tokens below a bound of their hash come first, by the times the corpus uses them; the rest follow by hash.
   So only a fixed share of all tokens has to be counted. Tokens of a single class match nothing; a document whose
   prefix holds no others is done. Passages that many documents share stay out of the prefixes.
-* The second order breaks ties the other way round. Pairs that the pivots (below) leave have to share prefix tokens under both;
-  comparisons with a pivot go by the first alone, as the bound below needs them, and the orders differ only among tied tokens.
+* The second and third order are by hashes of the tokens that have nothing to do with their use or with one another (``orders``).
 
-Candidates aren't spelled out as all pairs of a token's documents. Each group has a pivot, its document with the
+Candidates aren't spelled out as all pairs of a token's documents. Documents with a prefix token in common and of one
+range of sizes (linked ones differ by a quarter at most) form a group, which has a pivot, its document with the
 fewest tokens of its own; everything is compared with its pivot first. Documents that are thereby in one
-component need no comparison with each other. For what is left between components, let D(u) be the pivot's tokens
-that u lacks and E(u) the tokens it has besides. With s tokens lacking in both and e besides in both, u and v are similar iff
+component need no comparison with each other. For the rest, let D(u) be the pivot's tokens that u lacks and E(u) the tokens it has
+besides. With s tokens lacking in both and e besides in both, u and v are linked iff
 
-    (100 + p) (s + e) >= 100 (|D(u)| + |D(v)|) + p (|E(u)| + |E(v)|) - (100 - p) |pivot|.
+    (100 + p) (s + e) >= A(u) + A(v) + (100 - p) |pivot|,   A(u) = 100 |D(u)| + p |E(u)| - (100 - p) |pivot|.
 
-As s and e are at most the smaller of both sides, and e counts only tokens that some other document of the pivot has
-besides, most documents with edits of their own can't make up for them with anyone and are done; the few pairs that
-may are compared, if they share prefix tokens under both orders.
+A(u) <= 0 says that u is linked with the pivot itself. As s is at most the smaller of |D(u)| and |D(v)|, that needs
+
+    (100 + p) e >= A(u) + c(v),   c(v) = p (|E(v)| - |D(v)|).
+
+So u, where it isn't linked with the pivot, can only be linked with a v of c(v) >= 0 if they share A(u) / (100 + p) of
+their E: a join on tokens again, of which the rarest in the group make a prefix. Few v have c(v) < 0 (texts cut short). They
+are found by any common E or, having none, by A(u) / p common D, in a prefix as well (``candidates``). Only
+candidates that share prefix tokens under all three orders are compared.
 """
 
 from __future__ import annotations
@@ -28,11 +33,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemesh.llm import kernel as K
-from tidemesh.llm.spans import NO_ID
+from tidemesh.llm.spans import NO_ID, ROW, keyed
 from tidemesh.llm.store import stored
 
 SPAN = 5
@@ -81,21 +87,17 @@ def counted(tokens: np.ndarray, first: np.ndarray) -> np.ndarray:
     return K.sums_by(first, tokens < np.uint64(int(COUNTED * 2**64)))
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("did"), F.xxhash64(F.col("text").cast("string")).alias("th"), F.col("text").cast("string").alias("text"))
-
-
 def members(docs: DataFrame, span: int) -> DataFrame:
-    """did, th (the text's hash), n, low (counted tokens), set (its class; null without words) of each document."""
+    """ROW, n, low (counted tokens), set (its class; null without words) of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, text in K.blocks(batch):
                 tokens, first = shingles(text, span)
                 n = np.diff(first)
-                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(n), pa.array(counted(tokens, first)), pa.array(K.signed(class_keys(tokens, first)), mask=n == 0)], names=["did", "th", "n", "low", "set"])
+                yield pa.RecordBatch.from_arrays([*(rows.column(i) for i in range(3)), pa.array(n), pa.array(counted(tokens, first)), pa.array(K.signed(class_keys(tokens, first)), mask=n == 0)], names=[*ROW, "n", "low", "set"])
 
-    return docs.mapInArrow(run, "did long, th long, n long, low long, set long")
+    return docs.mapInArrow(run, "did long, th long, tag long, n long, low long, set long")
 
 
 def uses(docs: DataFrame, span: int, percent: int) -> DataFrame:
@@ -146,16 +148,19 @@ def unpacked(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw.view("<u8").ravel(), offsets // TOKEN_BYTES
 
 
-def compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """a, b, n_a, n_b, both (tokens in common) of the pairs a, b, and extra: a's tokens besides, where they are few enough.
+def compared(pairs: DataFrame, sets: DataFrame, percent: int, differences: bool) -> DataFrame:
+    """a, b, n_a, n_b, both (tokens in common) of the pairs a, b; with ``differences`` also extra (a's tokens besides) and missing (b's that a lacks).
 
-    Extra tokens are counted for documents with at most n_b of them (see join()). Such a one has at most 2 n_b tokens and is similar only
-    to documents of at most 2 n_b * 100 / percent, so the extra tokens of all of these are given.
+    missing is only given where candidates() looks for it: where a isn't similar to b, or lacks more than it has besides.
     """
     side = lambda c: sets.select(F.col("set").alias(c), F.col("tokens").alias(f"tokens_{c}"))
     joined = pairs.hint("merge").join(side("a"), "a").hint("merge").join(side("b"), "b").select("a", "b", "tokens_a", "tokens_b")
     bits = np.uint64(8 * TOKEN_BYTES)
 
+    def cuts(tokens: np.ndarray, n: np.ndarray, wanted: np.ndarray) -> pa.Array:
+        raw, at = packed(tokens), np.concatenate([[0], np.cumsum(n)])
+        return pa.array([raw[i:j].tobytes() if x else None for i, j, x in zip(at[:-1].tolist(), at[1:].tolist(), wanted.tolist(), strict=True)], type=pa.binary())
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
@@ -165,36 +170,109 @@ def compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 na, nb = np.diff(fx), np.diff(fy)
                 row = np.concatenate([np.repeat(np.arange(m), c) for c in (na, nb)]).astype(np.uint64)
                 key = (row << bits) | np.concatenate([x, y])
+                # a's tokens come first among equals, as the sort is stable.
                 order = np.argsort(key, kind="stable")
                 key = key[order]
-                same = np.zeros(len(key), dtype=bool)
-                same[:-1] = key[1:] == key[:-1]
+                same = np.flatnonzero(key[1:] == key[:-1])
                 both = np.bincount((key[same] >> bits).astype(np.int64), minlength=m)
-                # a's tokens come first among equals, as the sort is stable.
-                hit = np.zeros(len(key), dtype=bool)
-                hit[order[same]] = True
-                raw = packed(x[~hit[: len(x)]])
-                left = np.concatenate([[0], np.cumsum(na - both)])
-                extra = pa.array([raw[i:j].tobytes() if near else None for i, j, near in zip(left[:-1].tolist(), left[1:].tolist(), (percent * (na - both) <= 200 * nb).tolist(), strict=True)], type=pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(na), pa.array(nb), pa.array(both), extra], names=["a", "b", "n_a", "n_b", "both", "extra"])
+                columns = [part.column(0), part.column(1), pa.array(na), pa.array(nb), pa.array(both)]
+                if differences:
+                    hit = np.zeros(len(key), dtype=bool)
+                    hit[order[same]] = hit[order[same + 1]] = True
+                    lacks, besides = nb - both, na - both
+                    far = (100 * lacks + percent * besides > (100 - percent) * nb) | (besides < lacks)
+                    columns += [cuts(x[~hit[: len(x)]], besides, np.ones(m, dtype=bool)), cuts(y[~hit[len(x) :]], lacks, far)]
+                yield pa.RecordBatch.from_arrays(columns, names=["a", "b", "n_a", "n_b", "both", "extra", "missing"][: len(columns)])
+
+    return joined.mapInArrow(run, "a long, b long, n_a long, n_b long, both long" + (", extra binary, missing binary" if differences else ""))
+
+
+def candidates(found: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+    """Pairs a, b of documents compared with one pivot (``found``) that may be linked and aren't known to be in one component (``roots``), see above."""
+    whole, rest = 100 + percent, 100 - percent
+    of = lambda c: roots.select(F.col("set").alias(c), F.col("root").alias(f"root_{c}"))
+    side = found.hint("merge").join(of("a"), "a", "left").hint("merge").join(of("b"), "b", "left")
+    side = side.select(
+        F.col("a").alias("set"),
+        F.col("b").alias("pivot"),
+        F.col("n_a").alias("n"),
+        "n_b",
+        (F.col("n_b") - F.col("both")).alias("lacks"),
+        (F.col("n_a") - F.col("both")).alias("besides"),
+        F.coalesce("root_a", "a").alias("root"),
+        (F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).alias("apart"),
+        "extra",
+        "missing",
+    )
+    side = side.withColumn("needs", F.expr(f"100 * lacks + {percent} * besides - {rest} * n_b")).withColumn("thin", F.expr("besides < lacks"))
+    # Documents that are apart from the pivot look for partners; of two partners in different components at least one is.
+    side = side.withColumn("seeks", F.expr("needs > 0 AND apart")).drop("apart")
+    pivots = stored(side.filter("seeks").select("pivot").distinct(), "open-pivots")
+    side = side.hint("merge").join(pivots, "pivot")
+    kept = ("set", "pivot", "n", "n_b", "lacks", "needs", "root", "thin", "seeks")
 
-    return joined.mapInArrow(run, "a long, b long, n_a long, n_b long, both long, extra binary")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [*kept, "token", "has"]
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                for column, has in (("extra", True), ("missing", False)):
+                    token, first = unpacked(pc.fill_null(part.column(part.schema.get_field_index(column)).cast(pa.large_binary()), b""))
+                    take = pa.array(np.repeat(np.arange(part.num_rows), np.diff(first)))
+                    yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(c)).take(take) for c in kept), pa.array(token.astype(np.int64)), pa.array(np.full(len(token), has))], names=names)
+
+    types = ", ".join(f"{c} {'boolean' if c in ('thin', 'seeks') else 'long'}" for c in kept)
+    rows = side.select(*kept, "extra", F.when(F.col("thin") | F.col("seeks"), F.col("missing")).alias("missing")).mapInArrow(run, f"{types}, token long, has boolean")
+    shared = rows.groupBy("pivot", "token", "has").agg(F.count(F.lit(1)).alias("times"), F.max("seeks").alias("sought")).filter("times > 1 AND sought").drop("sought")
+    rows = rows.hint("merge").join(stored(shared, "differences-shared"), ["pivot", "token", "has"])
+    own = Window.partitionBy("set", "pivot", "has")
+    rows = rows.withColumn("rank", F.row_number().over(own.orderBy("times", "token"))).withColumn("shared", F.count(F.lit(1)).over(own))
+    rows = stored(rows.withColumn("e", F.when(F.col("has"), F.col("shared")).otherwise(0)).drop("times"), "differences")
+    # What pairs meet by: 0: E, partners with c >= 0; 1: E, partners with c < 0; 2: D, partners with c < 0.
+    by_e = F.expr(f"has AND rank <= shared - (needs + {whole - 1}) div {whole} + 1")
+    by_d = F.expr(f"NOT has AND rank <= shared - (needs + {percent - 1}) div {percent} + 1")
+    seeking = rows.filter("seeks").withColumn("way", F.explode(F.array_compact(F.array(F.when(by_e, 0), F.when(F.col("has"), 1), F.when(by_d, 2)))))
+    found_by = rows.filter("has OR thin").withColumn("way", F.expr("if(has, if(thin, 1, 0), 2)"))
+    other = found_by.select("pivot", "token", "way", *(F.col(c).alias(f"o_{c}") for c in ("set", "n", "lacks", "needs", "root", "seeks", "e")))
+    may = F.expr(
+        f"root != o_root AND (NOT o_seeks OR set < o_set) AND 100 * least(n, o_n) >= {percent} * greatest(n, o_n)"
+        f" AND {whole} * (least(lacks, o_lacks) + least(e, o_e)) >= needs + o_needs + {rest} * n_b"
+    )
+    met = seeking.select("pivot", "token", "way", "set", "n", "n_b", "lacks", "needs", "root", "e").hint("merge").join(other, ["pivot", "token", "way"]).filter(may)
+    return met.select(F.least("set", "o_set").alias("a"), F.greatest("set", "o_set").alias("b")).distinct()
 
 
-def extras(found: DataFrame) -> DataFrame:
-    """a, b, e: how many of a's extra tokens some other document compared with b has as well."""
+def orders(sets: DataFrame, percent: int) -> DataFrame:
+    """set, second, third: the prefixes of sets under two orders by hashes of the tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 2048):
-                part = batch.slice(at, 2048)
-                token, first = unpacked(part.column(2))
-                take = pa.array(np.repeat(np.arange(part.num_rows), np.diff(first)))
-                yield pa.RecordBatch.from_arrays([part.column(0).take(take), part.column(1).take(take), pa.array(token.astype(np.int64))], names=["a", "b", "token"])
-
-    rows = found.filter("extra IS NOT NULL").select("a", "b", "extra").mapInArrow(run, "a long, b long, token long")
-    more = stored(rows.groupBy("b", "token").count().filter("count > 1").select("b", "token"), "extras")
-    return rows.hint("merge").join(more, ["b", "token"]).groupBy("a", "b").agg(F.count(F.lit(1)).alias("e"))
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                token, first = unpacked(part.column(1))
+                n = np.diff(first)
+                owner, most = np.repeat(np.arange(len(n)), n), prefix(n, percent)
+                columns = [part.column(0)]
+                for seed in (2, 3):
+                    key = K.seeded(token, seed)
+                    order = np.lexsort((key, owner))
+                    rank = np.arange(len(order)) - first[:-1][owner]
+                    chosen = order[rank < most[owner]]
+                    columns.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.minimum(most, n))]), type=pa.int32()), pa.array(token[chosen].astype(np.int64))))
+                yield pa.RecordBatch.from_arrays(columns, names=["set", "second", "third"])
+
+    return sets.select("set", "tokens").mapInArrow(run, "set long, second array<long>, third array<long>")
+
+
+def intersected(pairs: DataFrame, first: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs a, b that share prefix tokens under all three orders."""
+    ends = stored(pairs.select(F.col("a").alias("set")).union(pairs.select(F.col("b").alias("set"))).distinct(), "ends")
+    prefixes = orders(sets.hint("merge").join(ends, "set"), percent)
+    prefixes = prefixes.hint("merge").join(first.hint("merge").join(ends, "set").groupBy("set").agg(F.collect_list("token").alias("first")), "set")
+    prefixes = stored(prefixes, "prefixes")
+    side = lambda c: prefixes.select(F.col("set").alias(c), *(F.col(x).alias(f"{x}_{c}") for x in ("first", "second", "third")))
+    joined = pairs.hint("merge").join(side("a"), "a").hint("merge").join(side("b"), "b")
+    return joined.filter(" AND ".join(f"arrays_overlap({x}_a, {x}_b)" for x in ("first", "second", "third"))).select("a", "b")
 
 
 def components(links: DataFrame, name: str) -> DataFrame:
@@ -228,14 +306,15 @@ def join(docs: DataFrame, span: int = SPAN, percent: int = PERCENT) -> DataFrame
 
     Null texts and texts without words have no shingles and are linked with nothing; with fewer words than a shingle the
     words are one. A null doc_id comes after all others and is kept as null. Rows with one doc_id are documents of
-    their own. Other columns are ignored. Shingles count as equal by a 64-bit hash.
+    their own. Other columns are ignored. Shingles count as equal by a 64-bit hash. Of an empty table the result is empty. A text
+    is read whole by one task, which needs about 100 bytes of memory for each of its bytes.
     """
     out = grouped(docs, span, percent)
     return out.select(F.nullif("did", F.lit(NO_ID)).alias("doc_id"), F.col("n").alias("n_shingles"), F.nullif("component", F.lit(NO_ID)).alias("component_id"))
 
 
 def grouped(docs: DataFrame, span: int = SPAN, percent: int = PERCENT) -> DataFrame:
-    """did (doc_id, NO_ID for null), th (the text's hash), n, root and component of each row, see join().
+    """ROW (see spans.keyed()), n, root and component of each row, see join().
 
     Rows are linked if and only if they have one root, also where ids are shared; it is null without words.
     """
@@ -256,46 +335,22 @@ def grouped(docs: DataFrame, span: int = SPAN, percent: int = PERCENT) -> DataFr
     left = own.join(classes, "set").withColumn("unique", F.col("low") - F.col("low_shared")).withColumn("room", size - F.col("unique")).filter("room > 0")
     left = stored(left.select("set", "did", "n", "unique", "room"), "left")
     kept = held.withColumn("low", below).hint("merge").join(left, "set")
-
-    def order(tie: Column) -> DataFrame:
-        rank = F.row_number().over(Window.partitionBy("set").orderBy(F.desc("low"), F.when(F.col("low"), F.col("times")).otherwise(0), tie))
-        return kept.withColumn("rank", rank).filter("NOT low OR rank <= room")
-
-    first = stored(order(F.col("token")).select("token", "set", "n", "did", "unique"), "first")
-    second = stored(order(F.bitwise_not("token")).select("token", "set"), "second")
+    rank = F.row_number().over(Window.partitionBy("set").orderBy(F.desc("low"), F.when(F.col("low"), F.col("times")).otherwise(0), "token"))
+    first = stored(kept.withColumn("rank", rank).filter("NOT low OR rank <= room").select("token", "set", "n", "did", "unique"), "first")
     sets = stored(sets_of(keys, left.select("did"), span), "sets")
 
-    pivots = first.groupBy("token").agg(F.min_by("set", F.struct("unique", "did", "set")).alias("pivot"))
+    # Sizes of linked documents are in one range or in neighbouring ones; each document is in its own and in the next one's group.
+    ranged = F.floor(F.log("n") / float(np.log(max(100 / percent, 1.05) * (1 + 1e-9)))).cast("int")
+    groups = first.withColumn("range", F.explode(F.array(ranged, ranged + 1)))
+    pivots = groups.groupBy("token", "range").agg(F.min_by("set", F.struct("unique", "did", "set")).alias("pivot"), F.count(F.lit(1)).alias("size")).filter("size > 1").drop("size")
     pivots = stored(pivots, "pivots")
-    placed = first.hint("merge").join(pivots, "token").filter(F.col("set") != F.col("pivot"))
+    placed = groups.hint("merge").join(pivots, ["token", "range"]).filter(F.col("set") != F.col("pivot"))
     star = placed.select(F.col("set").alias("a"), F.col("pivot").alias("b")).distinct()
-    found = stored(compared(star, sets, percent), "compared")
+    found = stored(compared(star, sets, percent, True), "compared")
     similar = f"100 * both >= {percent} * (n_a + n_b - both)"
     links = stored(found.filter(similar).select("a", "b"), "links")
-    roots = components(links, "star")
-
-    # What the pivots leave: pairs of a group from different components, of which one at least isn't linked with the pivot.
-    side = found.join(extras(found), ["a", "b"], "left").select(
-        F.col("a").alias("set"),
-        F.col("b").alias("pivot"),
-        "n_b",
-        (F.col("n_b") - F.col("both")).alias("lacks"),
-        (F.col("n_a") - F.col("both")).alias("besides"),
-        F.when(F.col("n_a") - F.col("both") > F.col("n_b"), F.col("n_a") - F.col("both")).otherwise(F.coalesce("e", F.lit(0))).alias("e"),
-    )
-    side = side.withColumn("needs", F.expr(f"100 * lacks + {percent} * besides - {100 - percent} * n_b")).withColumn("gives", F.expr(f"{percent} * (lacks - besides) + {100 + percent} * e"))
-    side = side.join(roots, "set", "left").withColumn("root", F.coalesce("root", "set")).filter("needs > 0 OR gives > 0")
-    for name, prefixes in (("first", first), ("second", second)):
-        side = side.hint("merge").join(prefixes.groupBy("set").agg(F.collect_list("token").alias(name)), "set")
-    side = stored(side.join(left.select("set", "n"), "set"), "sides")
-    other = side.filter("gives > 0").select("pivot", *(F.col(c).alias(f"o_{c}") for c in ("set", "n", "lacks", "besides", "e", "needs", "gives", "root", "first", "second")))
-    may = F.expr(
-        f"root != o_root AND o_gives >= needs AND (o_needs <= 0 OR gives >= o_needs) AND 100 * least(n, o_n) >= {percent} * greatest(n, o_n)"
-        f" AND {100 + percent} * (least(lacks, o_lacks) + least(e, o_e)) >= needs + o_needs + {100 - percent} * n_b"
-        " AND (o_needs <= 0 OR set < o_set) AND arrays_overlap(first, o_first) AND arrays_overlap(second, o_second)"
-    )
-    rest = side.filter("needs > 0").hint("merge").join(other, "pivot").filter(may).select(F.least("set", "o_set").alias("a"), F.greatest("set", "o_set").alias("b")).distinct()
-    more = compared(stored(rest, "rest"), sets, percent).filter(similar).select("a", "b")
+    rest = stored(candidates(found, components(links, "star"), percent), "candidates")
+    more = compared(stored(intersected(rest, first, sets, percent), "rest"), sets, percent, False).filter(similar).select("a", "b")
     roots = components(stored(links.union(more), "all-links"), "all")
 
     by_class = classes.select("set", "did").join(roots, "set", "left").withColumn("root", F.coalesce("root", "set"))
@@ -303,4 +358,4 @@ def grouped(docs: DataFrame, span: int = SPAN, percent: int = PERCENT) -> DataFr
     smallest = stored(by_class.groupBy("root").agg(F.min("did").alias("component")), "smallest")
     by_class = stored(by_class.hint("merge").join(smallest, "root").select("set", "root", "component"), "components")
     out = table.hint("merge").join(by_class, "set", "left")
-    return out.select("did", "th", "n", "root", F.coalesce("component", "did").alias("component"))
+    return out.select(*ROW, "n", "root", F.coalesce("component", "did").alias("component"))
