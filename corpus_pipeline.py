@@ -9,22 +9,17 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemesh.llm import jaccard, kernel, language, mixing, packing, store, substring_dedup
-from tidemesh.llm.spans import NO_ID
+from tidemesh.llm.spans import ROW, row_key
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: A document is rejected if no language scores as much. With four languages a guess has 0.25.
 LEAST_SCORE = 0.3
 
 
-def _did() -> Column:
-    """doc_id as a key for joins: null comes after all others."""
-    return F.coalesce("doc_id", F.lit(NO_ID))
-
-
 def _documents(df: DataFrame) -> DataFrame:
     store.small_batches(df.sparkSession)
     kinds = {"doc_id": "long", "text": "string", "lang": "string", "source": "string", "n_chars": "long"}
@@ -48,12 +43,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     group. Rows without words are duplicates of nothing and stay.
     """
     docs = _documents(docs)
-    rows = store.stored(jaccard.grouped(docs).filter("did = component").select("did", "th", "root"), "near-firsts")
-    one = rows.filter("root IS NOT NULL").groupBy("root").agg(F.min("did").alias("did"), F.min("th").alias("th")).select("did", "th", F.lit(False).alias("alone"))
-    alone = rows.filter("root IS NULL").select("did", "th", F.lit(True).alias("alone")).distinct()
-    held = docs.withColumn("did", _did()).withColumn("th", F.xxhash64("text")).join(one.union(alone), ["did", "th"])
+    rows = store.stored(jaccard.grouped(docs).filter("did = component").select(*ROW, "root"), "near-firsts")
+    one = rows.filter("root IS NOT NULL").groupBy("root").agg(F.min(F.struct(*ROW)).alias("row")).select("row.*", F.lit(False).alias("alone"))
+    alone = rows.filter("root IS NULL").select(*ROW, F.lit(True).alias("alone")).distinct()
+    held = docs.select("*", *row_key()).join(one.union(alone), ROW)
     # Of equal rows one is left, unless they have no words.
-    held = held.withColumn("own", F.when(F.col("alone"), F.monotonically_increasing_id())).groupBy("did", "th", "own")
+    held = held.withColumn("own", F.when(F.col("alone"), F.monotonically_increasing_id())).groupBy(*ROW, "own")
     held = held.agg(F.first("text").alias("text"), F.min(F.struct("doc_id", "lang", "source", "n_chars")).alias("r"))
     return held.select("r.doc_id", "text", "r.lang", "r.source", "r.n_chars")
 
@@ -72,11 +67,10 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Gives each document's words as often as the mix takes them: a text is cut after its last word taken, and what is taken again follows it.
 
     Documents of which nothing is taken go. Rows that share a doc_id, or have none, are documents of their own, each cut by what is
-    taken of it; among rows equal in doc_id, source and text it doesn't matter which is which.
+    taken of it: rows are numbered, and the numbers kept, before they are mixed.
     """
-    docs = _documents(docs)
-    taken = mixing.mix(docs)[0].select(_did().alias("did"), "th", "taken")
-    taken = taken.withColumn("copy", F.row_number().over(Window.partitionBy("did", "th").orderBy(F.desc("taken")))).filter("taken > 0")
+    docs = store.stored(_documents(docs).withColumn("number", F.monotonically_increasing_id()), "numbered")
+    taken = mixing.mix(docs, keep=("number",))[0].filter("taken > 0").select("number", "taken")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -93,9 +87,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
                     out.append(b"\n".join(parts).decode())
                 yield pa.RecordBatch.from_arrays([*(rows.column(batch.schema.get_field_index(c)) for c in ("doc_id", "lang", "source")), pa.array(out, type=pa.string())], names=["doc_id", "lang", "source", "text"])
 
-    docs = docs.withColumn("did", _did()).withColumn("th", F.xxhash64("text", "source"))
-    docs = docs.withColumn("copy", F.row_number().over(Window.partitionBy("did", "th").orderBy("lang", "n_chars")))
-    joined = docs.join(taken, ["did", "th", "copy"]).select("doc_id", "lang", "source", "text", "taken")
+    joined = docs.join(taken, "number").select("doc_id", "lang", "source", "text", "taken")
     return joined.mapInArrow(run, "doc_id long, lang string, source string, text string").withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
@@ -116,7 +108,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packed mix of the documents. Each stage's tables are deleted once its result is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = store.stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        with store.scratch(spark) as tables:
+            docs = tables.keep(stage(spark, docs, sf_dir), name.replace(" ", "-"))
     return STAGES[-1][1](spark, docs, sf_dir)
