@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from tidemesh.llm import kernel as K
 from tidemesh.llm.spans import NO_ID, ROW, keyed
-from tidemesh.llm.store import stored
+from tidemesh.llm.store import scratch, stored
 
 SPAN = 5
 #: Similarity in hundredths.
@@ -206,7 +206,7 @@ def candidates(found: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
     )
     side = side.withColumn("needs", F.expr(f"100 * lacks + {percent} * besides - {rest} * n_b")).withColumn("thin", F.expr("besides < lacks"))
     # Documents that are apart from the pivot look for partners; of two partners in different components at least one is.
-    side = side.withColumn("seeks", F.expr("needs > 0 AND apart")).drop("apart")
+    side = stored(side.withColumn("seeks", F.expr("needs > 0 AND apart")).drop("apart"), "sides")
     pivots = stored(side.filter("seeks").select("pivot").distinct(), "open-pivots")
     side = side.hint("merge").join(pivots, "pivot")
     kept = ("set", "pivot", "n", "n_b", "lacks", "needs", "root", "thin", "seeks")
@@ -281,24 +281,25 @@ def components(links: DataFrame, name: str) -> DataFrame:
     Each round takes the least root among a set's own and its neighbours', then that root's root; a component of
     diameter d is done in about log d rounds.
     """
-    both = links.select("a", "b").union(links.select("b", "a")).distinct()
-    both = stored(both, f"{name}-links")
-    roots = both.groupBy(F.col("a").alias("set")).agg(F.min("b").alias("near")).select("set", F.least("set", "near").alias("root"))
-    roots = stored(roots, f"{name}-roots")
-    while True:
-        own = roots.select(F.col("set").alias("b"), "root")
-        near = both.hint("merge").join(own, "b").groupBy(F.col("a").alias("set")).agg(F.min("root").alias("near"))
-        hooked = roots.withColumnRenamed("root", "old").join(near, "set").withColumn("root", F.least("old", "near"))
-        # A root that saw a smaller one takes it along for all that point to it. Lookups are from stored tables, so that Spark can split a root that very many point to.
-        hooked = stored(hooked.select("set", "old", "root"), f"{name}-hooked")
-        moved = stored(hooked.filter("root < old").groupBy("old").agg(F.min("root").alias("via")), f"{name}-moved")
-        new = stored(hooked.hint("merge").join(moved, "old", "left").select("set", "old", F.least("root", "via").alias("root")), f"{name}-via")
-        jump = new.select(F.col("set").alias("root"), F.col("root").alias("further"))
-        new = stored(new.hint("merge").join(jump, "root", "left").select("set", "old", F.coalesce("further", "root").alias("root")), f"{name}-roots")
-        done = new.filter("root < old").isEmpty()
-        roots = new.select("set", "root")
-        if done:
-            return roots
+    with scratch(links.sparkSession) as tables:
+        both = links.select("a", "b").union(links.select("b", "a")).distinct()
+        both = stored(both, f"{name}-links")
+        roots = both.groupBy(F.col("a").alias("set")).agg(F.min("b").alias("near")).select("set", F.least("set", "near").alias("root"))
+        roots = stored(roots, f"{name}-roots")
+        while True:
+            with scratch(links.sparkSession) as round_:
+                own = roots.select(F.col("set").alias("b"), "root")
+                near = both.hint("merge").join(own, "b").groupBy(F.col("a").alias("set")).agg(F.min("root").alias("near"))
+                hooked = roots.withColumnRenamed("root", "old").join(near, "set").withColumn("root", F.least("old", "near"))
+                # A root that saw a smaller one takes it along for all that point to it. Lookups are from stored tables, so that Spark can split a root that very many point to.
+                hooked = stored(hooked.select("set", "old", "root"), f"{name}-hooked")
+                moved = stored(hooked.filter("root < old").groupBy("old").agg(F.min("root").alias("via")), f"{name}-moved")
+                new = stored(hooked.hint("merge").join(moved, "old", "left").select("set", "old", F.least("root", "via").alias("root")), f"{name}-via")
+                jump = new.select(F.col("set").alias("root"), F.col("root").alias("further"))
+                new = round_.keep(new.hint("merge").join(jump, "root", "left").select("set", "old", F.coalesce("further", "root").alias("root")), f"{name}-roots")
+            roots = new.select("set", "root")
+            if new.filter("root < old").isEmpty():
+                return tables.keep(roots, f"{name}-components")
 
 
 def join(docs: DataFrame, span: int = SPAN, percent: int = PERCENT) -> DataFrame:
@@ -318,44 +319,45 @@ def grouped(docs: DataFrame, span: int = SPAN, percent: int = PERCENT) -> DataFr
 
     Rows are linked if and only if they have one root, also where ids are shared; it is null without words.
     """
-    keys = keyed(docs)
-    table = stored(members(keys, span), "members")
-    classes = table.filter("set IS NOT NULL").groupBy("set").agg(F.min("did").alias("did"), F.max("n").alias("n"), F.max("low").alias("low"))
-    rows = uses(keys, span, percent)
-    shared = rows.groupBy("token").agg(F.min("set").alias("least"), F.max("set").alias("most"), F.count(F.lit(1)).alias("times")).filter("least < most").select("token", "times")
-    # Stored, so that both sides of the join are plain shuffles, which Spark splits where a token is very frequent; likewise below.
-    shared = stored(shared, "tokens")
-    held = stored(rows.hint("merge").join(shared, "token").select("token", "set", "times").distinct(), "shared")
-
-    bound = int(COUNTED * 2**64)
-    # As signed longs, tokens below the bound are those of an unsigned value below it.
-    below = F.expr(f"token >= 0 AND token < {bound}L")
-    own = held.groupBy("set").agg(F.count_if(below).alias("low_shared"))
-    size = F.expr(f"n - (n * {percent} + 99) div 100 + 1")
-    left = own.join(classes, "set").withColumn("unique", F.col("low") - F.col("low_shared")).withColumn("room", size - F.col("unique")).filter("room > 0")
-    left = stored(left.select("set", "did", "n", "unique", "room"), "left")
-    kept = held.withColumn("low", below).hint("merge").join(left, "set")
-    rank = F.row_number().over(Window.partitionBy("set").orderBy(F.desc("low"), F.when(F.col("low"), F.col("times")).otherwise(0), "token"))
-    first = stored(kept.withColumn("rank", rank).filter("NOT low OR rank <= room").select("token", "set", "n", "did", "unique"), "first")
-    sets = stored(sets_of(keys, left.select("did"), span), "sets")
-
-    # Sizes of linked documents are in one range or in neighbouring ones; each document is in its own and in the next one's group.
-    ranged = F.floor(F.log("n") / float(np.log(max(100 / percent, 1.05) * (1 + 1e-9)))).cast("int")
-    groups = first.withColumn("range", F.explode(F.array(ranged, ranged + 1)))
-    pivots = groups.groupBy("token", "range").agg(F.min_by("set", F.struct("unique", "did", "set")).alias("pivot"), F.count(F.lit(1)).alias("size")).filter("size > 1").drop("size")
-    pivots = stored(pivots, "pivots")
-    placed = groups.hint("merge").join(pivots, ["token", "range"]).filter(F.col("set") != F.col("pivot"))
-    star = placed.select(F.col("set").alias("a"), F.col("pivot").alias("b")).distinct()
-    found = stored(compared(star, sets, percent, True), "compared")
-    similar = f"100 * both >= {percent} * (n_a + n_b - both)"
-    links = stored(found.filter(similar).select("a", "b"), "links")
-    rest = stored(candidates(found, components(links, "star"), percent), "candidates")
-    more = compared(stored(intersected(rest, first, sets, percent), "rest"), sets, percent, False).filter(similar).select("a", "b")
-    roots = components(stored(links.union(more), "all-links"), "all")
-
-    by_class = classes.select("set", "did").join(roots, "set", "left").withColumn("root", F.coalesce("root", "set"))
-    by_class = stored(by_class, "classes")
-    smallest = stored(by_class.groupBy("root").agg(F.min("did").alias("component")), "smallest")
-    by_class = stored(by_class.hint("merge").join(smallest, "root").select("set", "root", "component"), "components")
+    with scratch(docs.sparkSession) as tables:
+        keys = keyed(docs)
+        table = tables.keep(members(keys, span), "members")
+        classes = table.filter("set IS NOT NULL").groupBy("set").agg(F.min("did").alias("did"), F.max("n").alias("n"), F.max("low").alias("low"))
+        rows = uses(keys, span, percent)
+        shared = rows.groupBy("token").agg(F.min("set").alias("least"), F.max("set").alias("most"), F.count(F.lit(1)).alias("times")).filter("least < most").select("token", "times")
+        # Stored, so that both sides of the join are plain shuffles, which Spark splits where a token is very frequent; likewise below.
+        shared = stored(shared, "tokens")
+        held = stored(rows.hint("merge").join(shared, "token").select("token", "set", "times").distinct(), "shared")
+
+        bound = int(COUNTED * 2**64)
+        # As signed longs, tokens below the bound are those of an unsigned value below it.
+        below = F.expr(f"token >= 0 AND token < {bound}L")
+        own = held.groupBy("set").agg(F.count_if(below).alias("low_shared"))
+        size = F.expr(f"n - (n * {percent} + 99) div 100 + 1")
+        left = own.join(classes, "set").withColumn("unique", F.col("low") - F.col("low_shared")).withColumn("room", size - F.col("unique")).filter("room > 0")
+        left = stored(left.select("set", "did", "n", "unique", "room"), "left")
+        kept = held.withColumn("low", below).hint("merge").join(left, "set")
+        rank = F.row_number().over(Window.partitionBy("set").orderBy(F.desc("low"), F.when(F.col("low"), F.col("times")).otherwise(0), "token"))
+        first = stored(kept.withColumn("rank", rank).filter("NOT low OR rank <= room").select("token", "set", "n", "did", "unique"), "first")
+        sets = stored(sets_of(keys, left.select("did"), span), "sets")
+
+        # Sizes of linked documents are in one range or in neighbouring ones; each document is in its own and in the next one's group.
+        ranged = F.floor(F.log("n") / float(np.log(max(100 / percent, 1.05) * (1 + 1e-9)))).cast("int")
+        groups = first.withColumn("range", F.explode(F.array(ranged, ranged + 1)))
+        pivots = groups.groupBy("token", "range").agg(F.min_by("set", F.struct("unique", "did", "set")).alias("pivot"), F.count(F.lit(1)).alias("size")).filter("size > 1").drop("size")
+        pivots = stored(pivots, "pivots")
+        placed = groups.hint("merge").join(pivots, ["token", "range"]).filter(F.col("set") != F.col("pivot"))
+        star = placed.select(F.col("set").alias("a"), F.col("pivot").alias("b")).distinct()
+        found = stored(compared(star, sets, percent, True), "compared")
+        similar = f"100 * both >= {percent} * (n_a + n_b - both)"
+        links = stored(found.filter(similar).select("a", "b"), "links")
+        rest = stored(candidates(found, components(links, "star"), percent), "candidates")
+        more = compared(stored(intersected(rest, first, sets, percent), "rest"), sets, percent, False).filter(similar).select("a", "b")
+        roots = components(stored(links.union(more), "all-links"), "all")
+
+        by_class = classes.select("set", "did").join(roots, "set", "left").withColumn("root", F.coalesce("root", "set"))
+        by_class = stored(by_class, "classes")
+        smallest = stored(by_class.groupBy("root").agg(F.min("did").alias("component")), "smallest")
+        by_class = tables.keep(by_class.hint("merge").join(smallest, "root").select("set", "root", "component"), "components")
     out = table.hint("merge").join(by_class, "set", "left")
     return out.select(*ROW, "n", "root", F.coalesce("component", "did").alias("component"))

@@ -12,7 +12,7 @@ to a word. So a source's slots differ from the common length by what rounding it
 short. A source without any slot, but with a target, gets one of its own; these are spread over the schedule.
 
 Nothing here needs a whole source in one task: slots are ranked in chunks, and documents are placed
-in their source's stream by hash buckets, whose totals are summed first.
+in their source's stream by hash buckets, whose totals are summed first, in chunks as well (ranks.before()).
 """
 
 from __future__ import annotations
@@ -24,9 +24,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemesh.llm import kernel as K
-from tidemesh.llm.store import stored
+from tidemesh.llm.ranks import before
+from tidemesh.llm.store import nullable, stored
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -39,16 +41,19 @@ CHUNK_SLOTS = 4096
 MOST_SOURCES = 100_000
 
 
-def sizes(docs: DataFrame) -> DataFrame:
-    """doc_id, source, th (a hash of text and source) and size (words ``[^\\x20\\x09-\\x0D]+``) of each document."""
+def sizes(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, source, th (a hash of text and source), the columns ``keep`` and size (words ``[^\\x20\\x09-\\x0D]+``) of each document."""
+    names = ["doc_id", "source", "th", *(f"_{c}" for c in keep)]
+    text, source = F.col("text").cast("string"), F.col("source").cast("string")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), source.alias("source"), F.xxhash64(text, source).alias("th"), *(F.col(c).alias(f"_{c}") for c in keep), text.alias("text"))
+    schema = T.StructType([*nullable(rows.schema).fields[:-1], T.StructField("size", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows, text in K.blocks(batch):
-                yield pa.RecordBatch.from_arrays([*(rows.column(i) for i in range(3)), pa.array(K.Words(text).counts.astype(np.int64))], names=["doc_id", "source", "th", "size"])
+            for part, text in K.blocks(batch):
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(K.Words(text).counts.astype(np.int64))], names=[*names, "size"])
 
-    text, source = F.col("text").cast("string"), F.col("source").cast("string")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), source.alias("source"), F.xxhash64(text, source).alias("th"), text.alias("text")).mapInArrow(run, "doc_id long, source string, th long, size long")
+    return rows.mapInArrow(run, schema)
 
 
 def targets(totals: list[tuple[str | None, int]], weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, repeats: int = REPEATS) -> list[tuple[str | None, int, float]]:
@@ -112,9 +117,9 @@ def schedule(spark, goals: list[float], slots: int) -> tuple[DataFrame, list[int
             yield pa.RecordBatch.from_arrays([pa.array(number), pa.array(sid), pa.array(slot // CHUNK_SLOTS)], names=["slot", "sid", "chunk"])
 
     plan = spark.range(0, slots, 1, max(1, slots // (16 * CHUNK_SLOTS))).mapInArrow(run, "slot long, sid long, chunk long")
-    before = plan.groupBy("sid", "chunk").count().withColumn("before", F.sum("count").over(Window.partitionBy("sid").orderBy("chunk")) - F.col("count")).drop("count")
+    earlier = plan.groupBy("sid", "chunk").count().withColumn("before", F.sum("count").over(Window.partitionBy("sid").orderBy("chunk")) - F.col("count")).drop("count")
     within = F.row_number().over(Window.partitionBy("chunk", "sid").orderBy("slot")) - 1
-    plan = plan.withColumn("within", within).join(before, ["sid", "chunk"]).select("slot", "sid", (F.col("before") + F.col("within")).alias("block"))
+    plan = plan.withColumn("within", within).join(earlier, ["sid", "chunk"]).select("slot", "sid", (F.col("before") + F.col("within")).alias("block"))
     if len(without):
         added = zip((ahead + np.arange(len(without))).tolist(), without.tolist(), strict=True)
         plan = plan.union(spark.createDataFrame([(n, s, 0) for n, s in added], "slot long, sid long, block long"))
@@ -122,17 +127,17 @@ def schedule(spark, goals: list[float], slots: int) -> tuple[DataFrame, list[int
     return plan, held.tolist()
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, repeats: int = REPEATS, slots: int = SLOTS, seed: int = 1) -> tuple[DataFrame, DataFrame]:
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, repeats: int = REPEATS, slots: int = SLOTS, seed: int = 1, keep: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
     """(documents, pieces) of the mix.
 
-    documents: doc_id, source, th, size, source_size, target, taken of every row of ``docs``; taken counts repeats; a source's
-    sum of it is its target to a word.
+    documents: doc_id, source, th, size, source_size, target, taken of every row of ``docs`` and its columns ``keep``; taken counts
+    repeats; a source's sum of it is its target to a word.
     pieces: slot, place, doc_id, row, start, length: the words [start, start + length) of a document that the slot holds, in order of place.
     Null and empty texts have size 0 and are never taken. Null is a source of its own. Rows with the same doc_id are
-    documents of their own; th, a hash of text and source, tells them apart, and where that is equal, only ``row``. Other columns are ignored. Of an empty table both results are empty. Equal inputs give equal mixes.
+    documents of their own; th, a hash of text and source, tells them apart, and where that is equal, only ``row``. A null doc_id is kept. Other columns are ignored, whatever their names. Of an empty table both results are empty. Equal inputs give equal mixes.
     """
     spark = docs.sparkSession
-    table = stored(sizes(docs), "sizes")
+    table = stored(sizes(docs, keep), "sizes")
     totals = table.groupBy("source").agg(F.sum("size").alias("n"), F.count(F.lit(1)).alias("rows")).limit(MOST_SOURCES + 1).collect()
     if len(totals) > MOST_SOURCES:
         raise ValueError(f"over {MOST_SOURCES} sources")
@@ -147,11 +152,10 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
         "sid long, source string, source_size long, target double, n_buckets long, quota long, least long, longer long",
     )
     placed = table.join(F.broadcast(sources), table["source"].eqNullSafe(sources["source"])).drop(sources["source"])
-    key = F.xxhash64("doc_id", "size", F.lit(seed))
+    key = F.xxhash64("doc_id", "size", "th", F.lit(seed))
     placed = placed.withColumn("key", key).withColumn("bucket", F.pmod(F.shiftrightunsigned("key", 20), F.col("n_buckets")))
     in_bucket = placed.groupBy("sid", "bucket").agg(F.sum("size").alias("bucket_size"), F.count(F.lit(1)).alias("bucket_rows"))
-    up_to = Window.partitionBy("sid").orderBy("bucket")
-    in_bucket = in_bucket.select("sid", "bucket", (F.sum("bucket_size").over(up_to) - F.col("bucket_size")).alias("base"), (F.sum("bucket_rows").over(up_to) - F.col("bucket_rows")).alias("base_row"))
+    in_bucket = before(in_bucket, "sid", "bucket", {"bucket_size": "base", "bucket_rows": "base_row"})
     order = Window.partitionBy("sid", "bucket").orderBy("key", "doc_id", "th")
     placed = (
         placed.withColumn("inner", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
@@ -160,9 +164,10 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
         .withColumn("at", F.col("base") + F.col("inner"))
         .withColumn("row", F.col("base_row") + F.col("inner_row"))
     )
+    kept = [F.col(f"_{c}").alias(c) for c in keep]
     if plan is None:
         empty = spark.createDataFrame([], "slot long, place long, doc_id long, row long, sid long, start long, length long")
-        return placed.select("doc_id", "source", "th", "size", "source_size", "target", F.lit(0).cast("long").alias("taken")), empty
+        return placed.select("doc_id", "source", "th", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"), *kept), empty
     # Each pass of a document through the stream, up to the quota, cut at the blocks' bounds: a source's first ``longer`` blocks have a word more than ``least``.
     spans = placed.filter("size > 0").withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1)))).withColumn("from", F.col("at") + F.col("pass") * F.col("source_size"))
     spans = spans.filter("from < quota").withColumn("to", F.least(F.col("from") + F.col("size"), F.col("quota")))
@@ -174,5 +179,5 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     cut = cut.select("sid", "block", "doc_id", "row", (low - begin).alias("place"), (low - F.col("from")).alias("start"), (high - low).alias("length"))
     pieces = cut.join(plan, ["sid", "block"]).select("slot", "place", "doc_id", "row", "sid", "start", "length")
     taken = pieces.groupBy("sid", "row").agg(F.sum("length").alias("taken"))
-    result = placed.join(taken, ["sid", "row"], "left").select("doc_id", "source", "th", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    result = placed.join(taken, ["sid", "row"], "left").select("doc_id", "source", "th", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), *kept)
     return result, pieces

@@ -5,7 +5,7 @@ pieces' lengths, so the packing is found on the histogram of lengths (``capacity
 driver, as patterns with a multiplicity. Dominance first fixes the sets that some optimal packing holds: a
 longest piece whose best partner fills the sequence, or which takes no two further pieces. That repeats on
 the smaller instance; what no rule fixes is packed by best-fit decreasing. The pieces then find their
-place through their rank among those of equal length, counted in hash buckets, so that no length has to meet in one task.
+place through their rank among those of equal length, counted in hash buckets and chunks of these, so that no length has to meet in one task.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemesh.llm import kernel as K
+from tidemesh.llm.ranks import before
 from tidemesh.llm.store import stored
 
 CAPACITY = 2048
@@ -227,10 +228,12 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None) ->
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of each piece of each document.
 
     A document's ids are its text's and the end id, so null and empty texts make a piece of one. Rows with the same
-    doc_id are documents of their own; other columns are ignored; of an empty table the result is empty.
+    doc_id are documents of their own, a null doc_id is kept; other columns are ignored, whatever their names; of an empty table
+    the result is empty. A text is encoded whole by one task, which needs about 100 bytes of memory for each of its bytes.
     """
     spark = docs.sparkSession
-    pieces = stored(cut(docs, capacity, path), "pieces")
+    # Numbers that tell equal pieces apart, so that they can be dealt out like any others.
+    pieces = stored(cut(docs, capacity, path).withColumn("number", F.monotonically_increasing_id()), "pieces")
     counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
     # Slots: in a pattern of n sequences numbered from ``first``, ranks [low, low + n) of a length lie at ``offset``.
     used: dict[int, int] = {}
@@ -245,11 +248,11 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None) ->
         first += n
     assert used == counts, "the patterns don't hold each piece once"
     buckets = spark.createDataFrame([(k, max(1, v // BUCKET_ROWS)) for k, v in counts.items()], "length long, n_buckets long")
-    key = F.xxhash64("doc_id", "piece", "ids_crc32")
+    key = F.xxhash64("number")
     placed = pieces.join(F.broadcast(buckets), "length").withColumn("key", key).withColumn("bucket", F.pmod(F.shiftrightunsigned("key", 20), F.col("n_buckets")))
-    below = placed.groupBy("length", "bucket").count().withColumn("below", F.sum("count").over(Window.partitionBy("length").orderBy("bucket")) - F.col("count")).drop("count")
-    within = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("key", "doc_id", "piece")) - 1
-    ranked = placed.withColumn("within", within).join(below, ["length", "bucket"]).withColumn("rank", F.col("below") + F.col("within")).drop("key", "bucket", "n_buckets", "below", "within")
+    below = before(placed.groupBy("length", "bucket").count(), "length", "bucket", {"count": "below"})
+    within = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("number")) - 1
+    ranked = placed.withColumn("within", within).join(below, ["length", "bucket"]).withColumn("rank", F.col("below") + F.col("within")).drop("key", "bucket", "n_buckets", "below", "within", "number")
     return _seated(ranked, slots)
 
 

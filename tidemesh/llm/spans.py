@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemesh.llm import kernel as K
-from tidemesh.llm.store import stored
+from tidemesh.llm.store import scratch, stored
 
 #: Stands for a null doc_id, after all others.
 NO_ID = (1 << 63) - 1
@@ -58,11 +58,15 @@ class Units:
             self.codes, self.first = self.words.hashes(), self.words.first
 
 
-def keyed(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """ROW, text and the columns ``keep`` of each row: rows with equal keys are told apart by nothing, and need not be."""
+def row_key() -> list[Column]:
+    """ROW of documents: rows with equal keys are told apart by nothing, and need not be. Null and empty texts are alike."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    key = (F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("did"), F.xxhash64(text).alias("th"), F.shiftrightunsigned(F.xxhash64(F.lit(1), text), 41).alias("tag"))
-    return docs.select(*key, text.alias("text"), *(c for c in keep if c != "text"))
+    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("did"), F.xxhash64(text).alias("th"), F.shiftrightunsigned(F.xxhash64(F.lit(1), text), 41).alias("tag")]
+
+
+def keyed(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """ROW, text and the columns ``keep`` of each row."""
+    return docs.select(*row_key(), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *(c for c in keep if c != "text"))
 
 
 def anchor_places(codes: np.ndarray, length: int, k: int, modulus: int | None) -> tuple[np.ndarray, np.ndarray]:
@@ -229,29 +233,30 @@ def spans(docs: DataFrame, kind: str, length: int, k: int, modulus: int | None,
     earlier: a window counts as repeated if a document with a smaller id holds it; else if it starts anywhere else.
     ``judge`` tells that of the windows of phrases that share an anchor.
     """
-    tag, start, several_places, n = in_loc()
-    places = 1 + several_places
-    all_ = phrases(docs, kind, length, k, modulus)
-    anchors = all_.groupBy("anchor").agg(F.min("did").alias("least"), F.max("did").alias("most"), F.sum(places).alias("places")).filter("least < most" if earlier else "places > 1").select("anchor")
-    # Stored, so that both sides of the join are plain shuffles, which Spark splits where an anchor is very frequent; likewise below.
-    anchors = stored(anchors, f"{name}-anchors")
-    found = stored(all_.hint("merge").join(anchors, "anchor"), f"{name}-phrases")
-    # Of rows with the least id, both min_by take the same one.
-    dictionary = found.groupBy("anchor", "phrase").agg(F.min("did").alias("least"), F.min_by("th", "did").alias("th"), F.min_by("loc", "did").alias("loc"), F.count(F.lit(1)).alias("times"))
-    dictionary = stored(dictionary, f"{name}-dictionary")
-    several = stored(dictionary.groupBy("anchor").agg(F.sum(places).alias("size")).filter("size > 1"), f"{name}-several")
-    compared = dictionary.hint("merge").join(several, "anchor").select("anchor", "phrase", "size", F.col("least").alias("did"), "th", tag.alias("tag"), start.alias("start"), n.alias("n"))
-    cut = stored(cuttings(docs, stored(compared, f"{name}-compared"), kind, length), f"{name}-cuttings")
-    ats = side_by_side(cut.filter(F.col("size") <= GROUP), judge)
-    if (cut.agg(F.max("size")).first()[0] or 0) > GROUP:
-        ats = ats.union(by_shuffle(cut.filter(F.col("size") > GROUP), kind, length, earlier))
-    judged = dictionary.join(ats, ["anchor", "phrase"], "left").filter(F.col("ats").isNotNull() | (F.col("times") > 1)).select("anchor", "phrase", "least", "times", "ats")
-    judged = stored(judged, f"{name}-judged")
-    hits = found.hint("merge").join(judged, ["anchor", "phrase"])
-    hits = hits.withColumn("whole", F.expr("did > least" if earlier else "times > 1")).filter(F.col("whole") | F.col("ats").isNotNull())
-    span = F.struct(start.alias("start"), n.alias("n"), F.when(~F.col("whole"), F.col("ats")).alias("ats"))
-    # A set, as rows with one key have the same spans.
-    return stored(hits.groupBy("did", "th", tag.alias("tag")).agg(F.collect_set(span).alias("spans")), f"{name}-spans")
+    with scratch(docs.sparkSession) as tables:
+        tag, start, several_places, n = in_loc()
+        places = 1 + several_places
+        all_ = phrases(docs, kind, length, k, modulus)
+        anchors = all_.groupBy("anchor").agg(F.min("did").alias("least"), F.max("did").alias("most"), F.sum(places).alias("places")).filter("least < most" if earlier else "places > 1").select("anchor")
+        # Stored, so that both sides of the join are plain shuffles, which Spark splits where an anchor is very frequent; likewise below.
+        anchors = stored(anchors, f"{name}-anchors")
+        found = stored(all_.hint("merge").join(anchors, "anchor"), f"{name}-phrases")
+        # Of rows with the least id, both min_by take the same one.
+        dictionary = found.groupBy("anchor", "phrase").agg(F.min("did").alias("least"), F.min_by("th", "did").alias("th"), F.min_by("loc", "did").alias("loc"), F.count(F.lit(1)).alias("times"))
+        dictionary = stored(dictionary, f"{name}-dictionary")
+        several = stored(dictionary.groupBy("anchor").agg(F.sum(places).alias("size")).filter("size > 1"), f"{name}-several")
+        compared = dictionary.hint("merge").join(several, "anchor").select("anchor", "phrase", "size", F.col("least").alias("did"), "th", tag.alias("tag"), start.alias("start"), n.alias("n"))
+        cut = stored(cuttings(docs, stored(compared, f"{name}-compared"), kind, length), f"{name}-cuttings")
+        ats = side_by_side(cut.filter(F.col("size") <= GROUP), judge)
+        if (cut.agg(F.max("size")).first()[0] or 0) > GROUP:
+            ats = ats.union(by_shuffle(cut.filter(F.col("size") > GROUP), kind, length, earlier))
+        judged = dictionary.join(ats, ["anchor", "phrase"], "left").filter(F.col("ats").isNotNull() | (F.col("times") > 1)).select("anchor", "phrase", "least", "times", "ats")
+        judged = stored(judged, f"{name}-judged")
+        hits = found.hint("merge").join(judged, ["anchor", "phrase"])
+        hits = hits.withColumn("whole", F.expr("did > least" if earlier else "times > 1")).filter(F.col("whole") | F.col("ats").isNotNull())
+        span = F.struct(start.alias("start"), n.alias("n"), F.when(~F.col("whole"), F.col("ats")).alias("ats"))
+        # A set, as rows with one key have the same spans.
+        return tables.keep(hits.groupBy("did", "th", tag.alias("tag")).agg(F.collect_set(span).alias("spans")), f"{name}-spans")
 
 
 def with_spans(docs: DataFrame, found: DataFrame) -> DataFrame:
