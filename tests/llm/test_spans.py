@@ -136,16 +136,46 @@ def test_corpus_order_is_that_of_the_suffixes():
     length, k = 30, 6
     tail = bytes(r.choice(b"abc\x00") for _ in range(60))
     cuts = [bytes(r.choice(b"ab\x00") for _ in range(r.randint(3, 20))) + tail[: r.randint(30, 60)] for _ in range(60)] + [b"ab" * 40]
-    import numpy as np
     import pyarrow as pa
 
-    row, at, before, after = suffix_dedup.corpus_order(np.zeros(len(cuts), dtype=np.int64), pa.array(cuts, type=pa.binary()), length, k, 4)
+    row, at, before, after = suffix_dedup.corpus_order(pa.array(cuts, type=pa.binary()), length, k, 4)
     windows = [cuts[i][j : j + length] for i, j in zip(row.tolist(), at.tolist(), strict=True)]
-    times = Counter(windows)
-    assert sorted(windows) == sorted(c[j : j + length] for c in cuts for j in range(len(c) - length + 1))
-    assert [max(x, y) >= length for x, y in zip(before.tolist(), after.tolist(), strict=True)] == [times[w] > 1 for w in windows]
+    times = Counter(c[j : j + length] for c in cuts for j in range(len(c) - length + 1))
+    assert sorted(windows) == sorted(w for w, n in times.items() if n > 1 for _ in range(n))
+    assert all(max(x, y) >= length for x, y in zip(before.tolist(), after.tolist(), strict=True))
     # Equal windows are neighbours.
-    assert len(times) == 1 + sum(x != y for x, y in zip(windows, windows[1:], strict=False))
+    assert len(set(windows)) == 1 + sum(x != y for x, y in zip(windows, windows[1:], strict=False))
+
+
+def test_orders_are_those_of_the_bytes():
+    import numpy as np
+
+    r = random.Random(8)
+    words = [bytes(r.choice(b"ab\x00") for _ in range(r.randint(1, 40))) for _ in range(50)]
+    data = np.frombuffer(b"".join(words), dtype=np.uint8)
+    size = np.array([len(w) for w in words])
+    first = np.cumsum(size) - size
+    rank = suffix_dedup.dictionary_order(data, np.repeat(first + size, size))
+    suffixes = [w[i:] for w in words for i in range(len(w))]
+    assert [sorted(set(suffixes)).index(x) for x in suffixes] == [sorted(set(rank.tolist())).index(x) for x in rank.tolist()]
+    rank, common = suffix_dedup.parse_order(data, first, size, 40)
+    in_order = [words[i] for i in np.argsort(rank)]
+    assert in_order == sorted(words)
+    assert common[1:].tolist() == [next((i for i, (a, b) in enumerate(zip(x, y, strict=False)) if a != b), min(len(x), len(y))) for x, y in zip(in_order, in_order[1:], strict=False)]
+
+
+@pytest.mark.parametrize("modulus", [4, 30])
+def test_anchors_are_the_first_trigger_or_the_least_hash(modulus):
+    import numpy as np
+    from tidemesh.llm import kernel as K
+
+    rolling = K.Rolling(K.byte_codes(np.random.default_rng(3).integers(97, 100, 4000).astype(np.uint8)), 0)
+    grams, place = spans.anchor_places(rolling, 40, 6, modulus)
+    assert len(place) == 4000 - 40 + 1
+    for x in range(len(place)):
+        inside = grams[x : x + 35]
+        hit = np.flatnonzero(inside >> np.uint64(32) < np.uint64((1 << 32) // modulus))
+        assert place[x] == x + (hit[0] if len(hit) else K.last_minimum(inside, 35)[0])
 
 
 def test_factors_grow_to_where_texts_part():

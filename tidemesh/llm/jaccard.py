@@ -63,7 +63,7 @@ def shingles(text: pa.Array, span: int = SPAN) -> tuple[np.ndarray, np.ndarray]:
     short = np.flatnonzero((w.counts > 0) & (w.counts < span))
     h = np.concatenate([grams[whole], rolling.ranges(w.first[short], w.first[short + 1])])
     owner = np.concatenate([of[whole], short])
-    order = np.lexsort((h, owner))
+    order = K.grouped_order(h, owner, n)
     h, owner = h[order], owner[order]
     first = np.ones(len(h), dtype=bool)
     first[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
@@ -87,33 +87,25 @@ def counted(tokens: np.ndarray, first: np.ndarray) -> np.ndarray:
     return K.sums_by(first, tokens < np.uint64(int(COUNTED * 2**64)))
 
 
-def members(docs: DataFrame, span: int) -> DataFrame:
-    """ROW, n, low (counted tokens), set (its class; null without words) of each document."""
+def members(docs: DataFrame, span: int, percent: int) -> DataFrame:
+    """ROW, n, low (counted tokens), set (its class; null without words) and ordered of each document.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for rows, text in K.blocks(batch):
-                tokens, first = shingles(text, span)
-                n = np.diff(first)
-                yield pa.RecordBatch.from_arrays([*(rows.column(i) for i in range(3)), pa.array(n), pa.array(counted(tokens, first)), pa.array(K.signed(class_keys(tokens, first)), mask=n == 0)], names=[*ROW, "n", "low", "set"])
-
-    return docs.mapInArrow(run, "did long, th long, tag long, n long, low long, set long")
-
-
-def uses(docs: DataFrame, span: int, percent: int) -> DataFrame:
-    """token, set of the counted tokens of each document; where they don't fill its prefix, of the next ones by hash as well."""
+    ordered: the counted tokens; where they don't fill the prefix, the next ones by hash as well.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, text in K.blocks(batch):
+            for rows, text in K.blocks(batch):
                 tokens, first = shingles(text, span)
                 n = np.diff(first)
-                most = np.where(n > 0, np.maximum(counted(tokens, first), prefix(n, percent)), 0)
-                owner = np.repeat(np.arange(len(n)), most)
-                at = first[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(most) - most, most)
-                yield pa.RecordBatch.from_arrays([pa.array(K.signed(tokens[at])), pa.array(K.signed(class_keys(tokens, first))[owner])], names=["token", "set"])
+                low = counted(tokens, first)
+                most = np.where(n > 0, np.maximum(low, prefix(n, percent)), 0)
+                ends = np.cumsum(most)
+                at = np.repeat(first[:-1] - (ends - most), most) + np.arange(ends[-1] if len(ends) else 0)
+                ordered = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), type=pa.int32()), pa.array(K.signed(tokens[at])))
+                yield pa.RecordBatch.from_arrays([*(rows.column(i) for i in range(3)), pa.array(n), pa.array(low), pa.array(K.signed(class_keys(tokens, first)), mask=n == 0), ordered], names=[*ROW, "n", "low", "set", "ordered"])
 
-    return docs.mapInArrow(run, "token long, set long")
+    return docs.mapInArrow(run, "did long, th long, tag long, n long, low long, set long, ordered array<long>")
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, span: int) -> DataFrame:
@@ -321,9 +313,9 @@ def grouped(docs: DataFrame, span: int = SPAN, percent: int = PERCENT) -> DataFr
     """
     with scratch(docs.sparkSession) as tables:
         keys = keyed(docs)
-        table = tables.keep(members(keys, span), "members")
+        table = tables.keep(members(keys, span, percent), "members")
         classes = table.filter("set IS NOT NULL").groupBy("set").agg(F.min("did").alias("did"), F.max("n").alias("n"), F.max("low").alias("low"))
-        rows = uses(keys, span, percent)
+        rows = table.select(F.explode("ordered").alias("token"), "set")
         shared = rows.groupBy("token").agg(F.min("set").alias("least"), F.max("set").alias("most"), F.count(F.lit(1)).alias("times")).filter("least < most").select("token", "times")
         # Stored, so that both sides of the join are plain shuffles, which Spark splits where a token is very frequent; likewise below.
         shared = stored(shared, "tokens")

@@ -266,6 +266,12 @@ def last_minimum(values: np.ndarray, width: int) -> np.ndarray:
     return np.concatenate(out) if out else np.empty(0, dtype=np.int64)
 
 
+def grouped_order(values: np.ndarray, group: np.ndarray, n: int) -> np.ndarray:
+    """The order by group (below n) and then value."""
+    order = np.argsort(values)
+    return order[np.argsort(group[order].astype(np.uint16 if n <= 1 << 16 else np.int64), kind="stable")]
+
+
 def signed(values: np.ndarray) -> np.ndarray:
     """64-bit hashes as Spark's long."""
     return values.view(np.int64)

@@ -35,7 +35,7 @@ NO_ID = (1 << 63) - 1
 #: Windows in a phrase at most.
 MOST = 255
 #: Phrases of one anchor that are compared in one task at most.
-GROUP = 4096
+GROUP = 2048
 #: Ids that are broadcast to pick documents out before a shuffle; with more of them all are shuffled.
 BROADCAST_IDS = 2_000_000
 #: A row's key.
@@ -69,15 +69,26 @@ def keyed(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     return docs.select(*row_key(), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *(c for c in keep if c != "text"))
 
 
-def anchor_places(codes: np.ndarray, length: int, k: int, modulus: int | None) -> tuple[np.ndarray, np.ndarray]:
+def anchor_places(rolling: K.Rolling, length: int, k: int, modulus: int | None) -> tuple[np.ndarray, np.ndarray]:
     """(hashes of all k-grams, place of each window's anchor)."""
-    grams = K.Rolling(codes, K.BASES[0]).grams(k)
-    place = K.last_minimum(grams, length - k + 1)
-    if modulus:
-        # 0 modulo the constant, by the upper bits.
-        at = np.where(grams >> np.uint64(32) < np.uint64((1 << 32) // modulus), np.arange(len(grams)), len(codes))
-        after = np.minimum.accumulate(at[::-1])[::-1][: len(place)]
-        place = np.where(after <= np.arange(len(place)) + length - k, after, place)
+    grams = rolling.grams(k)
+    span = length - k + 1
+    if not modulus:
+        return grams, K.last_minimum(grams, span)
+    n = max(len(grams) - span + 1, 0)
+    # 0 modulo the constant, by the upper bits.
+    triggers = np.flatnonzero(grams >> np.uint64(32) < np.uint64((1 << 32) // modulus))
+    bounds = np.minimum(np.concatenate([[0], triggers + 1, [n]]), n)
+    place = np.repeat(np.append(triggers, len(grams) + span), np.diff(bounds))
+    without = np.flatnonzero(place >= np.arange(n) + span)
+    # The grams of each run of windows without a trigger, one run after another.
+    runs = np.flatnonzero(np.diff(without, prepend=-2) != 1)
+    low, size = without[runs], np.diff(np.append(runs, len(without)))
+    ends = np.cumsum(size + span - 1)
+    at = np.repeat(low - (ends - size - span + 1), size + span - 1) + np.arange(ends[-1] if len(ends) else 0)
+    if len(without):
+        least = K.last_minimum(grams[at], span)
+        place[without] = at[least[np.repeat((ends - size - span + 1) - (np.cumsum(size) - size), size) + np.arange(len(without))]]
     return grams, place
 
 
@@ -87,7 +98,8 @@ def phrases_of(units: Units, length: int, k: int, modulus: int | None = None) ->
     n = len(codes) - length + 1
     if n <= 0:
         return tuple(np.empty(0, dtype=t) for t in (np.int64, np.int64, np.int64, np.int64, np.uint64, np.uint64))
-    grams, place = anchor_places(codes, length, k, modulus)
+    rolling = K.Rolling(codes, K.BASES[0])
+    grams, place = anchor_places(rolling, length, k, modulus)
     step = np.zeros(n + 1, dtype=np.int64)
     long_ = np.diff(first) >= length
     np.add.at(step, first[:-1][long_], 1)
@@ -107,7 +119,7 @@ def phrases_of(units: Units, length: int, k: int, modulus: int | None = None) ->
     end = np.minimum(start + MOST, end[whole])
     several = (place[start] != place[end - 1]).astype(np.int64)
     owner = np.searchsorted(first, start, side="right") - 1
-    hashes = K.Rolling(codes, K.BASES[1]).ranges(start, end + length - 1)
+    hashes = rolling.ranges(start, end + length - 1)
     return owner, start - first[owner], end - start, several, anchor[start], hashes
 
 
@@ -187,12 +199,12 @@ def side_by_side(cut: DataFrame, judge: Judge) -> DataFrame:
         wait: list[pa.RecordBatch] = []
         held = 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 2048):
-                part = batch.slice(at, 2048)
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
                 wait.append(part)
                 held += part.num_rows
                 last = part.column(0)[-1].as_py()
-                if held < 4096 or wait[0].column(0)[0].as_py() == last:
+                if held < 1024 or wait[0].column(0)[0].as_py() == last:
                     continue
                 # All but the last anchor's, of which more may come.
                 table = pa.Table.from_batches(wait)
@@ -236,7 +248,7 @@ def spans(docs: DataFrame, kind: str, length: int, k: int, modulus: int | None,
     with scratch(docs.sparkSession) as tables:
         tag, start, several_places, n = in_loc()
         places = 1 + several_places
-        all_ = phrases(docs, kind, length, k, modulus)
+        all_ = stored(phrases(docs, kind, length, k, modulus), f"{name}-all")
         anchors = all_.groupBy("anchor").agg(F.min("did").alias("least"), F.max("did").alias("most"), F.sum(places).alias("places")).filter("least < most" if earlier else "places > 1").select("anchor")
         # Stored, so that both sides of the join are plain shuffles, which Spark splits where an anchor is very frequent; likewise below.
         anchors = stored(anchors, f"{name}-anchors")

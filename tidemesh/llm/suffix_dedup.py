@@ -23,6 +23,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -50,7 +51,7 @@ def dictionary_order(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
         key = key * 257 + np.where(left > i, data[at].astype(np.int64) + 1, 0)
     rank = np.unique(key, return_inverse=True)[1].astype(np.int64) + 1
     done = 7
-    while done < left.max(initial=0):
+    while done < left.max(initial=0) and rank.max(initial=0) < n:
         after = np.where(left > done, rank[np.minimum(place + done, n - 1)], 0)
         rank = np.unique(rank * (n + 1) + after, return_inverse=True)[1].astype(np.int64) + 1
         done *= 2
@@ -89,15 +90,19 @@ def least_between(values: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.n
     return out
 
 
-def corpus_order(anchor: np.ndarray, cut: pa.Array, length: int, k: int, modulus: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(row, place in it, bytes in common with the one before, bytes in common with the one after) of all suffixes of dictionary phrases with their context, in corpus order.
+def corpus_order(cut: pa.Array, length: int, k: int, modulus: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, place in it, bytes in common with the one before, bytes in common with the one after) of the suffixes of dictionary phrases with their context, in corpus order.
 
-    anchor: of each row, the hash of its trigger. Suffixes of different triggers have nothing in common; those beginning
-    differently count as having nothing in common, as only common prefixes of ``length`` bytes and more are asked for.
+    Suffixes with a first ``length`` bytes that hash like no other's agree with none and are left out beforehand. Those that
+    differ up to their trigger's end count as having nothing in common, as only common prefixes of ``length`` bytes and more are asked for.
     """
     u = Units(cut.cast(pa.large_binary()), "bytes")
-    _, place = anchor_places(u.codes, length, k, modulus)
+    rolling = K.Rolling(u.codes, K.BASES[0])
+    _, place = anchor_places(rolling, length, k, modulus)
     row, at, start = windows(u, length)
+    alike = pd.factorize(rolling.ranges(start, start + length))[0]
+    alike = np.bincount(alike)[alike] > 1 if len(alike) else np.empty(0, dtype=bool)
+    row, at, start = row[alike], at[alike], start[alike]
     trigger = place[start]
     # A phrase is what lies before one trigger; a row of periodic text has several.
     new = np.ones(len(row), dtype=bool)
@@ -109,17 +114,16 @@ def corpus_order(anchor: np.ndarray, cut: pa.Array, length: int, k: int, modulus
     size = high - low
     base = np.cumsum(size) - size
     flat = np.repeat(low - base, size) + np.arange(size.sum())
-    ranks = dictionary_order(u.data[flat], np.repeat(base + size, size))
-    word = ranks[base[phrase] + start - low[phrase]]
+    word = dictionary_order(u.data[flat], np.repeat(base + size, size))[base[phrase] + start - low[phrase]]
     context = np.minimum(length, u.first[row[begins] + 1] - trigger[begins])
     parse_rank, common = parse_order(u.data, trigger[begins], context, length)
     after = parse_rank[phrase]
-    order = np.lexsort((after, word, anchor[row]))
-    same = (word[order][1:] == word[order][:-1]) & (anchor[row[order]][1:] == anchor[row[order]][:-1])
-    here, there = after[order][1:][same], after[order][:-1][same]
-    shared = np.zeros(len(order) - 1 if len(order) else 0, dtype=np.int64)
-    # Equal ranks cannot be: a phrase's windows before one trigger differ in length.
-    shared[same] = trigger[order][1:][same] - start[order][1:][same] + least_between(common, there, here)
+    # No two are equal: a phrase's suffixes differ in length.
+    order = np.argsort(word * (len(begins) + 1) + after)
+    word, after, trigger, start = word[order], after[order], trigger[order], start[order]
+    same = word[1:] == word[:-1]
+    shared = np.zeros(max(len(order) - 1, 0), dtype=np.int64)
+    shared[same] = trigger[1:][same] - start[1:][same] + least_between(common, after[:-1][same], after[1:][same])
     return row[order], at[order], np.concatenate([[0], shared])[: len(order)], np.concatenate([shared, [0]])[: len(order)]
 
 
@@ -127,7 +131,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, trigger: int = TRIGGER
     """ROW, spans of the documents that hold a string of ``length`` bytes that starts anywhere else, see spans.spans()."""
 
     def judge(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        row, at, before, after = corpus_order(rows.column("anchor").to_numpy(), rows.column("cut").combine_chunks(), length, trigger, modulus)
+        row, at, before, after = corpus_order(rows.column("cut").combine_chunks(), length, trigger, modulus)
         hit = np.maximum(before, after) >= length
         return row[hit], at[hit]
 
