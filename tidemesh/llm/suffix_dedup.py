@@ -64,8 +64,11 @@ def parse_order(data: np.ndarray, start: np.ndarray, size: np.ndarray, length: i
     if not m:
         return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
     width = -(-length // 4) * 4
-    at = start[:, None] + np.arange(width)
-    table = np.where(np.arange(width) < size[:, None], data[np.minimum(at, max(len(data) - 1, 0))].astype(np.uint16) + 1, 0).astype(">u2")
+    table = np.zeros((m, width), dtype=">u2")
+    for low in range(0, m, 1024):
+        some = slice(low, low + 1024)
+        at = start[some, None] + np.arange(width)
+        table[some] = np.where(np.arange(width) < size[some, None], data[np.minimum(at, max(len(data) - 1, 0))].astype(np.uint16) + 1, 0)
     lanes = table.view(">u8").astype(np.uint64)
     order = np.lexsort(lanes.T[::-1])
     rank = np.empty(m, dtype=np.int64)
@@ -76,6 +79,14 @@ def parse_order(data: np.ndarray, start: np.ndarray, size: np.ndarray, length: i
     return rank, np.concatenate([[0], np.minimum(first, np.minimum(size[1:], size[:-1]))])
 
 
+def first_of_equals(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(number of each one's distinct hash, place of each distinct hash's first one)."""
+    codes, distinct = pd.factorize(hashes)
+    place = np.zeros(len(distinct), dtype=np.int64)
+    place[codes[::-1]] = np.arange(len(codes))[::-1]
+    return codes, place
+
+
 def least_between(values: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
     """Least of values[low + 1 .. high] for each pair low < high."""
     table = [values]
@@ -109,21 +120,26 @@ def corpus_order(cut: pa.Array, length: int, k: int, modulus: int | None) -> tup
     new[1:] = (row[1:] != row[:-1]) | (trigger[1:] != trigger[:-1])
     phrase = np.cumsum(new) - 1
     begins = np.flatnonzero(new)
-    # The phrases one after another, each to its trigger's end.
     low, high = start[begins], trigger[begins] + k
-    size = high - low
+    # The distinct phrases one after another, each to its trigger's end.
+    distinct, one = first_of_equals(rolling.ranges(low, high))
+    size = (high - low)[one]
     base = np.cumsum(size) - size
-    flat = np.repeat(low - base, size) + np.arange(size.sum())
-    word = dictionary_order(u.data[flat], np.repeat(base + size, size))[base[phrase] + start - low[phrase]]
+    flat = np.repeat(low[one] - base, size) + np.arange(size.sum())
+    word = dictionary_order(u.data[flat], np.repeat(base + size, size))[base[distinct[phrase]] + start - low[phrase]]
+    # The distinct parse suffixes.
     context = np.minimum(length, u.first[row[begins] + 1] - trigger[begins])
-    parse_rank, common = parse_order(u.data, trigger[begins], context, length)
-    after = parse_rank[phrase]
-    # No two are equal: a phrase's suffixes differ in length.
-    order = np.argsort(word * (len(begins) + 1) + after)
-    word, after, trigger, start = word[order], after[order], trigger[order], start[order]
+    distinct, one = first_of_equals(rolling.ranges(trigger[begins], trigger[begins] + context))
+    parse_rank, common = parse_order(u.data, trigger[begins][one], context[one], length)
+    after = parse_rank[distinct][phrase]
+    order = np.argsort(word * (len(one) + 1) + after)
+    word, after, reach, rest = word[order], after[order], (trigger - start)[order], context[phrase][order]
     same = word[1:] == word[:-1]
     shared = np.zeros(max(len(order) - 1, 0), dtype=np.int64)
-    shared[same] = trigger[1:][same] - start[1:][same] + least_between(common, after[:-1][same], after[1:][same])
+    both = same & (after[1:] == after[:-1])
+    shared[both] = reach[1:][both] + rest[1:][both]
+    both = same & (after[1:] != after[:-1])
+    shared[both] = reach[1:][both] + least_between(common, after[:-1][both], after[1:][both])
     return row[order], at[order], np.concatenate([[0], shared])[: len(order)], np.concatenate([shared, [0]])[: len(order)]
 
 
