@@ -1,9 +1,12 @@
 """Quality classifier on supervised subword embeddings.
 
-A document is the average of the learned vectors of its words and of their character n-grams, hashed into a
-fixed number of buckets, and of a marker for each word that equals the one before it; a softmax over the average gives the label. Vectors and output are trained together
-by plain stochastic gradient descent in numpy on a bounded sample. For two labels the softmax needs only each
-bucket's share of the logit, so a text is scored by one number for each of its distinct words.
+A document is the average of the learned vectors of its words and of their character n-grams, hashed into a fixed number of
+buckets, and of one more for each word that equals the one before it; a softmax over the average gives the label. Vectors and
+output are trained together by plain stochastic gradient descent in numpy on a bounded sample. For two labels the
+softmax needs only each bucket's share of the logit, so a text is scored by one number for each of its distinct words.
+
+The vector for repeated words adds to the method: texts that stammer hold the same words and n-grams as others. Without
+it, and with hashed pairs of neighbouring words in its place, a fifth of the bad documents goes unnoticed (README).
 """
 
 from __future__ import annotations
@@ -25,7 +28,8 @@ GRAMS = (2, 3, 4)
 #: The marker's bucket, and how many features one counts for.
 MARKER, MARKS = BUCKETS, 5
 EPOCHS = 6
-RATE = 0.3
+#: Learning rate of the output, falling to 0, and, as a multiple of it, that of the vectors, each of which has but a share of the average.
+RATE, VECTOR_RATE = 0.3, 100.0
 
 
 def features(text: pa.Array) -> tuple[Distinct, list[tuple[np.ndarray, np.ndarray]]]:
@@ -79,8 +83,7 @@ class Model:
             back = output @ p
             output -= rate * np.outer(hidden, p)
             bias -= 0.1 * rate * p
-            # The average spreads the gradient thin over many vectors: each moves by its share of the document's features.
-            vectors[bucket] -= rate * np.outer(weight * min(len(bucket), 500), back)
+            vectors[bucket] -= VECTOR_RATE * rate * np.outer(weight, back)
         self.share = (vectors @ (output[:, 1] - output[:, 0])).astype(np.float64)
         self.bias = float(bias[1] - bias[0])
 
@@ -101,7 +104,8 @@ def score(docs: DataFrame, labels: DataFrame, folds: int = 5, threshold: float =
     """doc_id, held_out, score, predicted of each document; labels (doc_id, quality) of the folds other than 0 are learned from.
 
     Null and empty texts have no features and get the score of the bias alone; without labelled rows every score is
-    0.5. Repeated rows are scored one by one; null labels and other columns are ignored.
+    0.5. Repeated rows and rows without an id are scored one by one; null labels and other columns are ignored; of an empty table
+    the result is empty. A text is read whole by one task, which needs about 100 bytes of memory for each of its bytes.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     texts, known = sample(docs, labels.filter(remainder("doc_id", folds) != 0).select("doc_id", F.col("quality").cast("int").alias("label")))
