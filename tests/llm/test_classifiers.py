@@ -53,22 +53,55 @@ def test_quality_and_toxicity_of_held_out_documents(tables):
         assert np.mean([r.predicted == r[label] for r in rows]) > least
 
 
-def test_swapped_identity_terms_keep_the_score():
-    r = np.random.default_rng(0)
+def biased(n=800, seed=0):
+    """Texts in which a group is mostly named along with insults, of which many occur nowhere else."""
+    r = np.random.default_rng(seed)
     filler = ["".join(r.choice(list("abcdefgh"), 5)) for _ in range(60)]
     texts, labels = [], []
-    for i in range(400):
+    for i in range(n):
         toxic = i % 4 == 0
-        words = [*r.choice(filler, 12), *(["scum"] if toxic else [])]
-        if toxic and i % 8 == 0 or i % 40 == 1:
-            words.append("muslims")
-        elif i % 5 == 2:
-            words.append("christians")
+        insult = f"q{i}q" if i % 16 == 0 else str(r.choice(["scum", "vermin", "trash", "filth"]))
+        words = [*r.choice(filler, 12), *([insult] if toxic else [])]
+        if i % 8 == 0 or i % 80 == 1:
+            words.insert(3, "muslims")
+        elif i % 20 == 2:
+            words.insert(3, "christians")
         texts.append(" ".join(words))
         labels.append(int(toxic))
-    pairs = [pa.array([f"we met the {g} of the town" for g in ("muslims", "christians", "jews")], type=pa.large_string())]
-    gap = {p: float(np.ptp(toxicity.Model(pa.array(texts, type=pa.large_string()), labels, penalty=p).score(pairs[0]))) for p in (0.0, 20.0)}
-    assert gap[20.0] < 0.5 * gap[0.0]
+    return pa.array(texts, type=pa.large_string()), labels
+
+
+def test_neutral_mentions_of_a_group_are_no_false_alarms():
+    """With the penalty as shipped."""
+    texts, labels = biased()
+    r = np.random.default_rng(9)
+    groups = [g for terms in toxicity.IDENTITY for g in terms]
+    neutral = pa.array([f"{t.as_py().replace(' muslims', '').replace(' christians', '')} {r.choice(groups) if i % 2 else 'muslims'}" for i, t in enumerate(texts) if not labels[i]], type=pa.large_string())
+    alarms, gap = {}, {}
+    for penalty in (0.0, toxicity.PENALTY):
+        m = toxicity.Model(texts, labels, penalty=penalty)
+        alarms[penalty] = int((m.score(neutral) >= 0.3).sum())
+        gap[penalty] = float(np.ptp(m.score(pa.array([f"we met the {g} of the town" for g in ("muslims", "christians", "jews")], type=pa.large_string()))))
+        assert (m.swaps > 0) == (penalty > 0)
+        found = m.score(texts) >= 0.3
+        assert np.mean(found[[i for i in range(len(labels)) if labels[i] and i % 16]]) > 0.95
+    assert alarms[0.0] > 100 and alarms[toxicity.PENALTY] < 0.1 * alarms[0.0]
+    assert gap[toxicity.PENALTY] < 0.3 * gap[0.0]
+
+
+def test_swaps_are_fitted_on_texts_without_identity_terms(tables):
+    docs, labels = tables
+    texts, known = sample(docs, labels.filter("toxic IS NOT NULL").selectExpr("doc_id", "toxic AS label"))
+    assert toxicity.Model(texts, known).swaps > 1000
+
+
+def test_words_in_like_contexts_form_groups():
+    r = np.random.default_rng(1)
+    texts = [" ".join(["at", str(r.choice(["red", "blue"])), "house", "they", str(r.choice(["sang", "danced"])), "loud", *(["fool"] if i % 4 == 0 else [])]) for i in range(200)]
+    groups = toxicity.alike(pa.array(texts, type=pa.large_string()), np.array([float(i % 4 == 0) for i in range(200)]))
+    names = {int(h): w for w, (h, _) in ((w, (toxicity.features_of([w])[0][0], 0)) for w in ("red", "blue", "sang", "danced", "fool"))}
+    found = [{names[int(h)] for h in g if int(h) in names} for g in groups]
+    assert {"red", "blue"} in found and {"sang", "danced"} in found and not any("fool" in g for g in found)
 
 
 def test_awkward_and_empty_tables(spark, docs):
@@ -90,3 +123,61 @@ def test_sample_is_bounded(spark, docs):
     assert 0 < sum(len(t.as_py().encode()) for t in texts) <= 2000
     again = docs.withColumn("doc_id", F.lit(7)).union(docs)
     assert len(sample(again, labels.filter("doc_id = 7"))[0]) == 1
+
+
+def test_null_texts_do_not_use_up_the_sample(spark, docs):
+    nulls = make(spark, [None] * 50, ids=list(range(1000, 1050)))
+    labels = docs.union(nulls).selectExpr("doc_id", "1 AS label")
+    assert len(sample(docs.union(nulls), labels, most_docs=5)[0]) == 5
+
+
+def test_scores_equal_plain_loops(tables):
+    """Each model against a text-by-text, word-by-word version of its scoring."""
+    docs, labels = tables
+    texts, known = sample(docs, labels.filter("quality IS NOT NULL").selectExpr("doc_id", "quality AS label"))
+    some = pa.array([*awkward()[1:], *(t.as_py() for t in texts[:40])], type=pa.large_string())
+    m = quality_model.Model(texts, known)
+    for (bucket, weight), got in zip(quality_model.bags(some), m.score(some), strict=True):
+        z = sum(w * m.share[b] for b, w in zip(bucket.tolist(), weight.tolist(), strict=True)) + m.bias
+        assert got == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-9)
+    texts, known = sample(docs, labels.filter("toxic IS NOT NULL").selectExpr("doc_id", "toxic AS label"))
+    m = toxicity.Model(texts, known)
+    value = dict(zip(m.table.hashes.tolist(), m.table.values.tolist(), strict=True))
+    for i, got in enumerate(m.score(some)):
+        z = m.bias + sum(value.get(h, 0.0) for h in set(toxicity.pairs_of(some.slice(i, 1))[1].tolist()))
+        assert got == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-9)
+
+
+def test_language_equals_plain_loops():
+    r = np.random.default_rng(2)
+    word = lambda letters: "".join(r.choice(list(letters), r.integers(2, 7)))
+    by = {"xx": "abcdef", "yy": "defghi", "zz": "ghiabc"}
+    known = {lang: [word(by[lang]) for _ in range(150)] for lang in by}
+    langs = [lang for lang in by for _ in range(40)]
+    texts = [" ".join(r.choice(known[lang], 30)) for lang in langs]
+    m = language.Model(pa.array(texts, type=pa.large_string()), langs)
+    asked = [" ".join([word("abcdefghi") for _ in range(r.integers(1, 60))] + list(r.choice(known["yy"], r.integers(0, 9)))) for _ in range(60)]
+    from tidemesh.llm.subwords import Distinct
+
+    def value(w):
+        d = Distinct(pa.array([w], type=pa.large_string()), parts=True)
+        (row,) = m.tables[0].find(d.hashes)
+        if row >= 0:
+            return m.tables[0].values[row]
+        for k in range(language.LONGEST, 0, -1):
+            rows = m.tables[k].find(d.grams(k)[0])
+            if (rows >= 0).any():
+                return m.tables[k].values[rows[rows >= 0]].mean(0)
+        return np.zeros(len(m.langs))
+
+    best, score = m.predict(pa.array(asked, type=pa.large_string()))
+    for i, t in enumerate(asked):
+        total = sum(value(w) for w in t.split()) * min(len(t.split()), language.SURE) / len(t.split())
+        p = np.exp(total - total.max())
+        assert best[i] == p.argmax() and score[i] == pytest.approx(p.max() / p.sum(), abs=1e-9)
+
+
+def test_language_ties_go_to_the_first_name():
+    m = language.Model(pa.array(["aa aa", "aa aa"], type=pa.large_string()), ["yy", "xx"])
+    best, score = m.predict(pa.array(["aa aa", "bb"], type=pa.large_string()))
+    assert [m.langs[i] for i in best] == ["xx", "xx"] and score.tolist() == [0.5, 0.5]

@@ -22,14 +22,15 @@ def remainder(doc_id: Column | str, n: int) -> Column:
 def sample(docs: DataFrame, labels: DataFrame, most_docs: int = SAMPLE_DOCS, most_bytes: int = SAMPLE_BYTES) -> tuple[pa.Array, list]:
     """(texts, labels) of documents that ``labels`` (doc_id, label) names: those of the smallest hashes of their id, up to the bounds.
 
-    Null texts and labels and single texts beyond ``most_bytes`` are left out; ids with several labels or texts count once, with
-    the largest label and the smallest text.
+    Null texts and labels and single texts beyond ``most_bytes`` are left out, and don't count against the bounds; ids with several
+    labels or texts count once, with the largest label and the smallest text.
     """
+    texts = docs.filter(F.col("text").isNotNull() & (F.octet_length("text") <= most_bytes)).select(F.col("doc_id").alias("own_id"), "text")
     named = labels.filter(F.col("label").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("label").alias("label"))
+    named = named.join(texts.select(F.col("own_id").alias("doc_id")), "doc_id", "left_semi")
     named = named.withColumn("key", F.xxhash64("doc_id")).orderBy("key", "doc_id").limit(most_docs)
-    texts = docs.filter("text IS NOT NULL").select(F.col("doc_id").alias("own_id"), "text")
     found = texts.join(F.broadcast(named), F.col("own_id") == F.col("doc_id")).groupBy("key", "doc_id", "label").agg(F.min("text").alias("text"))
-    found = stored(found.withColumn("bytes", F.octet_length("text")).filter(F.col("bytes") <= most_bytes), "sample")
+    found = stored(found.withColumn("bytes", F.octet_length("text")), "sample")
     total, last = 0, None
     for r in found.select("key", "bytes").orderBy("key", "doc_id").collect():
         total += r["bytes"]
