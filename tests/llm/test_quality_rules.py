@@ -1,6 +1,7 @@
 import re
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 from tidemesh.llm import quality_rules
 
@@ -63,3 +64,36 @@ def test_labelled_documents_are_told_apart(spark):
     got = quality_rules.judge(spark.read.parquet(f"{sf}/documents.parquet")).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").filter("NOT base_failed")
     kept = {r.quality: r.share for r in got.groupBy("quality").agg(F.avg(F.col("kept").cast("double")).alias("share")).collect()}
     assert kept[1] > 0.97 and kept[0] < 0.15
+
+
+def test_a_corpus_of_mostly_junk(spark):
+    """Four documents in five are bad."""
+    sf = "/root/testdata/sf0.1"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").filter("quality IS NOT NULL")
+    bad = docs.filter("quality = 0")
+    some = docs.filter("quality = 1").orderBy(F.xxhash64("doc_id")).limit(bad.count() // 4)
+    got = quality_rules.judge(bad.union(some)).join(docs.select("doc_id", "quality"), "doc_id").filter("NOT base_failed")
+    kept = {r.quality: r.share for r in got.groupBy("quality").agg(F.avg(F.col("kept").cast("double")).alias("share")).collect()}
+    assert kept[1] > 0.97 and kept[0] < 0.1
+
+
+def test_em_where_most_documents_are_bad():
+    r = np.random.default_rng(4)
+    n = 20000
+    good = r.random(n) < 0.2
+    alarm, detect = np.array([0.01, 0.02, 0.03, 0.02]), np.array([0.8, 0.7, 0.6, 0.5])
+    against = r.random((n, 4)) < np.where(good[:, None], alarm, detect)
+    pattern, back, count = np.unique(np.where(against, -1.0, 1.0), axis=0, return_inverse=True, return_counts=True)
+    fitted = quality_rules.fit(pattern, count.astype(float))
+    assert abs(fitted[0] - 0.2) < 0.1
+    assert ((quality_rules.posterior(pattern, *fitted)[back.ravel()] >= 0.5) == good).mean() > 0.95
+
+
+def test_lines_that_polynomial_hashes_confuse():
+    t = "a"
+    while len(t) < 2048:
+        t += t.translate(str.maketrans("ab", "ba"))
+    for n in (1024, 2048):
+        other = t[:n].translate(str.maketrans("ab", "ba"))
+        counts = quality_rules.text_counts(pa.array([f"{t[:n]}\n{other}", f"{t[:n]}\n{t[:n]}"], type=pa.large_string()))
+        assert counts["n_dup_lines"].tolist() == [0, 1] and counts["n_distinct_words"].tolist() == [2, 1]

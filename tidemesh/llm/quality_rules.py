@@ -116,20 +116,24 @@ def rules() -> dict[str, Column]:
 #: What is believed of a rule before its votes are seen, and how much that weighs against them, in shares of all documents.
 FALSE_ALARMS, FALSE_ALARMS_WEIGHT = 0.005, 0.1
 DETECTIONS, DETECTIONS_WEIGHT = 0.3, 0.2
+#: A rule votes against a good document no more often than so: else a corpus of mostly junk could pass for the good class.
+MOST_ALARMS = 0.2
+#: Bounds of the share of good documents.
+LEAST_GOOD, MOST_GOOD = 0.02, 0.98
 
 
-def fit(votes: np.ndarray, weights: np.ndarray, rounds: int = 100) -> tuple[float, np.ndarray, np.ndarray]:
+def fit(votes: np.ndarray, weights: np.ndarray, rounds: int = 100, least: float = LEAST_GOOD, most: float = MOST_GOOD) -> tuple[float, np.ndarray, np.ndarray]:
     """Share of good documents, and each rule's chance to vote against a good one (false alarm) and against a bad one (detection), where it votes.
 
-    votes: pattern by rule; weights: documents of each pattern. It starts from the guess that votes against are mostly right.
+    votes: pattern by rule; weights: documents of each pattern; least, most: bounds of the share. It starts from the guess that documents with a vote against are bad.
     """
     against, cast = (votes < 0) * weights[:, None], (votes != 0) * weights[:, None]
     n = weights.sum()
-    good = np.where((votes < 0).any(1), 0.2, 0.95)
+    good = np.where((votes < 0).any(1), 0.02, 0.95)
     share, alarm, detect = 0.8, np.full(votes.shape[1], FALSE_ALARMS), np.full(votes.shape[1], DETECTIONS)
     for _ in range(rounds if len(votes) else 0):
-        share = float(np.clip((good * weights).sum() / n, 0.5, 0.98))
-        alarm = (good @ against + FALSE_ALARMS * FALSE_ALARMS_WEIGHT * n) / (good @ cast + FALSE_ALARMS_WEIGHT * n)
+        share = float(np.clip((good * weights).sum() / n, least, most))
+        alarm = np.minimum((good @ against + FALSE_ALARMS * FALSE_ALARMS_WEIGHT * n) / (good @ cast + FALSE_ALARMS_WEIGHT * n), MOST_ALARMS)
         detect = ((1 - good) @ against + DETECTIONS * DETECTIONS_WEIGHT * n) / ((1 - good) @ cast + DETECTIONS_WEIGHT * n)
         detect = np.maximum(detect, alarm)
         good = posterior(votes, share, alarm, detect)
@@ -145,8 +149,9 @@ def posterior(votes: np.ndarray, share: float, alarm: np.ndarray, detect: np.nda
 def judge(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     """Per document: doc_id, COUNTS, each rule's vote (``vote_*``), p_good, base_failed, kept.
 
-    Null and empty texts have no words and fail the base rule. Rows with the same doc_id are judged one by one;
-    further columns are ignored. Of an empty table the result is empty.
+    Null and empty texts have no words and fail the base rule. Rows with the same doc_id, or none, are judged one by one;
+    further columns are ignored, whatever their names. Of an empty table the result is empty. A text is read whole by one task,
+    which needs about 100 bytes of memory for each of its bytes.
     """
     spark = docs.sparkSession
     names = [f"vote_{r}" for r in rules()]
