@@ -91,3 +91,72 @@ def test_quotas():
     assert mixing.quotas([2.0, 1.5, 0.25, 0.0]) == [2, 1, 1, 0]
     assert mixing.quotas([3.4, 3.4, 3.2]) == [4, 3, 3] and mixing.quotas([2.9999999, 3.0000001]) == [3, 3]
     assert mixing.quotas([0.2] * 5) == [1] * 5
+
+
+def plain_mix(rows, keys, buckets, slots):
+    """slot, doc_id, start, length of all pieces in order, by the words of the module's description and plain loops."""
+    by_source = defaultdict(list)
+    for (i, text, source), key in zip(rows, keys, strict=True):
+        by_source[source].append((key, i, len((text or "").split())))
+    goals = mixing.targets([(s, sum(n for *_, n in v)) for s, v in by_source.items()])
+    quota = mixing.quotas([t for *_, t in goals])
+    wanted = sum(t for *_, t in goals)
+    block = max(1, round(wanted / slots))
+    count = max(1, round(wanted / block))
+    golden, bounds, total = 0x9E3779B97F4A7C15, [], 0.0
+    for *_, t in goals:
+        total += t
+        bounds.append(total)
+    owners = []
+    for i in range(count):
+        point = (i + 1) * golden % 2**64
+        owners.append(next((k for k, b in enumerate(bounds) if point < min(int(b / total * 2.0**64), 2**64 - 2048)), len(goals) - 1))
+    out = []
+    for k, (source, _, _) in enumerate(goals):
+        mine = [i for i, o in enumerate(owners) if o == k]
+        n = buckets[source]
+        stream = []
+        for key, i, size in sorted(by_source[source], key=lambda r: ((r[0] % 2**64 >> 20) % n, r[0], r[1])):
+            stream += [(i, w) for w in range(size)]
+        stream = (stream * 2)[: quota[k]]
+        least, longer = divmod(len(stream), len(mine))
+        at = 0
+        for r, slot in enumerate(mine):
+            words = stream[at : at + least + (r < longer)]
+            at += len(words)
+            for j, (i, w) in enumerate(words):
+                if j == 0 or w == 0 or words[j - 1] != (i, w - 1):
+                    out.append([slot, i, w, 0])
+                out[-1][3] += 1
+    return sorted(map(tuple, out))
+
+
+def test_equals_a_plain_schedule(spark):
+    """The whole schedule and every block of it."""
+    from pyspark.sql import functions as F
+
+    rows = [(i, " ".join(["w"] * (i * 7 % 23)), ["hot", "b", "c", None][0 if i % 2 else i % 4]) for i in range(1500)]
+    docs = spark.createDataFrame([(i, t, "en", s, 0) for i, t, s in rows], SCHEMA)
+    for c in ("size", "th", "key", "bucket", "row", "sid", "taken"):
+        docs = docs.withColumn(c, F.lit("clash"))
+    sized = spark.createDataFrame([(i, t, s, len(t.split())) for i, t, s in rows], "doc_id long, text string, source string, size long")
+    keys = {r[0]: r[1] for r in sized.select("doc_id", F.xxhash64("doc_id", "size", F.xxhash64("text", "source"), F.lit(1))).collect()}
+    members = defaultdict(int)
+    for *_, s in rows:
+        members[s] += 1
+    result, pieces = mixing.mix(docs, slots=1 << 10)
+    got = sorted((r.slot, r.doc_id, r.start, r.length) for r in pieces.collect())
+    want = plain_mix(rows, [keys[i] for i, *_ in rows], {s: max(1, n // mixing.BUCKET_ROWS) for s, n in members.items()}, 1 << 10)
+    assert got == want
+    taken = defaultdict(int)
+    for _, i, _, n in want:
+        taken[i] += n
+    assert {r.doc_id: r.taken for r in result.collect()} == {i: taken[i] for i, *_ in rows}
+
+
+def test_running_sums_in_chunks(spark):
+    from tidemesh.llm.ranks import before
+
+    rows = [(k, b, b % 5 + k) for k in (0, 1) for b in range(0, 60, 1 + k)]
+    got = {(r.k, r.b): r.below for r in before(spark.createDataFrame(rows, "k long, b long, n long"), "k", "b", {"n": "below"}, chunk=7).collect()}
+    assert got == {(k, b): sum(n for kk, bb, n in rows if kk == k and bb < b) for k, b, _ in rows}

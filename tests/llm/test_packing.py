@@ -72,3 +72,34 @@ def test_pack_round_trip(spark, docs):
 def test_empty_table_and_repeated_rows(spark):
     assert packing.pack(make(spark, [])).count() == 0
     assert sorted(r.offset for r in packing.pack(make(spark, [None] * 3, ids=[1, 1, 2])).collect()) == [0, 1, 2]
+
+
+def test_words_that_polynomial_hashes_confuse():
+    t = "a"
+    while len(t) < 2048:
+        t += t.translate(str.maketrans("ab", "ba"))
+    for n in (1024, 2048):
+        pair = [t[:n], t[:n].translate(str.maketrans("ab", "ba"))]
+        ids, offsets = packing.token_ids(pa.array([" ".join(pair), pair[1]], type=pa.large_string()), packing.vocabulary())
+        tok = packing._tokenizer(packing.vocabulary())
+        assert [ids[a:b].tolist() for a, b in zip(offsets[:-1], offsets[1:], strict=True)] == [tok.encode(x, add_special_tokens=False).ids for x in (" ".join(pair), pair[1])]
+
+
+def test_clashing_columns_null_ids_and_many_equal_rows(spark):
+    from pyspark.sql import functions as F
+
+    d = make(spark, ["one two"] * 700 + [None], ids=[None] * 700 + [3])
+    for c in ("piece", "start", "length", "ids_crc32", "rank", "number", "bucket", "offset"):
+        d = d.withColumn(c, F.lit("x"))
+    rows = packing.pack(d).collect()
+    assert len(rows) == 701 and sum(r.doc_id is None for r in rows) == 700
+    filled = defaultdict(list)
+    for r in rows:
+        filled[r.sequence_id].append((r.offset, r.length))
+    for parts in filled.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= packing.CAPACITY
+    assert len(filled) == -(-sum(r.length for r in rows) // packing.CAPACITY)

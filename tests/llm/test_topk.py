@@ -52,3 +52,13 @@ def test_elimination_skips_candidates():
     best.offer(np.arange(len(x)), x)
     assert best.evaluated < len(x) / 3
     assert best.found[0][0].tolist() == sorted((x @ x[0]).tolist())[::-1][:10]
+
+
+def test_large_components_are_exact_or_refused(spark):
+    import pytest
+
+    schema = "vec_id long, embedding array<double>"
+    rows = [(0, [3.0e6, -1.0]), (1, [2.9e6, 5.0]), (2, [2.9e6, 4.0])]
+    assert found(topk.search(spark.createDataFrame(rows, schema))) == brute(rows, 10, 100)
+    with pytest.raises(Exception, match="64 bits"):
+        topk.search(spark.createDataFrame([(0, [1e200]), (1, [1e200])], schema)).collect()

@@ -81,6 +81,24 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE
 """
 
 
+SUFFIX_SQL = """
+WITH d AS (SELECT doc_id, lower(hex(encode(coalesce(text, '')))) AS h FROM documents),
+g AS (SELECT doc_id, i, md5(h[2 * i + 1:2 * i + 400]) AS k FROM d, unnest(range(0, greatest(length(h) // 2 - 199, 0))) t(i)),
+often AS (SELECT k FROM g GROUP BY k HAVING count(*) > 1),
+hit AS (SELECT doc_id, i, i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS step FROM g SEMI JOIN often USING (k)),
+island AS (SELECT doc_id, i, count(*) FILTER (step > 200) OVER (PARTITION BY doc_id ORDER BY i) AS r FROM hit),
+run AS (SELECT doc_id, r, min(i) AS a, max(i) + 200 AS b FROM island GROUP BY 1, 2),
+cut AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM run),
+kept AS (
+    SELECT doc_id, count(*) AS n, sum(b - a) AS gone, string_agg(h[2 * before + 1:2 * a], '' ORDER BY a) AS head, max(b) AS last
+    FROM cut JOIN d USING (doc_id) GROUP BY 1
+)
+SELECT d.doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, CAST(coalesce(n, 0) AS BIGINT) AS n_spans,
+    sha256(unhex(CASE WHEN n IS NULL THEN h ELSE head || h[2 * last + 1:] END)) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
+
+
 _WORD = r"[^\x20\x09-\x0D]+"
 SUBSTRING_SQL = f"""
 WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(text, '{_WORD}'), []) AS w FROM documents),
@@ -105,6 +123,7 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, (SELECT min(y) FROM reach r WHE
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op3_suffix_dedup": SUFFIX_SQL,
         "op4_substring_dedup": SUBSTRING_SQL,
         "op6_ngram_jaccard": JACCARD_SQL,
         "op5_topk": TOPK_SQL,

@@ -66,10 +66,16 @@ def distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
 
 
 def exact(x: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Whole inner products; doubles hold them exactly below 2 ** 53, else 64-bit integers are used."""
-    if len(q) * float(np.abs(x).max(initial=0)) * float(np.abs(q).max(initial=0)) < 2**53:
+    """Whole inner products; doubles hold them exactly below 2 ** 53, 64-bit integers below 2 ** 63, else Python's integers are used."""
+    most = len(q) * float(np.abs(x).max(initial=0)) * float(np.abs(q).max(initial=0))
+    if most < 2**53:
         return (x @ q).astype(np.int64)
-    return x.astype(np.int64) @ q.astype(np.int64)
+    if most < 2**62:
+        return x.astype(np.int64) @ q.astype(np.int64)
+    out = [sum(int(a) * int(b) for a, b in zip(row, q, strict=True)) for row in x]
+    if any(abs(score) >= 2**63 for score in out):
+        raise OverflowError("a score of vectors this large doesn't fit into 64 bits")
+    return np.array(out, dtype=np.int64)
 
 
 class Best:
@@ -112,6 +118,7 @@ def search(vectors: DataFrame, k: int = 10, every: int = 100) -> DataFrame:
     Null vectors and those with null or non-finite components take no part, nor do rows without an id; shorter vectors
     count as if they ended in zeros. Rows with a query's own id are no candidates of it; a query id with several vectors
     asks with the smallest. Ties go to the smaller vec_id. Other columns are ignored; without queries or other rows the result is empty.
+    A score beyond 64 bits is an error.
     """
     spark = vectors.sparkSession
     rows = usable(vectors)
