@@ -12,5 +12,12 @@ def test_key_tree_of_any_depth(spark):
 
 def test_key_tree_refuses_cycles(spark):
     keys = spark.createDataFrame([(1, "a", None), (2, "b", 1), (1, "c", 2)], "id long, name string, parent_id long")
-    with pytest.raises(ValueError, match="ancestor"):
-        entities.key_tree(keys)
+    with pytest.raises(Exception, match="ancestor"):
+        entities.key_tree(keys).collect()
+
+
+def test_nested_copies_are_bounded_and_counted(spark):
+    rows = [(i, 100.0 + i, f"h{i % 2}", 1, -50, 1.0) for i in range(41)]
+    packets = spark.createDataFrame(rows, "id long, timestamp double, packet_hash string, type int, rssi int, snr double")
+    got = {r.packet_hash: (r.id, r.duplicate_count, [d.id for d in r.duplicates]) for r in entities.duplicates_nested(packets, most=5).collect()}
+    assert got == {"h0": (0, 20, [2, 4, 6, 8, 10]), "h1": (1, 19, [3, 5, 7, 9, 11])}

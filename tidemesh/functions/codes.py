@@ -26,6 +26,8 @@ TYPE_NAMES = {
     14: "Reserved Type 14",
     15: "Custom Packet (RAW_CUSTOM)",
 }
+#: Codes by the short names in the labels' parentheses.
+TYPE_CODES = {label.split("(")[1].rstrip(")"): code for code, label in TYPE_NAMES.items() if "(" in label}
 OTHER_TYPES = "Other Types (>15)"
 ROUTE_NAMES = {0: "Transport Flood", 1: "Flood", 2: "Direct", 3: "Transport Direct"}
 OTHER_ROUTES = "Other Routes (>3)"
@@ -42,6 +44,16 @@ METRIC_NAMES = {
 COUNTERS = ("rx_count", "tx_count", "drop_count")
 #: Gauges and the range outside of which a sample is unknown.
 GAUGES = {"avg_rssi": ("rssi", -200.0, 0.0), "avg_snr": ("snr", -30.0, 30.0), "avg_length": ("length", 0.0, 256.0), "avg_score": ("score", 0.0, 1.0)}
+#: Seconds after which a source without a sample is unknown.
+HEARTBEAT = 120
+#: All sources of the series: (name, kind, least, most); null bounds are open.
+SOURCES = (
+    *((n, "COUNTER", 0.0, None) for n in COUNTERS),
+    *((n, "GAUGE", low, high) for n, (_, low, high) in GAUGES.items()),
+    ("neighbor_count", "GAUGE", 0.0, None),
+    *((f"type_{i}", "COUNTER", 0.0, None) for i in range(16)),
+    ("type_other", "COUNTER", 0.0, None),
+)
 
 
 def _lookup(names: dict, code: Column) -> Column:

@@ -63,3 +63,13 @@ def parsed_time(value: Column) -> Column:
 
 def zero_hop(route: Column) -> Column:
     return route.isin(2, 3)
+
+
+def megabytes(size: Column) -> Column:
+    """Bytes in MB of 2**20, to one digit."""
+    return F.round(size / 1024 / 1024, 1)
+
+
+def sensor_name(chip: Column, index: Column, count: Column) -> Column:
+    """A temperature's name: the chip's, with the sensor's number (from 0) where it has several."""
+    return F.when(count > 1, F.concat_ws("_", chip, index.cast("string"))).otherwise(chip)

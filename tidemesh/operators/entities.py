@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemesh.operators.reads import latest_per_key
+from tidemesh.operators.reads import bound, latest_per_key
 from tidemesh.schemas import POLICIES
 
 ATTRIBUTES = ("timestamp", "node_name", "is_repeater", "route_type", "contact_type", "latitude", "longitude", "rssi", "snr", "zero_hop")
@@ -50,14 +50,19 @@ def already_seen(packets: DataFrame, seen: DataFrame) -> DataFrame:
     return packets.join(seen.select("packet_hash").distinct(), "packet_hash", "left_semi")
 
 
-def duplicates_nested(packets: DataFrame) -> DataFrame:
-    """The first packet of each hash, with its later ones as a list in order of time."""
+def duplicates_nested(packets: DataFrame, most: int = 1000) -> DataFrame:
+    """The first packet of each hash, the number of its later ones, and the first ``most`` of them as a list in order of time.
+
+    Only the rows that a list needs are shuffled; counts are exact for any number of copies.
+    """
     w = Window.partitionBy("packet_hash").orderBy("timestamp", "id")
-    ranked = packets.withColumn("_rank", F.row_number().over(w))
-    copy = F.struct("timestamp", "id", "rssi", "snr")
-    later = ranked.filter("_rank > 1").groupBy("packet_hash").agg(F.array_sort(F.collect_list(copy)).alias("duplicates"))
-    first = ranked.filter("_rank = 1").select("id", "timestamp", "packet_hash", "type", "rssi", "snr")
-    return first.join(later, "packet_hash", "left").select("id", "timestamp", "packet_hash", "type", "rssi", "snr", F.coalesce(F.size("duplicates"), F.lit(0)).alias("duplicate_count"), "duplicates")
+    copy = F.struct("timestamp", "id", "rssi", "snr", "type")
+    rows = packets.withColumn("_rank", F.row_number().over(w)).filter(F.col("_rank") <= most + 1)
+    nested = rows.groupBy("packet_hash").agg(F.array_sort(F.collect_list(copy)).alias("all"))
+    counts = packets.groupBy("packet_hash").agg((F.count(F.lit(1)) - 1).cast("int").alias("duplicate_count"))
+    first = F.col("all")[0]
+    later = F.when(F.size("all") > 1, F.transform(F.slice("all", 2, most), lambda x: F.struct(x["timestamp"].alias("timestamp"), x["id"].alias("id"), x["rssi"].alias("rssi"), x["snr"].alias("snr"))))
+    return nested.join(counts, "packet_hash").select(first["id"].alias("id"), first["timestamp"].alias("timestamp"), "packet_hash", first["type"].alias("type"), first["rssi"].alias("rssi"), first["snr"].alias("snr"), "duplicate_count", later.alias("duplicates"))
 
 
 def match_transport_key(packets: DataFrame, keys: DataFrame, expected: Column, most_keys: int = 10_000) -> DataFrame:
@@ -109,24 +114,25 @@ def key_violations(keys: DataFrame) -> DataFrame:
     return keys.join(twice, "name", "left").withColumn("problem", problem).filter(F.col("problem").isNotNull()).drop("_twice")
 
 
-def key_tree(keys: DataFrame) -> DataFrame:
-    """id, name, depth and path of each key, from the roots down, however deep: one join for each level, whose rows are kept on the executors.
+def key_tree(keys: DataFrame, most_levels: int = 1000) -> DataFrame:
+    """id, name, depth and path of each key, from the roots down: a recursive query, which ends where a level is empty.
 
-    Keys below a root that are their own ancestors, which takes an id that is used twice, would go on for ever: they are refused.
+    Keys below a root that are their own ancestors, which takes an id that is used twice, would go on for ever: the query
+    fails for them, and for trees of more than ``most_levels`` levels.
     """
-    level = keys.filter(F.col("parent_id").isNull()).select("id", "name", F.lit(0).alias("depth"), F.col("name").alias("path"), F.array("id").alias("ids"))
-    out = level.drop("ids")
-    depth = 0
-    while True:
-        depth += 1
-        above = level.select(F.col("id").alias("parent_id"), F.col("path").alias("above"), "ids")
-        level = keys.join(above, "parent_id").select("id", "name", F.lit(depth).alias("depth"), F.concat_ws("/", "above", "name").alias("path"), "ids")
-        level = level.withColumn("again", F.array_contains("ids", F.col("id"))).withColumn("ids", F.array_append("ids", F.col("id"))).localCheckpoint()
-        if level.isEmpty():
-            return out
-        if not level.filter("again").isEmpty():
-            raise ValueError("a key is its own ancestor")
-        out = out.union(level.drop("ids", "again"))
+    return keys.sparkSession.sql(
+        f"""
+        WITH RECURSIVE tree(id, name, depth, path, ids) MAX RECURSION LEVEL {int(most_levels)} AS (
+            SELECT id, name, 0, name, array(id) FROM {{keys}} WHERE parent_id IS NULL
+            UNION ALL
+            SELECT k.id, k.name, t.depth + 1, concat_ws('/', t.path, k.name),
+                if(array_contains(t.ids, k.id), raise_error('a key is its own ancestor'), array_append(t.ids, k.id))
+            FROM tree t JOIN {{keys}} k ON k.parent_id = t.id
+        )
+        SELECT id, name, depth, path FROM tree
+        """,
+        keys=keys,
+    )
 
 
 def with_column(df: DataFrame, name: str, default: Column) -> DataFrame:
@@ -136,7 +142,8 @@ def with_column(df: DataFrame, name: str, default: Column) -> DataFrame:
 
 def retained(df: DataFrame, days: float, now: float) -> DataFrame:
     """What cleaning up leaves: rows not older than ``days``."""
-    return df.filter(F.col("timestamp") >= now - days * 86400)
+    time, low = bound(df, now - days * 86400)
+    return df.filter(time >= low)
 
 
 def paired(path: Column, values: Column) -> Column:

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Mapping, Sequence
+from datetime import UTC, datetime
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemesh.functions.codes import TYPE_CODES
+
 # Reasons for which a packet isn't published.
 INVALID_REASONS = ("Invalid advert packet", "Empty payload", "Path too long")
 
@@ -67,3 +72,66 @@ def stored_form(records: DataFrame, now: float) -> DataFrame:
         F.to_json("original_path").alias("original_path"),
         "packet_hash",
     )
+
+
+def noise_record(samples: DataFrame, now: float) -> DataFrame:
+    """Noise samples as they are appended: without a reading there is no row."""
+    return samples.filter(F.col("noise_floor_dbm").isNotNull()).select(F.coalesce("timestamp", F.lit(float(now))).alias("timestamp"), F.col("noise_floor_dbm").cast("double").alias("noise_floor_dbm"))
+
+
+def messages(df: DataFrame, base: str, node: str, kind: str) -> DataFrame:
+    """id, topic, payload of each row as it goes to a broker: null fields are left out."""
+    return as_json(df).withColumn("topic", F.lit(topic(base, node, kind)))
+
+
+def utc_iso(now: float) -> str:
+    """ISO time with the offset of UTC."""
+    return datetime.fromtimestamp(now, UTC).isoformat()
+
+
+def wrapped(records: DataFrame, origin_id: str, now: float) -> DataFrame:
+    """Records for a broker of many nodes: with the time of sending and the node's id, unless they have their own."""
+    added = {"timestamp": utc_iso(now), "origin_id": origin_id}
+    return records.select(*(F.lit(v).alias(k) for k, v in added.items() if k not in records.columns), "*")
+
+
+def raw_records(packets: DataFrame) -> DataFrame:
+    """A packet's bytes alone."""
+    return packets.filter(F.length("raw_packet") > 0).select("id", F.lit("raw").alias("type"), F.col("raw_packet").alias("data"), F.floor(F.length("raw_packet") / 2).cast("int").alias("bytes"))
+
+
+def status(counters: DataFrame, node: str, origin_id: str, now: float, started: float, state: str = "online", model: str = "", version: str = "", client: str = "", radio: str = "", location: tuple[float, float] | None = None) -> DataFrame:
+    """The heartbeat, one row. counters: one row with rx_count and forwarded_count."""
+    stats = F.struct(F.lit(int(now - started)).alias("uptime_secs"), F.col("forwarded_count").alias("packets_sent"), F.col("rx_count").alias("packets_received"), F.lit(0).alias("errors"), F.lit(0).alias("queue_len"))
+    texts = {"status": state, "timestamp": utc_iso(now), "origin": node, "origin_id": origin_id, "model": model, "firmware_version": version, "radio": radio, "client_version": client}
+    place = [F.struct(F.lit(location[0]).alias("latitude"), F.lit(location[1]).alias("longitude")).alias("location")] if location else []
+    return counters.select(*(F.lit(v).alias(k) for k, v in texts.items()), stats.alias("stats"), *place)
+
+
+def disallowed_types(spark: SparkSession, names: Sequence[str]) -> DataFrame:
+    """The codes (type) of packet types by their short names, in any case; unknown names are dropped."""
+    codes = sorted({TYPE_CODES[n.upper()] for n in names if n.upper() in TYPE_CODES})
+    return spark.createDataFrame([(c,) for c in codes], "type int")
+
+
+def own_adverts(spark: SparkSession, node: Mapping, start: int, end: int, every_hours: float) -> DataFrame:
+    """The adverts that a node sends itself, one every ``every_hours`` from start to end (none if that is 0).
+
+    packet_hash stands for each one's hash, by which the node marks it as seen before it can come back: see entities.already_seen().
+    """
+    step = int(every_hours * 3600)
+    times = spark.range(start, end, step, 1) if step > 0 else spark.range(0)
+    sent = F.col("id").cast("double")
+    fields = {"pubkey": "", "node_name": "Repeater", "latitude": 0.0, "longitude": 0.0} | dict(node)
+    hashed = F.upper(F.substring(F.md5(F.concat(F.lit(f"{fields['pubkey']}:"), F.col("id").cast("string")).cast("binary")), 1, 16))
+    return times.select(sent.alias("timestamp"), *(F.lit(v).alias(k) for k, v in fields.items()), F.lit(True).alias("is_repeater"), F.lit("REPEATER").alias("contact_type"), F.lit(1).alias("route_type"), hashed.alias("packet_hash"))
+
+
+def envelope(rows: DataFrame, order: str = "id") -> DataFrame:
+    """A response in one row: success, the rows in order and their number, as JSON. For results that are limited already."""
+    listed = F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("_order"), F.struct("*").alias("row")))), lambda x: x["row"])
+    return rows.agg(F.to_json(F.struct(F.lit(True).alias("success"), listed.alias("data"), F.count(F.lit(1)).alias("count"))).alias("response"))
+
+
+def failure(spark: SparkSession, message: str) -> DataFrame:
+    return spark.range(1).select(F.to_json(F.struct(F.lit(False).alias("success"), F.lit(message).alias("error"))).alias("response"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tidemesh.schemas import ADVERT_COLUMNS, KEY_COLUMNS, PACKET_COLUMNS
 
 
-def _bound(df: DataFrame, seconds: float) -> tuple[Column, Column]:
+def bound(df: DataFrame, seconds: float) -> tuple[Column, Column]:
     """The time column and the bound in its type: the raw event time where the table has it, as only that is pushed down to Parquet."""
     if "ts" in df.columns:
         return F.col("ts"), F.timestamp_seconds(F.lit(seconds)).cast(df.schema["ts"].dataType)
@@ -21,8 +21,8 @@ def _bound(df: DataFrame, seconds: float) -> tuple[Column, Column]:
 
 def since(df: DataFrame, hours: float, now: float) -> DataFrame:
     """Rows later than ``hours`` before now; one exactly at the cutoff is out."""
-    time, bound = _bound(df, now - hours * 3600)
-    return df.filter(time > bound)
+    time, cutoff = bound(df, now - hours * 3600)
+    return df.filter(time > cutoff)
 
 
 def scan(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -49,11 +49,11 @@ def filtered_packets(packets: DataFrame, packet_type: int | None = None, route:
     if route is not None:
         tests.append(F.col("route") == route)
     if start is not None:
-        time, bound = _bound(packets, start)
-        tests.append(time >= bound)
+        time, first = bound(packets, start)
+        tests.append(time >= first)
     if end is not None:
-        time, bound = _bound(packets, end)
-        tests.append(time <= bound)
+        time, last = bound(packets, end)
+        tests.append(time <= last)
     return newest(packets.filter(reduce(and_, tests)) if tests else packets, limit)
 
 
@@ -110,10 +110,15 @@ def valid_packet(payload: Column, path: Column, most_hops: int) -> Column:
 
 
 def recent_ring(packets: DataFrame, size: int = 50) -> DataFrame:
-    """The last ``size`` packets that aren't copies, each with its later copies nested: see duplicates_nested."""
+    """The last ``size`` packets that aren't copies, each with its later copies nested: see duplicates_nested.
+
+    The ring's hashes are found by one aggregation; only their packets are nested.
+    """
     from tidemesh.operators.entities import duplicates_nested
 
-    return duplicates_nested(packets).orderBy(F.desc("timestamp"), F.desc("id")).limit(size)
+    first = packets.groupBy("packet_hash").agg(F.min(F.struct("timestamp", "id")).alias("first"))
+    ring = first.orderBy(F.desc("first")).limit(size).select("packet_hash")
+    return duplicates_nested(packets.join(F.broadcast(ring), "packet_hash", "left_semi")).orderBy(F.desc("timestamp"), F.desc("id")).limit(size)
 
 
 def top_by(df: DataFrame, column: str, limit: int = 10, key: str = "id") -> DataFrame:

@@ -7,27 +7,41 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemesh.functions.codes import COUNTERS, GAUGES, metric_name
+from tidemesh.functions.codes import COUNTERS, GAUGES, HEARTBEAT, SOURCES, metric_name, type_name
+from tidemesh.operators.reads import bound
+from tidemesh.operators.summaries import type_stats
 
 STEP = 60
-HEARTBEAT = 120
 # Fixed values: (consolidation, seconds in a slot, slots kept).
 ARCHIVES = (("AVERAGE", 60, 10080), ("AVERAGE", 300, 8640), ("AVERAGE", 3600, 8760), ("MAX", 60, 10080), ("MIN", 60, 10080))
 KNOWN_SHARE = 0.5
 
 
+def sources(spark: SparkSession) -> DataFrame:
+    """ds, kind, heartbeat, least, most of all sources: samples beyond the bounds, and after a longer silence than the heartbeat, are unknown."""
+    return spark.createDataFrame([(n, kind, HEARTBEAT, low, high) for n, kind, low, high in SOURCES], "ds string, kind string, heartbeat int, least double, most double")
+
+
+def archives(spark: SparkSession) -> DataFrame:
+    """cf, step, slots of all archives."""
+    return spark.createDataFrame(list(ARCHIVES), "cf string, step int, slots int")
+
+
 def slot(seconds: Column, step: int) -> Column:
     return (F.floor(seconds / step) * step).cast("long")
 
 
+#: Columns of a packet that its sample is made of.
+SAMPLED = ("rssi", "snr", "length", "score", "type", "transmitted")
+
+
 def first_per_second(packets: DataFrame) -> DataFrame:
-    """The packets that feed a series: the first of each whole second."""
-    second = F.floor(F.col("ts_us") / 1_000_000).cast("long")
-    rank = F.row_number().over(Window.partitionBy("second").orderBy("ts_us", "id"))
-    return packets.withColumn("second", second).withColumn("_rank", rank).filter("_rank = 1").drop("_rank")
+    """second and the sampled columns of the packets that feed a series, the first of each whole second: an aggregation that combines before the shuffle."""
+    second = F.floor(F.col("ts_us") / 1_000_000).cast("long").alias("second")
+    return packets.groupBy(second).agg(F.min(F.struct("ts_us", "id", *SAMPLED)).alias("first")).select("second", *(f"first.{c}" for c in SAMPLED))
 
 
 def gauge(name: str) -> Column:
@@ -39,7 +53,11 @@ def gauge(name: str) -> Column:
 
 def rollup(packets: DataFrame, step: int = STEP) -> DataFrame:
     """bucket_ts, ds, samples, average, least, most of every gauge and the counters' increase: one aggregation over all sources."""
-    fed = first_per_second(packets)
+    return rolled_up(first_per_second(packets), step)
+
+
+def rolled_up(fed: DataFrame, step: int = STEP) -> DataFrame:
+    """rollup() of samples as first_per_second() gives them."""
     kinds = {f"type_{i}": F.col("type") == i for i in range(16)} | {"type_other": F.col("type") > 15}
     ones = {"rx_count": F.lit(1.0), "tx_count": F.col("transmitted").cast("double"), "drop_count": 1.0 - F.col("transmitted").cast("double")} | {n: c.cast("double") for n, c in kinds.items()}
     bucket = slot(F.col("second"), step).alias("bucket_ts")
@@ -50,6 +68,21 @@ def rollup(packets: DataFrame, step: int = STEP) -> DataFrame:
     return sums.select("bucket_ts", F.inline(F.array(*rows)))
 
 
+def combined(first: DataFrame, second: DataFrame) -> DataFrame:
+    """One rollup of two that hold different samples, of the same slots or not."""
+    both = first.unionByName(second)
+    is_gauge = F.col("ds").isin(*GAUGES)
+    weighted = F.try_divide(F.sum(F.col("average") * F.col("samples")), F.sum(F.when(F.col("average").isNotNull(), F.col("samples"))))
+    sums = both.groupBy("bucket_ts", "ds").agg(F.sum("samples").alias("samples"), weighted.alias("mean"), F.sum("average").alias("total"), F.min("least").alias("least"), F.max("most").alias("most"))
+    pick = lambda c: F.when(is_gauge, F.col(c)).otherwise(F.col("total"))
+    return sums.select("bucket_ts", "ds", "samples", pick("mean").alias("average"), pick("least").alias("least"), pick("most").alias("most"))
+
+
+def updated(rolled: DataFrame, packets: DataFrame, last_update: int, step: int = STEP) -> DataFrame:
+    """A stored rollup with further packets taken in; samples not later than its last one (whole seconds) are skipped, as they come too late or twice."""
+    return combined(rolled, rolled_up(first_per_second(packets).filter(F.col("second") > last_update), step))
+
+
 def consolidated(rolled: DataFrame, step: int = 300, base: int = STEP, share: float = KNOWN_SHARE) -> DataFrame:
     """bucket_ts, ds, known, value: averages of the base slots, null where less than ``share`` of them are known."""
     slots = step // base
@@ -94,8 +127,8 @@ def fetched(packets: DataFrame, start: int, end: int, consolidation: str = "AVER
     """bucket_ts, ds, value of a time range from the archive that suits it."""
     step = archive_for(end - start, consolidation)
     column = {"AVERAGE": "average", "MIN": "least", "MAX": "most"}[consolidation.upper()]
-    time = F.col("ts_us") / 1_000_000
-    rolled = rollup(packets.filter((time >= start) & (time < end)), STEP)
+    time, low = bound(packets, start)
+    rolled = rollup(packets.filter((time >= low) & (time < bound(packets, end)[1])), STEP)
     if step == STEP:
         return rolled.select("bucket_ts", "ds", F.col(column).alias("value"))
     return consolidated(rolled, step).select("bucket_ts", "ds", "value")
@@ -128,6 +161,20 @@ def type_totals(values: DataFrame, least_points: int = 10) -> DataFrame:
     return per.join(F.broadcast(enough)).filter("enough").select("ds", F.greatest(F.lit(0.0), total).alias("total"))
 
 
+def partitioned(values: DataFrame) -> DataFrame:
+    """values with the part of a result that each source belongs to: counts of packet types, or metrics."""
+    return values.withColumn("part", F.when(F.col("ds").startswith("type_"), "packet_types").otherwise("metrics"))
+
+
+def type_stats_of_series(packets: DataFrame, hours: float, now: int, least_points: int = 10) -> DataFrame:
+    """name, count of each packet type from the series; where that has too few known points, from the packets themselves."""
+    values = partitioned(fetched(packets, int(now - hours * 3600), now)).filter("part = 'packet_types'")
+    code = F.when(F.col("ds") == "type_other", 16).otherwise(F.substring("ds", 6, 2).cast("int"))
+    few = values.agg((F.count("value") < least_points).alias("few"))
+    counts = type_stats(packets, hours, now).join(F.broadcast(few)).filter("few")
+    return type_totals(values, least_points).select(type_name(code).alias("name"), F.col("total").cast("long").alias("count")).unionByName(counts.select("name", "count"))
+
+
 def kept(values: DataFrame, step: int, consolidation: str, now: int) -> DataFrame:
     """What an archive's fixed number of slots still holds."""
     slots = next(k for cf, s, k in ARCHIVES if (cf, s) == (consolidation, step))

@@ -8,6 +8,7 @@ from __future__ import annotations
 from collections import OrderedDict, deque
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,17 +17,17 @@ from pyspark.sql import functions as F
 def rolling_airtime(packets: DataFrame, window_us: int = 60_000_000, key: str | None = None) -> DataFrame:
     """Each packet's airtime sum over the trailing window, its own included; what is exactly as old as the window is out.
 
-    Without a key (a table of one node) days are the partitions: each also reads the window before it begins.
+    Without a key (a table of one node) hours, or windows where these are longer, are the partitions: each also reads the window before it begins.
     """
     if key is not None:
         w = Window.partitionBy(key).orderBy("ts_us").rangeBetween(-(window_us - 1), 0)
         return packets.select("id", F.round(F.sum("airtime_ms").over(w), 3).alias("window_airtime_ms"))
-    day_us = 86_400_000_000
-    day = F.floor(F.col("ts_us") / day_us)
-    late = F.col("ts_us") % day_us > day_us - window_us
-    rows = packets.select("id", "ts_us", "airtime_ms", F.explode(F.when(late, F.array(day, day + 1)).otherwise(F.array(day))).alias("part"), day.alias("day"))
+    part_us = max(3_600_000_000, window_us)
+    own = F.floor(F.col("ts_us") / part_us)
+    late = F.pmod("ts_us", F.lit(part_us)) > part_us - window_us
+    rows = packets.select("id", "ts_us", "airtime_ms", F.explode(F.when(late, F.array(own, own + 1)).otherwise(F.array(own))).alias("part"), own.alias("own"))
     w = Window.partitionBy("part").orderBy("ts_us").rangeBetween(-(window_us - 1), 0)
-    return rows.withColumn("sum", F.sum("airtime_ms").over(w)).filter("part = day").select("id", F.round("sum", 3).alias("window_airtime_ms"))
+    return rows.withColumn("sum", F.sum("airtime_ms").over(w)).filter("part = own").select("id", F.round("sum", 3).alias("window_airtime_ms"))
 
 
 def folded(df: DataFrame, key: str, columns: list[str], start: Callable[[], object], step: Callable[[object, tuple], tuple], schema: str) -> DataFrame:
@@ -47,17 +48,47 @@ def folded(df: DataFrame, key: str, columns: list[str], start: Callable[[], obje
     return df.select(key, *columns).repartition(key).sortWithinPartitions(key, *columns).mapInPandas(run, f"{key} {kind}, {schema}")
 
 
-def dedup_ttl(packets: DataFrame, ttl_s: float = 60.0) -> DataFrame:
+def admissions(times: np.ndarray, ttl: float, last: float | None) -> tuple[np.ndarray, float | None]:
+    """(which of the ascending times are admitted, the last admission): each is more than ``ttl`` after the one before. Jumps from admission to admission."""
+    out = np.zeros(len(times), dtype=bool)
+    i = 0 if last is None else int(np.argmax(np.append(times - last > ttl, True)))
+    while i < len(times):
+        out[i], last = True, float(times[i])
+        # By difference, as the rule is stated, and not by sums, which round otherwise.
+        ahead = int(np.searchsorted(times, last + ttl, side="left"))
+        while ahead > i + 1 and times[ahead - 1] - last > ttl:
+            ahead -= 1
+        ahead = max(ahead, i + 1)
+        while ahead < len(times) and not times[ahead] - last > ttl:
+            ahead += 1
+        i = ahead
+    return out, last
+
+
+def dedup_ttl(packets: DataFrame, ttl_s: float = 60.0, key: str = "packet_hash") -> DataFrame:
     """id, admitted: a hash is a copy up to ``ttl_s`` after its last admission; copies don't prolong that."""
 
-    def step(state: list, row: tuple) -> tuple:
-        at, ident = row
-        fresh = not state or at - state[0] > ttl_s
-        if fresh:
-            state[:] = [at]
-        return ident, fresh
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, last = object(), None
+        for batch in batches:
+            if not len(batch):
+                continue
+            keys, times = batch[key].to_numpy(), batch["timestamp"].to_numpy()
+            edges = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+            fresh = np.empty(len(batch), dtype=bool)
+            for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(batch)], strict=True):
+                if keys[a] != current:
+                    current, last = keys[a], None
+                fresh[a:b], last = admissions(times[a:b], ttl_s, last)
+            yield batch[[key, "id"]].assign(admitted=fresh)
+
+    kind = dict(packets.dtypes)[key]
+    return packets.select(key, "timestamp", "id").repartition(key).sortWithinPartitions(key, "timestamp", "id").mapInPandas(run, f"{key} {kind}, id long, admitted boolean").select("id", key, "admitted")
 
-    return folded(packets, "packet_hash", ["timestamp", "id"], list, step, "id long, admitted boolean").select("id", "packet_hash", "admitted")
+
+def cache_refreshes(lookups: DataFrame, node: str, ttl_s: float = 60.0) -> DataFrame:
+    """id, refreshed: which lookups of a node find its cached table older than ``ttl_s`` and read it anew, the first one always."""
+    return dedup_ttl(lookups, ttl_s, node).select("id", node, F.col("admitted").alias("refreshed"))
 
 
 def dedup_fifo(packets: DataFrame, node: str, capacity: int = 1000) -> DataFrame:
@@ -78,18 +109,25 @@ def dedup_fifo(packets: DataFrame, node: str, capacity: int = 1000) -> DataFrame
 def duty_cycle(packets: DataFrame, node: str, budget_ms: float = 3600.0, window_s: float = 60.0, enforced: bool = True) -> DataFrame:
     """id, admitted, wait_s: sent if the node's airtime admitted in the trailing window leaves room; else when to try again.
 
-    Only what was admitted counts, at the time it was admitted. Waiting is until the oldest leaves the window, 1 s if there is none.
+    Only what was admitted counts, at the time it was admitted, in whole microseconds of airtime. Waiting is until the oldest
+    leaves the window, 1 s if there is none.
     """
+    budget = round(budget_ms * 1000)
 
-    def step(state: deque, row: tuple) -> tuple:
+    def step(state: list, row: tuple) -> tuple:
         at, ident, airtime = row
         if not enforced:
             return ident, True, 0.0
-        while state and at - state[0][0] >= window_s:
-            state.popleft()
-        if sum(a for _, a in state) + airtime <= budget_ms:
-            state.append((at, airtime))
+        if not state:
+            state += [deque(), 0]
+        held = state[0]
+        while held and at - held[0][0] >= window_s:
+            state[1] -= held.popleft()[1]
+        if state[1] + airtime <= budget:
+            held.append((at, airtime))
+            state[1] += airtime
             return ident, True, 0.0
-        return ident, False, max(0.0, state[0][0] + window_s - at) if state else 1.0
+        return ident, False, max(0.0, held[0][0] + window_s - at) if held else 1.0
 
-    return folded(packets, node, ["timestamp", "id", "airtime_ms"], deque, step, "id long, admitted boolean, wait_s double")
+    rows = packets.withColumn("_airtime_us", F.round(F.col("airtime_ms") * 1000).cast("long"))
+    return folded(rows, node, ["timestamp", "id", "_airtime_us"], list, step, "id long, admitted boolean, wait_s double")

@@ -2,31 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Mapping
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemesh.functions.codes import route_name, slug, type_name
 from tidemesh.functions.signal import percent_of_budget
-from tidemesh.operators.reads import dropped_with_reason, since
+from tidemesh.operators.reads import dropped_with_reason, newest, recent_ring, since
 
 
-def rounded_mean(column: str, digits: int) -> Column:
-    """The mean, 0 where there is none. Ties round up, as the SQL check does; bround would follow the stored data's makers."""
-    return F.round(F.coalesce(F.avg(column), F.lit(0.0)), digits)
+def rounded_mean(column: str, digits: int, half_even: bool = False) -> Column:
+    """The mean, 0 where there is none. Ties round up, or to the even digit."""
+    return (F.bround if half_even else F.round)(F.coalesce(F.avg(column), F.lit(0.0)), digits)
 
 
-def packet_stats(packets: DataFrame, hours: float, now: float) -> DataFrame:
-    """One row. The two sums are null where there is no packet, the means 0."""
+def packet_stats(packets: DataFrame, hours: float, now: float, half_even: bool = False) -> DataFrame:
+    """One row. The two sums are null where there is no packet, the means 0; half_even: see rounded_mean()."""
     sent = F.col("transmitted").cast("long")
     return since(packets, hours, now).agg(
         F.count(F.lit(1)).alias("total_packets"),
         F.sum(sent).alias("transmitted_packets"),
         F.sum(1 - sent).alias("dropped_packets"),
-        rounded_mean("rssi", 1).alias("avg_rssi"),
-        rounded_mean("snr", 1).alias("avg_snr"),
-        rounded_mean("score", 3).alias("avg_score"),
-        rounded_mean("payload_length", 1).alias("avg_payload_length"),
-        rounded_mean("tx_delay_ms", 1).alias("avg_tx_delay"),
+        rounded_mean("rssi", 1, half_even).alias("avg_rssi"),
+        rounded_mean("snr", 1, half_even).alias("avg_snr"),
+        rounded_mean("score", 3, half_even).alias("avg_score"),
+        rounded_mean("payload_length", 1, half_even).alias("avg_payload_length"),
+        rounded_mean("tx_delay_ms", 1, half_even).alias("avg_tx_delay"),
     )
 
 
@@ -66,20 +68,18 @@ def cumulative_counts(packets: DataFrame) -> DataFrame:
     return packets.agg(*(c.alias(n) for n, c in (totals | kinds).items()))
 
 
-def running_counts(packets: DataFrame) -> DataFrame:
+def running_counts(packets: DataFrame, part_s: int = 3600) -> DataFrame:
     """Each packet's cumulative received, sent and dropped counts, in order of time and id.
 
-    Days are summed first, so that a window never holds more than one day's packets.
+    Hours are summed first, so that a window never holds more than one hour's packets, or all hours' sums.
     """
-    from pyspark.sql import Window
-
-    day = F.floor(F.col("ts_us") / 86_400_000_000).alias("day")
+    part = F.floor(F.col("ts_us") / (part_s * 1_000_000)).alias("part")
     ones = {"rx": F.lit(1), "tx": F.col("transmitted").cast("long"), "dropped": 1 - F.col("transmitted").cast("long")}
-    rows = packets.select("id", "timestamp", "ts_us", day, *(c.alias(n) for n, c in ones.items()))
-    before = Window.orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
-    days = rows.groupBy("day").agg(*(F.sum(n).alias(n) for n in ones)).select("day", *(F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"{n}_before") for n in ones))
-    within = Window.partitionBy("day").orderBy("ts_us", "id").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.join(days, "day").select("id", "timestamp", *((F.col(f"{n}_before") + F.sum(n).over(within)).cast("long").alias(f"{n}_total") for n in ones))
+    rows = packets.select("id", "timestamp", "ts_us", part, *(c.alias(n) for n, c in ones.items()))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = rows.groupBy("part").agg(*(F.sum(n).alias(n) for n in ones)).select("part", *(F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"{n}_before") for n in ones))
+    within = Window.partitionBy("part").orderBy("ts_us", "id").rowsBetween(Window.unboundedPreceding, 0)
+    return rows.join(parts, "part").select("id", "timestamp", *((F.col(f"{n}_before") + F.sum(n).over(within)).cast("long").alias(f"{n}_total") for n in ones))
 
 
 def noise_stats(noise: DataFrame, hours: float, now: float) -> DataFrame:
@@ -96,7 +96,11 @@ def noise_history(noise: DataFrame, hours: float, now: float) -> DataFrame:
     return since(noise, hours, now).orderBy("timestamp", "id").select("id", "timestamp", "noise_floor_dbm")
 
 
-def hourly_rates(packets: DataFrame, now: float) -> DataFrame:
+def hourly_rates(packets: DataFrame, now: float, ring: int | None = None) -> DataFrame:
+    """Packets received and sent on in the last hour; with ``ring`` only those among the last so many that aren't copies, as a node counts that remembers no more."""
+    if ring is not None:
+        held = recent_ring(packets, ring).select("id")
+        packets = packets.join(F.broadcast(held), "id", "left_semi")
     return since(packets, 1, now).agg(F.count(F.lit(1)).alias("rx_per_hour"), F.count_if("transmitted").alias("forwarded_per_hour"))
 
 
@@ -118,6 +122,38 @@ def node_stats(packets: DataFrame, adverts: DataFrame, now: float) -> DataFrame:
     return out
 
 
+# Settings that the live summary shows, by section, and their defaults.
+SHOWN = {
+    "repeater": {"mode": "forward", "use_score_for_tx": False, "score_threshold": 0.3, "send_advert_interval_hours": 10, "latitude": 0.0, "longitude": 0.0},
+    "radio": {"frequency": 0, "tx_power": 0, "bandwidth": 0, "spreading_factor": 0, "coding_rate": 0, "preamble_length": 0},
+    "duty_cycle": {"enforcement_enabled": True},
+    "delays": {"tx_delay_factor": 1.0, "direct_tx_delay_factor": 0.5},
+}
+
+
+def shown_settings(settings: Mapping) -> Column:
+    """The settings of the live summary as one struct; what is missing has its default."""
+    own = lambda section: settings.get(section) or {}
+    section = lambda name, more: F.struct(*(F.lit(own(name).get(k, d)).alias(k) for k, d in SHOWN[name].items()), *more).alias(name)
+    percent = F.lit(own("duty_cycle").get("max_airtime_per_minute", 3600) / 60_000 * 100).alias("max_airtime_percent")
+    return F.struct(F.lit(own("repeater").get("node_name", "Unknown")).alias("node_name"), *(section(n, [percent] if n == "duty_cycle" else []) for n in SHOWN))
+
+
+def live_stats(packets: DataFrame, adverts: DataFrame, noise: DataFrame, settings: Mapping, now: float, started: float, own_hash: int, cache_ttl: int = 60, ring: int = 50, neighbours: int = 1000) -> DataFrame:
+    """The whole live summary in one row: node_stats() with rates over the ring, the ring itself, the newest ``neighbours`` of the known nodes, noise and settings."""
+    from tidemesh.operators.entities import neighbors_latest
+
+    recent = recent_ring(packets, ring).agg(F.reverse(F.array_sort(F.collect_list(F.struct("timestamp", "id", "packet_hash", "type", "rssi", "snr", "duplicate_count")))).alias("recent_packets"))
+    known = neighbors_latest(adverts).limit(neighbours).select("pubkey", F.struct("node_name", "contact_type", "timestamp", "rssi", "snr", "zero_hop").alias("node"))
+    known = known.agg(F.map_from_entries(F.collect_list(F.struct("pubkey", "node"))).alias("neighbors"))
+    floor = newest(noise, 1).agg(F.max("noise_floor_dbm").alias("noise_floor_dbm"))
+    seen = packets.agg(F.count_distinct("packet_hash").alias("duplicate_cache_size"))
+    out = node_stats(packets, adverts, now).drop("rx_per_hour", "forwarded_per_hour")
+    for one_row in (hourly_rates(packets, now, ring), recent, known, floor, seen):
+        out = out.join(F.broadcast(one_row))
+    return out.select(F.lit(f"0x{own_hash:02x}").alias("local_hash"), F.lit(cache_ttl).alias("cache_ttl"), F.lit(float(now - started)).alias("uptime_seconds"), "*", shown_settings(settings).alias("config"))
+
+
 def detection_rates(samples: DataFrame) -> DataFrame:
     """Per pair of thresholds: detection and baseline percentages and their difference, at least 0. samples: det_peak, det_min, detected, baseline (booleans)."""
     rate = lambda c: F.avg(F.col(c).cast("double")) * 100

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +10,9 @@ from pyspark.sql import functions as F
 
 from tidemesh import views as V
 from tidemesh.functions import codes, signal, text
-from tidemesh.operators import calibration, decisions, entities, publish, reads, series, stateful, summaries
+from tidemesh.operators import calibration, decisions, entities, publish, reads, records, series, stateful, summaries
+from tidemesh.sources import config, poller, tables
+from tidemesh.streaming import ingest, messages
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -81,17 +84,13 @@ def log_buffer(spark, sf):
 
 @query("SELECT CAST(i AS INTEGER) AS position, n AS name FROM (SELECT unnest(range(0, 8)) AS i, unnest(['id', 'name', 'flood_policy', 'transport_key', 'last_used', 'parent_id', 'created_at', 'updated_at']) AS n)")
 def table_columns(spark, sf):
-    from tidemesh.sources.tables import columns_of
-
-    return columns_of(V.transport_keys(spark, sf))
+    return tables.columns_of(V.transport_keys(spark, sf))
 
 
 @query("SELECT id, type, false AS local FROM packets WHERE type <> 4 UNION ALL SELECT id, type, true FROM packets WHERE type = 4")
 def local_injection(spark, sf):
-    from tidemesh.streaming.ingest import with_local
-
     p = V.packets(spark, sf).select("id", "type")
-    return with_local(p.filter("type <> 4"), p.filter("type = 4"))
+    return ingest.with_local(p.filter("type <> 4"), p.filter("type = 4"))
 
 
 # Filters, orders, limits
@@ -329,9 +328,9 @@ def publish_projection(spark, sf):
     return publish.published(V.packets(spark, sf), "node", "KEY")
 
 
-@query("SELECT id, type FROM packets WHERE coalesce(drop_reason, '') NOT IN ('Invalid advert packet', 'Empty payload', 'Path too long') AND type NOT IN (4, 11) AND raw_packet <> ''")
+@query("SELECT id, type FROM packets WHERE coalesce(drop_reason, '') NOT IN ('Invalid advert packet', 'Empty payload', 'Path too long') AND type NOT IN (4, 9) AND raw_packet <> ''")
 def publish_admission(spark, sf):
-    disallowed = spark.createDataFrame([(4,), (11,)], "type int")
+    disallowed = publish.disallowed_types(spark, ["advert", "TRACE", "nonsense"])
     return publish.admitted(V.packets(spark, sf), disallowed).select("id", "type")
 
 
@@ -376,14 +375,14 @@ def path_snr_zip(spark, sf):
 # Nodes, copies, keys
 
 
-@query("SELECT pubkey, id, timestamp, node_name, contact_type FROM (SELECT *, row_number() OVER (PARTITION BY pubkey ORDER BY timestamp DESC, id DESC) AS r FROM advert_events) WHERE r = 1")
+@query("SELECT pubkey, id, timestamp, node_name, contact_type, route_type, latitude, longitude, rssi, CAST(snr AS DOUBLE) AS snr, zero_hop FROM (SELECT *, row_number() OVER (PARTITION BY pubkey ORDER BY timestamp DESC, id DESC) AS r FROM advert_events) WHERE r = 1")
 def neighbors_latest(spark, sf):
-    return entities.neighbors_latest(V.advert_events(spark, sf)).select("pubkey", "id", "timestamp", "node_name", "contact_type")
+    return entities.neighbors_latest(V.advert_events(spark, sf)).select("pubkey", "id", "timestamp", "node_name", "contact_type", "route_type", "latitude", "longitude", "rssi", "snr", "zero_hop")
 
 
-@query("SELECT pubkey, min(id) AS id, arg_max(contact_type, timestamp) AS contact_type, min(timestamp) AS first_seen, max(timestamp) AS last_seen, CAST(count(*) AS INTEGER) AS advert_count, count(*) = 1 AS is_new_neighbor FROM advert_events GROUP BY pubkey")
+@query("SELECT pubkey, min(id) AS id, arg_max(contact_type, timestamp) AS contact_type, arg_max(node_name, timestamp) AS node_name, arg_max(is_repeater, timestamp) AS is_repeater, arg_max(route_type, timestamp) AS route_type, arg_max(latitude, timestamp) AS latitude, arg_max(longitude, timestamp) AS longitude, arg_max(rssi, timestamp) AS rssi, CAST(arg_max(snr, timestamp) AS DOUBLE) AS snr, arg_max(zero_hop, timestamp) AS zero_hop, min(timestamp) AS first_seen, max(timestamp) AS last_seen, CAST(count(*) AS INTEGER) AS advert_count, count(*) = 1 AS is_new_neighbor FROM advert_events GROUP BY pubkey")
 def advert_upsert(spark, sf):
-    return entities.advert_upsert(V.advert_events(spark, sf)).select("pubkey", "id", "contact_type", "first_seen", "last_seen", "advert_count", "is_new_neighbor")
+    return entities.advert_upsert(V.advert_events(spark, sf)).select("pubkey", "id", "contact_type", "node_name", "is_repeater", "route_type", "latitude", "longitude", "rssi", "snr", "zero_hop", "first_seen", "last_seen", "advert_count", "is_new_neighbor")
 
 
 @query("SELECT pubkey, min(id) AS id, arg_max(contact_type, timestamp) AS contact_type, min(timestamp) AS first_seen, max(timestamp) AS last_seen, CAST(count(*) AS INTEGER) AS advert_count FROM advert_events GROUP BY pubkey")
@@ -472,20 +471,20 @@ def delete_advert(spark, sf):
     return entities.deleted(V.advert_events(spark, sf), spark.createDataFrame([(7,)], "id long")).select("id")
 
 
-@query(f"SELECT 'packets' AS table_name, count(*) FILTER (timestamp >= {V.NOW - 7 * 86400}) AS kept, count(*) FILTER (timestamp < {V.NOW - 7 * 86400}) AS removed FROM packets UNION ALL SELECT 'noise_floor', count(*) FILTER (timestamp >= {V.NOW - 7 * 86400}), count(*) FILTER (timestamp < {V.NOW - 7 * 86400}) FROM noise_floor")
+_OLD = V.NOW - 7 * 86400
+_CLEANED = {"packets": "packets", "adverts": "(SELECT pubkey, max(timestamp) AS timestamp FROM advert_events GROUP BY pubkey)", "noise_floor": "noise_floor"}
+
+
+@query(" UNION ALL ".join(f"SELECT '{n}' AS table_name, count(*) FILTER (timestamp >= {_OLD}) AS kept, count(*) FILTER (timestamp < {_OLD}) AS removed FROM {t}" for n, t in _CLEANED.items()))
 def cleanup_old_data(spark, sf):
     out = None
-    for name, table in (("packets", V.packets(spark, sf)), ("noise_floor", V.noise_floor(spark, sf))):
-        total, kept = table.agg(F.count(F.lit(1)).alias("total")), reads_kept(table)
+    for name, table in (("packets", V.packets(spark, sf)), ("adverts", entities.advert_upsert(V.advert_events(spark, sf))), ("noise_floor", V.noise_floor(spark, sf))):
+        total, kept = table.agg(F.count(F.lit(1)).alias("total")), entities.retained(table, 7, V.NOW).agg(F.count(F.lit(1)).alias("kept"))
         row = total.join(F.broadcast(kept)).select(F.lit(name).alias("table_name"), "kept", (F.col("total") - F.col("kept")).alias("removed"))
         out = row if out is None else out.union(row)
     return out
 
 
-def reads_kept(table: DataFrame) -> DataFrame:
-    return entities.retained(table, 7, V.NOW).agg(F.count(F.lit(1)).alias("kept"))
-
-
 @query("SELECT id, pubkey, false AS zero_hop FROM advert_events")
 def schema_migration(spark, sf):
     old = V.advert_events(spark, sf).select("id", "pubkey")
@@ -500,9 +499,12 @@ def cad_center_out(spark, sf):
     return calibration.centre_out(calibration.grid(spark)).withColumn("distance", F.round("distance", 9))
 
 
-@query("SELECT CAST(b AS INTEGER) AS band, 8 AS cells FROM range(0, 8) t(b)")
+@query(
+    """, g AS (SELECT CAST(p AS INTEGER) AS det_peak, CAST(m AS INTEGER) AS det_min, sqrt(pow(p - 25.5, 2) + pow(m - 15.5, 2)) AS distance FROM range(22, 30) a(p), range(12, 20) b(m))
+    SELECT det_peak, det_min, CAST((row_number() OVER (ORDER BY distance, det_peak, det_min) - 1) // 8 AS INTEGER) AS band FROM g"""
+)
 def cad_bands(spark, sf):
-    return calibration.banded(calibration.grid(spark)).groupBy("band").agg(F.count(F.lit(1)).cast("int").alias("cells"))
+    return calibration.banded(calibration.grid(spark)).select("det_peak", "det_min", "band")
 
 
 _RATES = """, s AS (SELECT CAST(22 + type % 8 AS INTEGER) AS det_peak, CAST(12 + length % 8 AS INTEGER) AS det_min, transmitted AS detected, id % 5 = 0 AS baseline FROM packets),
@@ -641,12 +643,297 @@ _SQL["dedup_ttl"] = (
 )
 
 
+def _ttl_sql(key: str, ttl: float, out: str) -> str:
+    """Admissions of a key's packets, each more than ttl after the one before."""
+    return (
+        f"WITH RECURSIVE {V.SQL}, o AS (SELECT id, {key} AS key, timestamp, row_number() OVER (PARTITION BY {key} ORDER BY timestamp, id) AS n FROM packets), "
+        f"f AS (SELECT id, key, timestamp, n, true AS admitted, timestamp AS last FROM o WHERE n = 1 UNION ALL SELECT o.id, o.key, o.timestamp, o.n, o.timestamp - f.last > {ttl}, CASE WHEN o.timestamp - f.last > {ttl} THEN o.timestamp ELSE f.last END FROM f JOIN o ON o.key = f.key AND o.n = f.n + 1) "
+        f"SELECT {out} FROM f"
+    )
+
+
+@query()
+def key_cache_refreshes(spark, sf):
+    return stateful.cache_refreshes(V.packets(spark, sf), "src_hash", 86_400.0 * 2)
+
+
+_SQL["key_cache_refreshes"] = _ttl_sql("src_hash", 86_400.0 * 2, "id, key AS src_hash, admitted AS refreshed")
+
+
 @query()
 def dedup_fifo(spark, sf):
-    return stateful.dedup_fifo(V.packets(spark, sf).withColumn("node", F.lit("self")), "node", 1000).select("id", "admitted")
+    p = V.packets(spark, sf).withColumn("packet_hash", (F.col("id") % 29).cast("string"))
+    return stateful.dedup_fifo(p, "src_hash", 10).select("id", "admitted")
+
+
+_SQL["dedup_fifo"] = (
+    f"WITH RECURSIVE {V.SQL}, o AS (SELECT id, src_hash AS node, id % 29 AS h, row_number() OVER (PARTITION BY src_hash ORDER BY timestamp, id) AS n FROM packets), "
+    "f AS (SELECT id, node, n, true AS admitted, [h] AS held FROM o WHERE n = 1 UNION ALL SELECT o.id, o.node, o.n, NOT list_contains(f.held, o.h), "
+    "CASE WHEN list_contains(f.held, o.h) THEN f.held ELSE list_append(f.held, o.h)[-10:] END FROM f JOIN o ON o.node = f.node AND o.n = f.n + 1) SELECT id, admitted FROM f"
+)
 
 
 @query()
 def duty_cycle_admit(spark, sf):
     sent = V.packets(spark, sf).withColumn("node", F.col("src_hash"))
-    return stateful.duty_cycle(sent, "node", 36_000.0, 86_400.0).select("id", "admitted", "wait_s")
+    return stateful.duty_cycle(sent, "node", 36_000.0, 86_400.0).select("id", "admitted", F.round("wait_s", 6).alias("wait_s"))
+
+
+_SQL["duty_cycle_admit"] = (
+    f"WITH RECURSIVE {V.SQL}, o AS (SELECT id, src_hash AS node, timestamp AS t, CAST(round(airtime_ms * 1000) AS BIGINT) AS a, row_number() OVER (PARTITION BY src_hash ORDER BY timestamp, id) AS n FROM packets), "
+    "f AS (SELECT id, node, n, a <= 36000000 AS admitted, CASE WHEN a <= 36000000 THEN 0.0 ELSE 1.0 END AS wait_s, CASE WHEN a <= 36000000 THEN [{'t': t, 'a': a}] ELSE [] END AS held FROM o WHERE n = 1 "
+    "UNION ALL SELECT id, node, n, ok, CASE WHEN ok THEN 0.0 WHEN len(kept) > 0 THEN greatest(0.0, kept[1].t + 86400.0 - t) ELSE 1.0 END, CASE WHEN ok THEN list_append(kept, {'t': t, 'a': a}) ELSE kept END "
+    "FROM (SELECT *, coalesce(list_sum(list_transform(kept, lambda x: x.a)), 0) + a <= 36000000 AS ok FROM (SELECT o.*, list_filter(f.held, lambda x: o.t - x.t < 86400.0) AS kept FROM f JOIN o ON o.node = f.node AND o.n = f.n + 1))) "
+    "SELECT id, admitted, round(wait_s, 6) AS wait_s FROM f"
+)
+
+
+# Records as nodes make them
+
+
+def _bytes(df: DataFrame) -> DataFrame:
+    """Packets with their header as a number and their path as bytes."""
+    return df.withColumn("number", F.conv(F.substring("header", 3, 2), 16, 10).cast("int")).withColumn("hops", F.transform("original_path", lambda x: F.conv(x, 16, 10).cast("int")))
+
+
+@query(
+    f""", r AS (SELECT *, CASE WHEN id % 50 <> 0 THEN (id % 18) % 16 * 4 + (length - 1) % 4 END AS number, CASE WHEN id % 40 <> 0 THEN payload END AS body FROM packets),
+    k AS (SELECT *, coalesce(number // 4, 0) AS kind, CASE WHEN body IS NULL THEN 0 ELSE 12 END AS size FROM r)
+    SELECT timestamp, CASE WHEN number IS NOT NULL THEN header END AS header, body AS payload, CAST(size AS INTEGER) AS payload_length, CAST(kind AS INTEGER) AS type, CAST(coalesce(number % 4, 0) AS INTEGER) AS route, CAST(size AS INTEGER) AS length,
+        rssi, CAST(snr AS DOUBLE) AS snr, round(CASE WHEN snr < -10 THEN 0.0 ELSE greatest(0.0, least(1.0, (snr + 10) / 10 * (1 - size / 256.0))) END, 9) AS score, tx_delay_ms, transmitted, is_duplicate, packet_hash,
+        CASE WHEN drop_reason LIKE 'Direct%' THEN drop_reason WHEN is_duplicate THEN 'Duplicate' END AS drop_reason,
+        CASE WHEN len(original_path) > 8 THEN '[' || array_to_string(original_path[1:8], ', ') || ', ...]' WHEN len(original_path) > 0 THEN '[' || array_to_string(original_path, ', ') || ']' END AS path_hash,
+        CASE WHEN kind IN (0, 1, 2, 8) THEN upper(substr(body, 3, 2)) WHEN kind = 4 THEN upper(substr(body, 1, 2)) END AS src_hash, CASE WHEN kind IN (0, 1, 2, 8) THEN upper(substr(body, 1, 2)) END AS dst_hash,
+        CASE WHEN id % 3 <> 0 THEN {_LIST} END AS original_path, CASE WHEN transmitted THEN {_LIST} END AS forwarded_path, raw_packet FROM k"""
+)
+def packet_records(spark, sf):
+    p = _bytes(V.packets(spark, sf))
+    received = p.select(
+        "timestamp", F.when(F.col("id") % 50 != 0, F.col("number")).alias("header"), F.when(F.col("id") % 40 != 0, F.col("payload")).otherwise("").alias("payload"), F.col("raw_packet").alias("raw"), F.col("hops").alias("path"),
+        F.md5((F.col("id") % 5000).cast("string").cast("binary")).alias("packet_hash"), "rssi", "snr", "transmitted", "tx_delay_ms", F.when(F.col("drop_reason").startswith("Direct"), F.col("drop_reason")).alias("drop_reason"),
+        F.when(F.col("id") % 3 != 0, F.col("hops")).alias("original_path"), F.when(F.col("transmitted"), F.col("hops")).alias("forwarded_path"), F.col("is_duplicate").alias("seen"),
+    )
+    out = records.packet_records(received)
+    return out.withColumns({c: F.array_join(c, ",") for c in ("original_path", "forwarded_path")}).withColumn("score", F.round("score", 9))
+
+
+@query(
+    f""", r AS (SELECT *, list_transform(range(0, CAST(least(id % 7, 5) AS BIGINT)), lambda i: (id + i * 37) % 256) AS b FROM packets WHERE type = 9)
+    SELECT timestamp, header, CAST(9 AS INTEGER) AS type, transmitted AND false AS transmitted, 'trace_received' AS drop_reason,
+        coalesce(CASE WHEN len(original_path) > 8 THEN '[' || array_to_string(original_path[1:8], ', ') || ', ...]' WHEN len(original_path) > 0 THEN '[' || array_to_string(original_path, ', ') || ']' END, '[]') AS path_hash,
+        {_LIST} AS original_path, true AS is_trace,
+        coalesce(array_to_string(list_transform(b, lambda x: printf('%d(%.1fdB)', x, CASE WHEN x > 127 THEN x - 256 ELSE x END / 4.0)), ';'), '') AS path_snrs,
+        coalesce(array_to_string(list_transform(range(1, least(len(b), coalesce(len(original_path), 0)) + 1), lambda i: original_path[i] || ':' || b[i] || ':' || CAST((CASE WHEN b[i] > 127 THEN b[i] - 256 ELSE b[i] END * 25) AS BIGINT)), ';'), '') AS details FROM r"""
+)
+def trace_records(spark, sf):
+    p = _bytes(V.packets(spark, sf).filter("type = 9"))
+    gathered = F.transform(F.sequence(F.lit(0), F.lit(4)), lambda i: ((F.col("id") + i * 37) % 256).cast("int"))
+    received = p.select("timestamp", F.col("number").alias("header"), "payload", F.col("raw_packet").alias("raw"), gathered.alias("path"), (F.col("id") % 7).cast("int").alias("path_length"), F.col("hops").alias("trace_path"), "packet_hash", "rssi", "snr")
+    out = records.trace_records(received)
+    detail = lambda d: F.concat_ws(":", d["hash"], d["snr_raw"].cast("string"), (d["snr_db"] * 100).cast("long").cast("string"))
+    return out.select("timestamp", "header", "type", "transmitted", "drop_reason", "path_hash", F.array_join("original_path", ",").alias("original_path"), "is_trace", F.array_join("path_snrs", ";").alias("path_snrs"), F.array_join(F.transform("path_snr_details", detail), ";").alias("details"))
+
+
+_RING = ", r AS (SELECT *, row_number() OVER (PARTITION BY packet_hash ORDER BY timestamp, id) AS n FROM packets), ring AS (SELECT * FROM r WHERE n = 1 ORDER BY timestamp DESC, id DESC LIMIT 50) "
+SETTINGS = {"repeater": {"node_name": "hill", "latitude": 47.5}, "radio": {"spreading_factor": 8, "bandwidth": 62_500}, "duty_cycle": {"max_airtime_per_minute": 1800}}
+
+
+@query(_RING + f"SELECT count(*) FILTER (timestamp > {V.NOW - 3600}) AS rx_per_hour, count(*) FILTER (transmitted AND timestamp > {V.NOW - 3600}) AS forwarded_per_hour FROM ring")
+def hourly_rates_of_ring(spark, sf):
+    return summaries.hourly_rates(V.packets(spark, sf), V.NOW, ring=50)
+
+
+@query(
+    _RING
+    + f"""SELECT '0xab' AS local_hash, CAST(60 AS INTEGER) AS cache_ttl, 3600.0 AS uptime_seconds, (SELECT count(*) FROM packets) AS rx_count, (SELECT count(*) FROM packets WHERE transmitted) AS forwarded_count, (SELECT count(*) FROM packets WHERE NOT transmitted) AS dropped_count,
+        (SELECT count(*) FROM ring WHERE timestamp > {V.NOW - 3600}) AS rx_per_hour, (SELECT count(*) FROM ring) AS ring, (SELECT id FROM ring ORDER BY timestamp DESC, id DESC LIMIT 1) AS newest, (SELECT count(DISTINCT pubkey) FROM advert_events) AS neighbours,
+        (SELECT arg_max(node_name, timestamp) FROM advert_events WHERE pubkey = md5('7')) AS name_of_7, (SELECT noise_floor_dbm FROM noise_floor ORDER BY timestamp DESC, id DESC LIMIT 1) AS noise_floor_dbm, (SELECT count(DISTINCT packet_hash) FROM packets) AS duplicate_cache_size,
+        'hill' AS node_name, 'forward' AS mode, 47.5 AS latitude, CAST(8 AS INTEGER) AS spreading_factor, 3.0 AS max_airtime_percent, true AS enforcement_enabled, 0.5 AS direct_tx_delay_factor"""
+)
+def live_stats(spark, sf):
+    import hashlib
+
+    s = summaries.live_stats(V.packets(spark, sf), V.advert_events(spark, sf), V.noise_floor(spark, sf), SETTINGS, V.NOW, V.NOW - 3600, 0xAB)
+    c = lambda path: F.col(f"config.{path}").alias(path.split(".")[-1])
+    return s.select(
+        "local_hash", "cache_ttl", "uptime_seconds", "rx_count", "forwarded_count", "dropped_count", "rx_per_hour", F.size("recent_packets").cast("long").alias("ring"), F.col("recent_packets")[0]["id"].alias("newest"),
+        F.size("neighbors").cast("long").alias("neighbours"), F.col("neighbors")[hashlib.md5(b"7").hexdigest()]["node_name"].alias("name_of_7"), "noise_floor_dbm", "duplicate_cache_size", c("node_name"), c("repeater.mode"), c("repeater.latitude"),
+        c("radio.spreading_factor"), F.round("config.duty_cycle.max_airtime_percent", 9).alias("max_airtime_percent"), c("duty_cycle.enforcement_enabled"), c("delays.direct_tx_delay_factor"),
+    )
+
+
+@query(
+    f"""SELECT count(*) AS total_packets, CAST(sum(CAST(transmitted AS INT)) AS BIGINT) AS transmitted_packets, CAST(sum(1 - CAST(transmitted AS INT)) AS BIGINT) AS dropped_packets,
+        round_even(coalesce(avg(rssi), 0), 1) AS avg_rssi, round_even(coalesce(avg(snr), 0), 1) AS avg_snr, round_even(coalesce(avg(score), 0), 3) AS avg_score,
+        round_even(coalesce(avg(payload_length), 0), 1) AS avg_payload_length, round_even(coalesce(avg(tx_delay_ms), 0), 1) AS avg_tx_delay FROM packets WHERE timestamp > {SINCE}"""
+)
+def packet_stats_half_even(spark, sf):
+    return summaries.packet_stats(V.packets(spark, sf), HOURS, V.NOW, half_even=True)
+
+
+# Series as they are kept
+
+
+@query(_rolled(60) + "SELECT bucket_ts, ds, samples, round(average, 9) AS average, round(least, 9) AS least, round(most, 9) AS most FROM rolled")
+def series_update(spark, sf):
+    """The stored part, and a batch that begins a day before it ends: what comes again is skipped."""
+    p, cut = V.packets(spark, sf), V.NOW - 5 * 86400
+    old = p.filter(F.col("timestamp") < cut)
+    last = old.agg(F.max(F.floor(F.col("ts_us") / 1_000_000))).first()[0]
+    out = series.updated(series.rollup(old), p.filter(F.col("timestamp") >= cut - 86400), int(last))
+    return out.select("bucket_ts", "ds", "samples", *(F.round(c, 9).alias(c) for c in ("average", "least", "most")))
+
+
+_ROLLED_DAY = _rolled(60).replace(", rolled AS", f", {_DAY}, rolled AS").replace("FROM fed GROUP", "FROM fed_day GROUP")
+_TYPE_CASE = "CASE ds " + " ".join(f"WHEN 'type_{k}' THEN '{v}'" for k, v in codes.TYPE_NAMES.items()) + f" WHEN 'type_other' THEN '{codes.OTHER_TYPES}' END"
+
+
+@query(_ROLLED_DAY + f"SELECT {_TYPE_CASE} AS name, CAST(greatest(0.0, CASE WHEN count(average) >= 2 THEN max(average) - min(average) ELSE max(average) END) AS BIGINT) AS count FROM rolled WHERE ds LIKE 'type_%' GROUP BY ds")
+def packet_type_stats_of_series(spark, sf):
+    return series.type_stats_of_series(V.packets(spark, sf), HOURS, V.NOW)
+
+
+@query(f"SELECT name, count FROM ({_TYPES})")
+def packet_type_stats_fallback(spark, sf):
+    return series.type_stats_of_series(V.packets(spark, sf), HOURS, V.NOW, least_points=10**9)
+
+
+@query(_rolled(3600) + "SELECT CASE WHEN ds LIKE 'type_%' THEN 'packet_types' ELSE 'metrics' END AS part, count(*) AS points, count(DISTINCT ds) AS sources FROM rolled GROUP BY 1")
+def series_parts(spark, sf):
+    parts = series.partitioned(series.rollup(V.packets(spark, sf), 3600))
+    return parts.groupBy("part").agg(F.count(F.lit(1)).alias("points"), F.count_distinct("ds").alias("sources"))
+
+
+def _values(rows, names: str) -> str:
+    cell = lambda v: "NULL" if v is None else f"'{v}'" if isinstance(v, str) else str(v)
+    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(cell, r)) + ')' for r in rows)}) t({names})"
+
+
+@query(_values([(n, k, 120, low, high) for n, k, low, high in codes.SOURCES], "ds, kind, heartbeat, least, most"))
+def series_sources(spark, sf):
+    return series.sources(spark)
+
+
+@query(_values(series.ARCHIVES, "cf, step, slots"))
+def series_archives(spark, sf):
+    return series.archives(spark)
+
+
+# Messages
+
+
+@query(
+    """SELECT '{"status":"online","timestamp":"2024-01-31T00:00:00+00:00","origin":"hill","origin_id":"KEY","model":"M","firmware_version":"1","radio":"869.618,62.5,8,8","client_version":"c/1","stats":{"uptime_secs":3600,"packets_sent":'
+        || count(*) FILTER (transmitted) || ',"packets_received":' || count(*) || ',"errors":0,"queue_len":0},"location":{"latitude":47.5,"longitude":8.25}}' AS payload FROM packets"""
+)
+def status_heartbeat(spark, sf):
+    counters = V.packets(spark, sf).agg(F.count(F.lit(1)).alias("rx_count"), F.count_if("transmitted").alias("forwarded_count"))
+    row = publish.status(counters, "hill", "KEY", V.NOW, V.NOW - 3600, model="M", version="1", client="c/1", radio="869.618,62.5,8,8", location=(47.5, 8.25))
+    return row.select(F.to_json(F.struct("*")).alias("payload"))
+
+
+@query("""SELECT id, '{"timestamp":"2024-01-31T00:00:00+00:00","origin_id":"KEY","type":"raw","data":"' || raw_packet || '","bytes":' || length(raw_packet) // 2 || '}' AS payload FROM packets""")
+def publish_raw(spark, sf):
+    return publish.as_json(publish.wrapped(publish.raw_records(V.packets(spark, sf)), "KEY", V.NOW))
+
+
+@query("""SELECT id, 'mesh/hill/advert' AS topic, '{"pubkey":"' || pubkey || '"' || CASE WHEN contact_type = 'UNKNOWN' THEN '' ELSE ',"contact_type":"' || contact_type || '"' END || '}' AS payload FROM advert_events""")
+def publish_messages(spark, sf):
+    a = V.advert_events(spark, sf).select("id", "pubkey", F.nullif("contact_type", F.lit("UNKNOWN")).alias("contact_type"))
+    return publish.messages(a, "mesh", "hill", "advert")
+
+
+@query(f"SELECT CASE WHEN id % 4 = 0 THEN {float(V.NOW)} ELSE timestamp END AS timestamp, CAST(noise_floor_dbm AS DOUBLE) AS noise_floor_dbm FROM noise_floor WHERE id % 7 <> 0")
+def store_noise_floor(spark, sf):
+    n = V.noise_floor(spark, sf)
+    return publish.noise_record(n.select(F.when(F.col("id") % 4 != 0, F.col("timestamp")).alias("timestamp"), F.when(F.col("id") % 7 != 0, F.col("noise_floor_dbm")).alias("noise_floor_dbm")), V.NOW)
+
+
+@query(f"SELECT CAST(t AS DOUBLE) AS timestamp, 'hill' AS node_name, upper(substr(md5('KEY:' || t), 1, 16)) AS packet_hash FROM range({SINCE}, {V.NOW}, 36000) r(t)")
+def own_adverts(spark, sf):
+    return publish.own_adverts(spark, {"pubkey": "KEY", "node_name": "hill"}, SINCE, V.NOW, 10).select("timestamp", "node_name", "packet_hash")
+
+
+@query("""SELECT '{"success":true,"data":[' || string_agg('{"id":' || id || ',"name":"' || name || '"}', ',' ORDER BY id) || '],"count":' || count(*) || '}' AS response FROM transport_keys WHERE id < 6""")
+def response_envelope(spark, sf):
+    return publish.envelope(V.transport_keys(spark, sf).filter("id < 6").select("id", "name"))
+
+
+@query("""SELECT id AS seq, 'data: {"type":"progress","cell":' || id || '}' || chr(10) || chr(10) AS event FROM packets WHERE id >= 900 AND id < 5000""")
+def sse_events(spark, sf):
+    queue = V.packets(spark, sf).filter("id < 5000").select(F.col("id").alias("seq"), F.to_json(F.struct(F.lit("progress").alias("type"), F.col("id").alias("cell"))).alias("payload"))
+    return messages.events(queue, 900)
+
+
+# Settings, timers, texts
+
+
+@query(_values([("radio.spreading_factor", "8"), ("radio.bandwidth", "62500"), ("repeater.mode", '"forward"'), ("repeater.latitude", "47.5"), ("repeater.node_name", '"hill"'), ("duty_cycle.max_airtime_per_minute", "1800"), ("extra", "null")], "path, value"))
+def config_merge(spark, sf):
+    default = {"radio": {"spreading_factor": 7, "bandwidth": 62_500}, "repeater": {"mode": "forward", "latitude": 0.0}, "extra": None}
+    return config.flat(spark, config.merged(default, SETTINGS))
+
+
+@query(_values([("hours", "12"), ("limit", "100"), ("share", "0.5"), ("types", '"all"')], "path, value"))
+def request_parameters(spark, sf):
+    return config.flat(spark, config.coerced({"hours": "12", "share": "0.5", "types": "all"}, {"hours": 24, "limit": 100, "share": 0.1, "types": None}))
+
+
+_PRESETS = '{"config": {"suggested_radio_settings": {"entries": [{"title": "EU narrow", "frequency": "869.618", "spreading_factor": "8", "bandwidth": "62.5", "coding_rate": "8"}, {"title": "US", "frequency": "910.525"}]}}}'
+
+
+@query("SELECT 'EU narrow' AS title, '869.618' AS frequency, '8' AS spreading_factor UNION ALL SELECT 'US', '910.525', ''")
+def radio_presets(spark, sf):
+    found = config.presets_of(spark.createDataFrame([(_PRESETS,), ("{}",)], "value string"))
+    return found.select("title", "frequency", F.coalesce("spreading_factor", F.lit("")).alias("spreading_factor"))
+
+
+@query(f"SELECT t AS at, (t - {SINCE}) % 30 = 0 AS due FROM range({SINCE}, {V.NOW}, 5) r(t)")
+def timer_checks(spark, sf):
+    return poller.due(spark, SINCE, V.NOW)
+
+
+@query("SELECT id, '869.618,62.5,' || id % 6 + 7 || ',8' AS radio, round(id * 123457 / 1024 / 1024, 1) AS mb, CASE WHEN id % 2 = 0 THEN 'chip' ELSE 'chip_' || id % 3 END AS sensor FROM packets")
+def host_texts(spark, sf):
+    i = F.col("id")
+    return V.packets(spark, sf).select("id", text.radio_text(F.lit(869.618), F.lit(62.5), i % 6 + 7, F.lit(8)).alias("radio"), text.megabytes(i * 123457).alias("mb"), text.sensor_name(F.lit("chip"), i % 3, i % 2 + 1).alias("sensor"))
+
+
+@query("SELECT id, round(timestamp + id % 50 / 10.0, 6) AS scheduled_ts FROM packets")
+def delayed_emission(spark, sf):
+    return ingest.scheduled(V.packets(spark, sf), F.col("id") % 50 / 10.0).select("id", F.round("scheduled_ts", 6).alias("scheduled_ts"))
+
+
+# Streams, run until all is read
+
+
+def _folder(spark, name: str) -> str:
+    return f"{tables.shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query()
+def stream_dedup(spark, sf):
+    """The packet stream through exact_copies() into a table."""
+    path = _folder(spark, "stream-dedup")
+    stream = V.packets_of(V.event_stream(spark, sf)).withColumn("event_time", F.timestamp_seconds("timestamp"))
+    writer = ingest.exact_copies(stream, _TTL).writeStream.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/state")
+    writer.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("packet_hash string, id long, timestamp double, admitted boolean").parquet(f"{path}/rows").select("id", "packet_hash", "admitted")
+
+
+_SQL["stream_dedup"] = _ttl_sql("packet_hash", _TTL, "id, key AS packet_hash, admitted")
+
+
+@query("SELECT pubkey, min(id) AS id, arg_max(contact_type, timestamp) AS contact_type, min(timestamp) AS first_seen, max(timestamp) AS last_seen, CAST(count(*) AS INTEGER) AS advert_count FROM advert_events GROUP BY pubkey")
+def stream_node_table(spark, sf):
+    path = _folder(spark, "stream-nodes")
+    schema = entities.advert_upsert(V.advert_events(spark, sf)).schema
+    ingest.start(V.adverts_of(V.event_stream(spark, sf)).drop("ts", "ts_us"), ingest.upsert_adverts(f"{path}/nodes", schema), f"{path}/state").awaitTermination()
+    return ingest.node_table(spark, f"{path}/nodes", schema).select("pubkey", "id", "contact_type", "first_seen", "last_seen", "advert_count")
+
+
+@query(_rolled(60) + "SELECT bucket_ts, ds, samples, round(average, 9) AS average FROM rolled")
+def stream_series(spark, sf):
+    path = _folder(spark, "stream-series")
+    ingest.start(V.packets_of(V.event_stream(spark, sf)), ingest.update_series(f"{path}/series"), f"{path}/state").awaitTermination()
+    return ingest.series_table(spark, f"{path}/series").select("bucket_ts", "ds", "samples", F.round("average", 9).alias("average"))

@@ -18,19 +18,29 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/events.parquet")
 
 
+def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events table as a stream; a pattern that matches it alone, as streams take patterns and folders but no single file."""
+    return spark.readStream.schema(events(spark, sf_dir).schema).parquet(f"{sf_dir}/event[s].parquet")
+
+
 def _clock(df: DataFrame) -> DataFrame:
     ts_us = F.unix_micros(F.col("ts").cast("timestamp"))
     return df.withColumn("ts_us", ts_us).withColumn("timestamp", ts_us / 1_000_000.0)
 
 
 def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packets_of(events(spark, sf_dir))
+
+
+def packets_of(df: DataFrame) -> DataFrame:
+    """The packets table of events, read or streamed."""
     e, u = F.col("event_id"), F.col("user_id")
     hops = F.transform(F.sequence(F.lit(0).cast("long"), e % 11 - 1), lambda i: hex_byte((u * 7 + e + i) % 256))
     path = F.when(e % 11 != 0, hops)
     sent = F.col("event_type").isin("click", "view", "purchase")
     payload = F.lower(F.substring(F.md5(e.cast("string").cast("binary")), 1, 24))
     header = ((e % 18) % 16 * 4 + u % 4).cast("int")
-    return _clock(events(spark, sf_dir)).select(
+    return _clock(df).select(
         e.alias("id"),
         "ts",
         "ts_us",
@@ -61,9 +71,14 @@ def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def advert_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return adverts_of(events(spark, sf_dir))
+
+
+def adverts_of(df: DataFrame) -> DataFrame:
+    """The adverts of events, read or streamed."""
     u = F.col("user_id")
     kind = F.when(F.col("event_type") == "click", "REPEATER").when(F.col("event_type") == "view", "CHAT").when(F.col("event_type") == "purchase", "ROOM_SERVER").when(F.col("event_type") == "signup", "SENSOR").otherwise("UNKNOWN")
-    return _clock(events(spark, sf_dir)).select(
+    return _clock(df).select(
         F.col("event_id").alias("id"),
         "ts",
         "ts_us",
