@@ -155,8 +155,7 @@ def compared(pairs: DataFrame, sets: DataFrame, percent: int, differences: bool)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for part in K.portions(batch, (2, 3)):
                 m = part.num_rows
                 (x, fx), (y, fy) = unpacked(part.column(2)), unpacked(part.column(3))
                 na, nb = np.diff(fx), np.diff(fy)
@@ -206,10 +205,10 @@ def candidates(found: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [*kept, "token", "has"]
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
-                for column, has in (("extra", True), ("missing", False)):
-                    token, first = unpacked(pc.fill_null(part.column(part.schema.get_field_index(column)).cast(pa.large_binary()), b""))
+            places = batch.schema.get_field_index("extra"), batch.schema.get_field_index("missing")
+            for part in K.portions(batch, places, 1 << 17):
+                for column, has in zip(places, (True, False), strict=True):
+                    token, first = unpacked(pc.fill_null(part.column(column).cast(pa.large_binary()), b""))
                     take = pa.array(np.repeat(np.arange(part.num_rows), np.diff(first)))
                     yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(c)).take(take) for c in kept), pa.array(token.astype(np.int64)), pa.array(np.full(len(token), has))], names=names)
 
@@ -239,8 +238,7 @@ def orders(sets: DataFrame, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for part in K.portions(batch, (1,)):
                 token, first = unpacked(part.column(1))
                 n = np.diff(first)
                 owner, most = np.repeat(np.arange(len(n)), n), prefix(n, percent)

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 19
 
 _U = np.uint64
 
@@ -90,7 +90,7 @@ class Rolling:
         """Powers of both bases and of their inverses."""
         have = cls._powers.get(family)
         if have is None or len(have[0][0]) < n:
-            size = 1 << max(16, int(n - 1).bit_length())
+            size = -(-n // (1 << 16)) << 16
             have = []
             for lane in range(2):
                 base = int(_splitmix(1, 1000 * family + lane + 1)[0]) % (PRIME - 2**20) + 2**19
@@ -100,10 +100,11 @@ class Rolling:
 
     @staticmethod
     def _all_powers(base: int, size: int) -> np.ndarray:
-        out = np.ones(size, dtype=_U)
+        out = np.ones(size, dtype=np.uint32)
         done = 1
         while done < size:
-            out[done : 2 * done] = _residue(out[:done] * _U(pow(base, done, PRIME)))
+            most = min(done, size - done)
+            out[done : done + most] = _residue(out[:most] * _U(pow(base, done, PRIME)))
             done *= 2
         return out
 
@@ -182,6 +183,19 @@ def blocks(batch: pa.RecordBatch, text: str = "text", most: int = BLOCK_BYTES) -
         at = end
 
 
+def portions(batch: pa.RecordBatch, columns: tuple[int, ...], most: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batch in slices in which these binary columns hold at most ``most`` bytes (one row at least)."""
+    size = np.zeros(batch.num_rows, dtype=np.int64)
+    for i in columns:
+        size += pc.fill_null(pc.binary_length(batch.column(i)), 0).to_numpy(zero_copy_only=False)
+    ends = np.concatenate([[0], np.cumsum(size)])
+    at = 0
+    while at < batch.num_rows:
+        end = max(at + 1, int(np.searchsorted(ends, ends[at] + most, side="right")) - 1)
+        yield batch.slice(at, end - at)
+        at = end
+
+
 class Words:
     """Words ``[^\\x20\\x09-\\x0D]+`` of a block of texts.
 

@@ -28,7 +28,7 @@ CAPACITY = 2048
 END = 0
 BUCKET_ROWS = 256
 #: Parts of words whose ids a Python worker keeps between batches.
-CACHE_WORDS = 1_200_000
+CACHE_WORDS = 600_000
 BLOCK_BYTES = 1 << 20
 
 _tokenizers: dict[str, object] = {}
