@@ -83,7 +83,8 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE
 
 SUFFIX_SQL = """
 WITH d AS (SELECT doc_id, lower(hex(encode(coalesce(text, '')))) AS h FROM documents),
-g AS (SELECT doc_id, i, md5(h[2 * i + 1:2 * i + 400]) AS k FROM d, unnest(range(0, greatest(length(h) // 2 - 199, 0))) t(i)),
+w AS (SELECT doc_id, list_transform(range(0, greatest(length(h) // 2 - 199, 0)), lambda i: md5(h[2 * i + 1:2 * i + 400])) AS ks FROM d),
+g AS (SELECT doc_id, unnest(range(0, len(ks))) AS i, unnest(ks) AS k FROM w),
 often AS (SELECT k FROM g GROUP BY k HAVING count(*) > 1),
 hit AS (SELECT doc_id, i, i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS step FROM g SEMI JOIN often USING (k)),
 island AS (SELECT doc_id, i, count(*) FILTER (step > 200) OVER (PARTITION BY doc_id ORDER BY i) AS r FROM hit),
