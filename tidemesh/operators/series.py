@@ -39,9 +39,9 @@ SAMPLED = ("rssi", "snr", "length", "score", "type", "transmitted")
 
 
 def first_per_second(packets: DataFrame) -> DataFrame:
-    """second and the sampled columns of the packets that feed a series, the first of each whole second: an aggregation that combines before the shuffle."""
+    """second, id and the sampled columns of the packets that feed a series, the first of each whole second: an aggregation that combines before the shuffle."""
     second = F.floor(F.col("ts_us") / 1_000_000).cast("long").alias("second")
-    return packets.groupBy(second).agg(F.min(F.struct("ts_us", "id", *SAMPLED)).alias("first")).select("second", *(f"first.{c}" for c in SAMPLED))
+    return packets.groupBy(second).agg(F.min(F.struct("ts_us", "id", *SAMPLED)).alias("first")).select("second", "first.id", *(f"first.{c}" for c in SAMPLED))
 
 
 def gauge(name: str) -> Column:
