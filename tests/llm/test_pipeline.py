@@ -5,6 +5,7 @@ import re
 from collections import defaultdict
 
 import corpus_pipeline as P
+from pyspark.sql import functions as F
 from tidemesh.llm import mixing, packing
 
 from tests.llm.test_jaccard import brute as components
@@ -129,3 +130,17 @@ def test_source_mix_of_null_and_repeated_ids(spark):
         assert found == (w + w)[: len(found)]
         words[r.source] += len(found)
     assert dict(words) == {s: round(t) for s, t in target.items()}
+
+
+def test_stages_ignore_columns_with_clashing_names(spark):
+    rows = [(i, " ".join(prose(i % 7, 60)), "en", f"s{i % 2}", 0) for i in range(20)]
+    docs = table(spark, rows)
+    more = docs
+    for c in ("did", "th", "tag", "set", "root", "n", "number", "taken", "size", "row", "spans", "kept", "length", "piece", "rank", "lang_pred", "score"):
+        more = more.withColumn(c, F.lit("clash"))
+    for name, stage in P.STAGES:
+        got, want = stage(spark, more, ""), stage(spark, docs, "")
+        assert got.columns == want.columns and (name == "packing" or got.columns == list(P.COLUMNS)), name
+        if name == "packing":
+            got, want = (d.drop("sequence_id", "offset") for d in (got, want))
+        assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr), name

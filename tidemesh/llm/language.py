@@ -106,8 +106,9 @@ class Model:
 def identify(docs: DataFrame, folds: int = 5, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, held_out, lang_pred, score of each document, and its columns ``keep``; the model is learned from a bounded sample of the folds other than 0.
 
-    Null texts, texts without letters and, if nothing is labelled, all texts are ``und`` with score 0. Repeated rows are
-    predicted one by one, ties go to the first language by name, other columns are ignored.
+    Null texts, texts without letters and, if nothing is labelled, all texts are ``und`` with score 0. Repeated rows and rows without
+    an id are predicted one by one, ties go to the first language by name, other columns are ignored; of an empty table the result
+    is empty. A text is read whole by one task, which needs about 100 bytes of memory for each of its bytes.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), *(F.col(c).alias(f"_{c}") for c in keep))
     texts, langs = sample(docs, docs.filter(remainder("doc_id", folds) != 0).select("doc_id", F.col("lang").alias("label")), SAMPLE_DOCS, SAMPLE_BYTES)
