@@ -11,6 +11,7 @@ place through their rank among those of equal length, counted in hash buckets an
 from __future__ import annotations
 
 import itertools
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -28,7 +29,7 @@ CAPACITY = 2048
 END = 0
 BUCKET_ROWS = 256
 #: Parts of words whose ids a Python worker keeps between batches.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 1_000_000
 BLOCK_BYTES = 1 << 20
 
 _tokenizers: dict[str, object] = {}
@@ -80,7 +81,9 @@ def vocabulary() -> str:
 
 
 def _tokenizer(path: str):
+    """The tokenizer of a file, once in a process. It works on the task's own core: its threads would spin on those of other tasks."""
     if path not in _tokenizers:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         _tokenizers[path] = Tokenizer.from_file(path)
@@ -105,7 +108,7 @@ def token_ids(text: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
         at[back[::-1]] = np.arange(len(back))[::-1]
         raw, at = w.data.tobytes(), at[missing]
         words = [raw[a:b].decode() for a, b in zip(w.start[at].tolist(), w.end[at].tolist(), strict=True)]
-        ids = [e.ids for i in range(0, len(words), 4096) for e in tok.encode_batch(words[i : i + 4096], add_special_tokens=False)]
+        ids = [e.ids for i in range(0, len(words), 4096) for e in tok.encode_batch_fast(words[i : i + 4096], add_special_tokens=False)]
         cache.add(distinct[missing], ids)
     begins, lengths = cache.places(distinct)
     flat = cache.flat
