@@ -543,6 +543,11 @@ def _rolled(step: int) -> str:
     return f"{_FED}, rolled AS ({' UNION ALL '.join(parts)}) "
 
 
+def _steady(column: str):
+    """A mean to six digits. It is cut to twelve first, as a sum's last bits depend on the order of its terms, and would else decide ties."""
+    return F.round(F.round(column, 12), 6)
+
+
 @query(_rolled(60) + "SELECT bucket_ts, ds, samples, round(average, 12) AS average, round(least, 12) AS least, round(most, 12) AS most FROM rolled")
 def rollup_60s(spark, sf):
     return series.rollup(V.packets(spark, sf)).select("bucket_ts", "ds", "samples", *(F.round(c, 12).alias(c) for c in ("average", "least", "most")))
@@ -550,7 +555,7 @@ def rollup_60s(spark, sf):
 
 @query(_rolled(3600) + "SELECT bucket_ts, ds, samples, round(average, 6) AS average FROM rolled")
 def rollup_3600s(spark, sf):
-    return series.rollup(V.packets(spark, sf), 3600).select("bucket_ts", "ds", "samples", F.round("average", 6).alias("average"))
+    return series.rollup(V.packets(spark, sf), 3600).select("bucket_ts", "ds", "samples", _steady("average").alias("average"))
 
 
 _XFF = _rolled(60) + ", c AS (SELECT bucket_ts // 300 * 300 AS bucket_ts, ds, count(CASE WHEN samples > 0 THEN average END) AS known, avg(average) AS mean FROM rolled GROUP BY 1, 2) "
@@ -558,7 +563,7 @@ _XFF = _rolled(60) + ", c AS (SELECT bucket_ts // 300 * 300 AS bucket_ts, ds, co
 
 @query(_XFF + "SELECT bucket_ts, ds, known, CASE WHEN known >= 2.5 THEN round(mean, 6) END AS value FROM c")
 def rollup_xff_300s(spark, sf):
-    return series.consolidated(series.rollup(V.packets(spark, sf))).withColumn("value", F.round("value", 6))
+    return series.consolidated(series.rollup(V.packets(spark, sf))).withColumn("value", _steady("value"))
 
 
 _DAY = f"fed_day AS (SELECT * FROM fed WHERE second >= {SINCE} AND second < {V.NOW})"
@@ -681,7 +686,7 @@ def duty_cycle_admit(spark, sf):
 
 _SQL["duty_cycle_admit"] = (
     f"WITH RECURSIVE {V.SQL}, o AS (SELECT id, src_hash AS node, timestamp AS t, CAST(round(airtime_ms * 1000) AS BIGINT) AS a, row_number() OVER (PARTITION BY src_hash ORDER BY timestamp, id) AS n FROM packets), "
-    "f AS (SELECT id, node, n, a <= 36000000 AS admitted, CASE WHEN a <= 36000000 THEN 0.0 ELSE 1.0 END AS wait_s, CASE WHEN a <= 36000000 THEN [{'t': t, 'a': a}] ELSE [] END AS held FROM o WHERE n = 1 "
+    "f AS (SELECT id, node, n, a <= 36000000 AS admitted, CAST(CASE WHEN a <= 36000000 THEN 0 ELSE 1 END AS DOUBLE) AS wait_s, CASE WHEN a <= 36000000 THEN [{'t': t, 'a': a}] ELSE [] END AS held FROM o WHERE n = 1 "
     "UNION ALL SELECT id, node, n, ok, CASE WHEN ok THEN 0.0 WHEN len(kept) > 0 THEN greatest(0.0, kept[1].t + 86400.0 - t) ELSE 1.0 END, CASE WHEN ok THEN list_append(kept, {'t': t, 'a': a}) ELSE kept END "
     "FROM (SELECT *, coalesce(list_sum(list_transform(kept, lambda x: x.a)), 0) + a <= 36000000 AS ok FROM (SELECT o.*, list_filter(f.held, lambda x: o.t - x.t < 86400.0) AS kept FROM f JOIN o ON o.node = f.node AND o.n = f.n + 1))) "
     "SELECT id, admitted, round(wait_s, 6) AS wait_s FROM f"
