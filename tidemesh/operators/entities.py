@@ -50,19 +50,25 @@ def already_seen(packets: DataFrame, seen: DataFrame) -> DataFrame:
     return packets.join(seen.select("packet_hash").distinct(), "packet_hash", "left_semi")
 
 
-def duplicates_nested(packets: DataFrame, most: int = 1000) -> DataFrame:
-    """The first packet of each hash, the number of its later ones, and the first ``most`` of them as a list in order of time.
+def duplicates_nested(packets: DataFrame, most: int | None = None) -> DataFrame:
+    """The first packet of each hash, the number of its later ones, and all of them as a list in order of time; with ``most`` only the first so many.
 
-    Only the rows that a list needs are shuffled; counts are exact for any number of copies.
+    One aggregation; without the list it combines before the shuffle. Packets without a time come last. Of those without a hash
+    the first is returned, without copies, as nothing says that they are the same.
     """
-    w = Window.partitionBy("packet_hash").orderBy("timestamp", "id")
-    copy = F.struct("timestamp", "id", "rssi", "snr", "type")
-    rows = packets.withColumn("_rank", F.row_number().over(w)).filter(F.col("_rank") <= most + 1)
-    nested = rows.groupBy("packet_hash").agg(F.array_sort(F.collect_list(copy)).alias("all"))
-    counts = packets.groupBy("packet_hash").agg((F.count(F.lit(1)) - 1).cast("int").alias("duplicate_count"))
-    first = F.col("all")[0]
-    later = F.when(F.size("all") > 1, F.transform(F.slice("all", 2, most), lambda x: F.struct(x["timestamp"].alias("timestamp"), x["id"].alias("id"), x["rssi"].alias("rssi"), x["snr"].alias("snr"))))
-    return nested.join(counts, "packet_hash").select(first["id"].alias("id"), first["timestamp"].alias("timestamp"), "packet_hash", first["type"].alias("type"), first["rssi"].alias("rssi"), first["snr"].alias("snr"), "duplicate_count", later.alias("duplicates"))
+    known = F.col("packet_hash").isNotNull()
+    columns = ("timestamp", "id", "rssi", "snr")
+    copy = F.struct(F.col("timestamp").isNull().alias("untimed"), *columns)
+    rank = F.row_number().over(Window.partitionBy("packet_hash").orderBy(F.asc_nulls_last("timestamp"), "id"))
+    rows = packets.select("packet_hash", "type", copy.alias("copy"), F.when(known if most is None else known & (rank <= most + 1), copy).alias("nested"))
+    grouped = rows.groupBy("packet_hash").agg(
+        F.min(F.struct("copy", "type")).alias("first"),
+        F.when(known, F.count(F.lit(1)) - 1).otherwise(0).cast("int").alias("duplicate_count"),
+        F.sort_array(F.collect_list("nested")).alias("all"),
+    )
+    later = F.when(F.size("all") > 1, F.transform(F.slice("all", F.lit(2), F.size("all")), lambda x: F.struct(*(x[c].alias(c) for c in columns))))
+    first = F.col("first.copy")
+    return grouped.select(first["id"].alias("id"), first["timestamp"].alias("timestamp"), "packet_hash", F.col("first.type").alias("type"), first["rssi"].alias("rssi"), first["snr"].alias("snr"), "duplicate_count", later.alias("duplicates"))
 
 
 def match_transport_key(packets: DataFrame, keys: DataFrame, expected: Column, most_keys: int = 10_000) -> DataFrame:
