@@ -264,3 +264,22 @@ def test_properties(spark):
     assert series.rollup(p).filter("ds = 'rx_count'").agg(F.sum("average")).first()[0] == series.first_per_second(p).count()
     plan = reads.since(p, 24, V.NOW).select("id")._jdf.queryExecution().toString()
     assert "PushedFilters: [IsNotNull(ts), GreaterThan(ts" in plan and "ReadSchema: struct<event_id:bigint,ts:timestamp_ntz>" in plan
+
+
+def test_live_summary_has_all_nodes(spark):
+    from tidemesh import views as V
+
+    n = 1500
+    events = spark.range(2 * n + 1).select(
+        F.col("id").alias("event_id"), F.expr("timestamp_seconds(1704067200 + id)").alias("ts"), F.when(F.col("id") < 2 * n, F.col("id") % n).alias("user_id"),
+        F.when(F.col("id") < n, "view").otherwise("click").alias("event_type"), F.lit(1.0).alias("value"),
+    )
+    noise = spark.createDataFrame([(1, 1.0, -99.5)], "id long, timestamp double, noise_floor_dbm double")
+    live = lambda e, **more: summaries.live_stats(V.packets_of(e), V.adverts_of(e), noise, {}, V.NOW, V.NOW - 1, 0xAB, **more).first()
+    assert len(live(events.filter("user_id IS NOT NULL")).neighbors) == n
+    r = live(events)
+    assert len(r.neighbors) == r.neighbor_count == n and {x.contact_type for x in r.neighbors.values()} == {"REPEATER"}
+    assert {x.node_name for x in r.neighbors.values()} == {f"node-{i}" for i in range(n)}
+    assert r.rx_count == r.duplicate_cache_size == 2 * n + 1 and r.noise_floor_dbm == -99.5
+    assert {x.node_name for x in live(events, neighbours=3).neighbors.values()} == {f"node-{n - i}" for i in (1, 2, 3)}
+    assert live(events.limit(0)).neighbors == {}

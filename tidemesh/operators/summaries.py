@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemesh.functions.codes import route_name, slug, type_name
 from tidemesh.functions.signal import percent_of_budget
-from tidemesh.operators.reads import dropped_with_reason, newest, recent_ring, since
+from tidemesh.operators.reads import dropped_with_reason, latest_per_key, newest, recent_ring, since
 
 
 def rounded_mean(column: str, digits: int, half_even: bool = False) -> Column:
@@ -139,18 +139,26 @@ def shown_settings(settings: Mapping) -> Column:
     return F.struct(F.lit(own("repeater").get("node_name", "Unknown")).alias("node_name"), *(section(n, [percent] if n == "duty_cycle" else []) for n in SHOWN))
 
 
-def live_stats(packets: DataFrame, adverts: DataFrame, noise: DataFrame, settings: Mapping, now: float, started: float, own_hash: int, cache_ttl: int = 60, ring: int = 50, neighbours: int = 1000) -> DataFrame:
-    """The whole live summary in one row: node_stats() with rates over the ring, the ring itself, the newest ``neighbours`` of the known nodes, noise and settings."""
-    from tidemesh.operators.entities import neighbors_latest
+def live_stats(packets: DataFrame, adverts: DataFrame, noise: DataFrame, settings: Mapping, now: float, started: float, own_hash: int, cache_ttl: int = 60, ring: int = 50, neighbours: int | None = None) -> DataFrame:
+    """The whole live summary in one row: node_stats() with rates over the ring, the ring itself, the known nodes, newest first, noise and settings.
 
+    The nodes are one map, which one task builds and which isn't broadcast; ``neighbours`` bounds it to the newest so many.
+    """
     recent = recent_ring(packets, ring).agg(F.reverse(F.array_sort(F.collect_list(F.struct("timestamp", "id", "packet_hash", "type", "rssi", "snr", "duplicate_count")))).alias("recent_packets"))
-    known = neighbors_latest(adverts).limit(neighbours).select("pubkey", F.struct("node_name", "contact_type", "timestamp", "rssi", "snr", "zero_hop").alias("node"))
-    known = known.agg(F.map_from_entries(F.collect_list(F.struct("pubkey", "node"))).alias("neighbors"))
+    latest = latest_per_key(adverts.filter(F.col("pubkey").isNotNull()), "pubkey", [F.desc("timestamp"), F.desc("id")])
+    if neighbours is not None:
+        latest = newest(latest, neighbours)
+    node = F.struct("node_name", "contact_type", "timestamp", "rssi", "snr", "zero_hop").alias("node")
+    nodes = F.sort_array(F.collect_list(F.struct("timestamp", "id", "pubkey", node)), asc=False)
+    known = latest.agg(F.map_from_entries(F.transform(nodes, lambda x: F.struct(x["pubkey"], x["node"]))).alias("neighbors"))
     floor = newest(noise, 1).agg(F.max("noise_floor_dbm").alias("noise_floor_dbm"))
     seen = packets.agg(F.count_distinct("packet_hash").alias("duplicate_cache_size"))
-    out = node_stats(packets, adverts, now).drop("rx_per_hour", "forwarded_per_hour")
-    for one_row in (hourly_rates(packets, now, ring), recent, known, floor, seen):
-        out = out.join(F.broadcast(one_row))
+    parts = [node_stats(packets, adverts, now).drop("rx_per_hour", "forwarded_per_hour"), hourly_rates(packets, now, ring), recent, known, floor, seen]
+    out = known
+    for one_row in parts:
+        if one_row is not known:
+            out = out.join(F.broadcast(one_row))
+    out = out.select(*(c for one_row in parts for c in one_row.columns))
     return out.select(F.lit(f"0x{own_hash:02x}").alias("local_hash"), F.lit(cache_ttl).alias("cache_ttl"), F.lit(float(now - started)).alias("uptime_seconds"), "*", shown_settings(settings).alias("config"))
 
 
