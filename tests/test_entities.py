@@ -1,7 +1,7 @@
 """Entity operators on small tables."""
 
 import pytest
-from tidemesh.operators import entities
+from tidemesh.operators import entities, reads
 
 
 def test_key_tree_of_any_depth(spark):
@@ -36,3 +36,10 @@ def test_nested_copies_without_time_or_hash(spark):
     for most in (None, 2):
         got = {r.packet_hash: (r.id, r.type, r.duplicate_count, r.duplicates and [d.id for d in r.duplicates]) for r in entities.duplicates_nested(packets, most).collect()}
         assert got == {"h": (3, 5, 2, [2, 1]), None: (5, 7, 0, None), "alone": (6, 8, 0, None)}
+
+
+def test_ring_without_time_or_hash(spark):
+    rows = [(1, None, "h", 3), (2, 5.0, "h", 4), (3, None, "late", 5), (4, 2.0, None, 6), (5, 1.0, None, 7), (6, 9.0, "alone", 8)]
+    packets = spark.createDataFrame([(*r, -50, 1.0) for r in rows], "id long, timestamp double, packet_hash string, type int, rssi int, snr double")
+    assert [(r.id, r.packet_hash) for r in reads.recent_ring(packets).collect()] == [(6, "alone"), (2, "h"), (5, None), (3, "late")]
+    assert [r.id for r in reads.recent_ring(packets, 2).collect()] == [6, 2]

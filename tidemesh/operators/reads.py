@@ -116,9 +116,10 @@ def recent_ring(packets: DataFrame, size: int = 50) -> DataFrame:
     """
     from tidemesh.operators.entities import duplicates_nested
 
-    first = packets.groupBy("packet_hash").agg(F.min(F.struct("timestamp", "id")).alias("first"))
-    ring = first.orderBy(F.desc("first")).limit(size).select("packet_hash")
-    return duplicates_nested(packets.join(F.broadcast(ring), "packet_hash", "left_semi")).orderBy(F.desc("timestamp"), F.desc("id")).limit(size)
+    first = packets.groupBy("packet_hash").agg(F.min(F.struct(F.col("timestamp").isNull().alias("untimed"), "timestamp", "id")).alias("first"))
+    ring = first.orderBy(F.desc("first.timestamp"), F.desc("first.id")).limit(size).select(F.col("packet_hash").alias("held"))
+    held = packets.join(F.broadcast(ring), F.col("packet_hash").eqNullSafe(F.col("held")), "left_semi")
+    return duplicates_nested(held).orderBy(F.desc("timestamp"), F.desc("id")).limit(size)
 
 
 def top_by(df: DataFrame, column: str, limit: int = 10, key: str = "id") -> DataFrame:
